@@ -33,3 +33,23 @@ def lookup_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_fact.join(salted_dim, [*on, "_salt"], how).drop("_salt")
+
+
+def frequency_join(fact: DataFrame, stats: DataFrame, on: Sequence[str], weight: str, how: str = "inner",
+                   hot_share: int = 10_000, salts: int = SALTS) -> DataFrame:
+    """Join ``fact`` with per-key statistics that tell how often a key occurs.
+
+    Keys that make up at least 1/``hot_share`` of the total weight are hot; there can be no more than ``hot_share`` of
+    them, so their list is safe to broadcast.  Rows of hot keys are spread over ``salts`` tasks, all other rows are
+    joined as they are.
+    """
+    on = list(on)
+    total = stats.agg(F.sum(weight).alias("total")).scalar()
+    is_hot = F.col(weight) * hot_share >= total
+    hot = stats.filter(is_hot).select(*on, F.lit(True).alias("_hot"))
+    spread = [f.name for f in fact.schema.fields if f.name not in on and isinstance(f.dataType, T.AtomicType)]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
+    flagged = fact.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
+    repeated = stats.withColumn("_salt", F.explode(
+        F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return flagged.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parley.scan import BUCKET_ROWS, after, before, bucket_of, carry, ordinal, whole
+from parley.session import cut_lineage
 
 
 def skips(metadata: str = "metadata") -> Column:
@@ -164,60 +165,44 @@ def _expand(msg: DataFrame, halo: int, min_len: int, length: int, min_msgs: int,
         "_forth", F.collect_list(around).over(frame.rowsBetween(0, halo))).filter(
         (F.col("_home") == F.col("_bucket")) & (F.col("_size") > min_msgs) & (F.col("idx") < F.col("_size") - 1))
 
-    def ranked(side: Column, direction: int) -> Column:
-        # a message cannot be taken before the ones between it and the centre: the rank is a running maximum
-        start = F.struct(F.lit(None).cast("long").alias("top"),
-                         F.filter(F.array(F.struct(F.lit(0).cast("long").alias("key"), F.lit(0).alias("side"),
-                                                   F.lit(0).alias("step"), F.lit(0).cast("int").alias("idx"),
-                                                   F.lit(0).cast("long").alias("age"), F.lit(0).alias("chars"))),
-                                  lambda _: F.lit(False)).alias("out"))
-
-        def add(acc: Column, m: Column) -> Column:
-            age = (m["_t"] - F.col("_t")) * direction
-            key = F.greatest(acc["top"], age)
-            item = F.struct(key.alias("key"), F.lit(0 if direction > 0 else 1).alias("side"),
-                            F.size(acc["out"]).alias("step"), m["idx"].alias("idx"), age.alias("age"),
-                            m["_chars"].alias("chars"))
-            return F.struct(key.alias("top"), F.array_append(acc["out"], item).alias("out"))
-
-        return F.aggregate(side, start, add, lambda acc: acc["out"])
-
-    merged = gathered.withColumn("_order", F.array_sort(F.concat(ranked(F.col("_forth"), 1),
-                                                                 ranked(F.col("_back"), -1))))
-    start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n"), F.lit(False).alias("done"),
-                     F.col("idx").alias("low"), F.col("idx").alias("high"), F.lit(0).alias("steps"),
-                     F.lit(-1).alias("side"), F.lit(-1).alias("previous_side"),
-                     F.col("idx").alias("low_before"), F.col("idx").alias("high_before"))
-
-    def take(acc: Column, m: Column) -> Column:
-        forced = (acc["chars"] < min_len) | (acc["n"] < min_msgs) | (m["age"] <= min_age_s * 1_000_000)
-        allowed = (acc["chars"] < length) & (acc["n"] < max_msgs) & (m["age"] <= max_age_s * 1_000_000)
-        ok = ~acc["done"] & (forced | allowed)
-        return F.struct(
-            F.when(ok & forced, acc["chars"] + m["chars"]).otherwise(acc["chars"]).alias("chars"),
-            F.when(ok, acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-            (~ok).alias("done"),
-            F.when(ok, F.least(acc["low"], m["idx"])).otherwise(acc["low"]).alias("low"),
-            F.when(ok, F.greatest(acc["high"], m["idx"])).otherwise(acc["high"]).alias("high"),
-            F.when(ok, acc["steps"] + 1).otherwise(acc["steps"]).alias("steps"),
-            F.when(ok, m["side"]).otherwise(acc["side"]).alias("side"),
-            F.when(ok, acc["side"]).otherwise(acc["previous_side"]).alias("previous_side"),
-            F.when(ok, acc["low"]).otherwise(acc["low_before"]).alias("low_before"),
-            F.when(ok, acc["high"]).otherwise(acc["high_before"]).alias("high_before"))
-
-    walked = merged.withColumn("_w", F.aggregate("_order", start, take))
-    # the halo decides nothing when the walk stopped inside it, or when the halo holds the whole conversation
-    cut_back = (F.col("idx") > halo) & (F.col("_w.low") == F.col("idx") - halo)
-    cut_forth = (F.col("_size") - 1 - F.col("idx") > halo) & (F.col("_w.high") == F.col("idx") + halo)
-    # with both lists used up, the walk ends while one fetched neighbour is still waiting
-    all_taken = F.col("_w.steps") == F.col("_size")
-    waiting = all_taken & (F.col("idx") > 0) & (F.col("_w.side") != F.col("_w.previous_side"))
-    low = F.when(waiting, F.col("_w.low_before")).otherwise(F.col("_w.low"))
-    high = F.when(waiting, F.col("_w.high_before")).otherwise(F.col("_w.high"))
+    n_forth, n_back = F.size("_forth"), F.size("_back")
+    begin = F.struct(*[F.lit(0).alias(c) for c in ("forth", "back", "chars", "n", "last")],
+                     F.col("idx").alias("low"), F.col("idx").alias("high"), F.lit(False).alias("done"))
+
+    def grow(acc: Column, _: Column) -> Column:
+        ahead, behind = F.get(F.col("_forth"), acc["forth"]), F.get(F.col("_back"), acc["back"])
+        ahead_age, behind_age = ahead["_t"] - F.col("_t"), F.col("_t") - behind["_t"]
+        forward = behind_age.isNull() | F.coalesce(ahead_age <= behind_age, F.lit(False))
+        chosen, age = F.when(forward, ahead).otherwise(behind), F.when(forward, ahead_age).otherwise(behind_age)
+        # the neighbour passed over last time was already looked at; with nothing new to look at the walk ends
+        waiting = (F.when((acc["last"] == -1) & (acc["forth"] < n_forth), 1).otherwise(0)
+                   + F.when((acc["last"] == 1) & (acc["back"] < n_back), 1).otherwise(0))
+        fresh = n_forth - acc["forth"] + n_back - acc["back"] - waiting
+        forced = (acc["chars"] < min_len) | (acc["n"] < min_msgs) | (age <= min_age_s * 1_000_000)
+        allowed = (acc["chars"] < length) & (acc["n"] < max_msgs) & (age <= max_age_s * 1_000_000)
+        grown = F.struct(
+            (acc["forth"] + F.when(forward, 1).otherwise(0)).alias("forth"),
+            (acc["back"] + F.when(forward, 0).otherwise(1)).alias("back"),
+            (acc["chars"] + F.when(forced, chosen["_chars"]).otherwise(0)).alias("chars"),
+            (acc["n"] + 1).alias("n"),
+            F.when(forward, 1).otherwise(-1).alias("last"),
+            F.least(acc["low"], chosen["idx"]).alias("low"),
+            F.greatest(acc["high"], chosen["idx"]).alias("high"),
+            F.lit(False).alias("done"))
+        end = F.struct(*[acc[c].alias(c) for c in ("forth", "back", "chars", "n", "last", "low", "high")],
+                       F.lit(True).alias("done"))
+        return F.when(acc["done"], acc).when((fresh > 0) & (forced | allowed), grown).otherwise(end)
+
+    # the generator keeps the fold from being evaluated once per column taken from it
+    walk = F.aggregate(F.sequence(F.lit(1), n_forth + n_back), begin, grow)
+    walked = gathered.select("conv_id", "idx", "_size", F.inline(F.array(walk)))
+    # the halo decides nothing unless all of it was used and the conversation goes on beyond it
+    cut_back = (F.col("idx") > halo) & (F.col("back") == halo)
+    cut_forth = (F.col("_size") - 1 - F.col("idx") > halo) & (F.col("forth") == halo + 1)
     return walked.select(
         "conv_id", "idx",
-        F.least(low, F.greatest(F.lit(0), F.col("idx") - before_min)).cast("int").alias("start"),
-        F.greatest(high, F.least(F.col("_size") - 1, F.col("idx") + after_min)).cast("int").alias("end"),
+        F.least("low", F.greatest(F.lit(0), F.col("idx") - before_min)).cast("int").alias("start"),
+        F.greatest("high", F.least(F.col("_size") - 1, F.col("idx") + after_min)).cast("int").alias("end"),
         (cut_back | cut_forth).alias("_open"))
 
 
@@ -257,6 +242,7 @@ def message_context(msg: DataFrame, min_len: int = 100, length: int = 300, min_m
             grown = grown.join(pending, ["conv_id", "idx"], "left_semi")
         if inclusive_end:
             grown = grown.withColumn("end", F.col("end") + 1)
+        grown = cut_lineage(grown)
         done = done.unionByName(grown.filter(~F.col("_open")).drop("_open"))
         pending = grown.filter("_open").select("conv_id", "idx")
         if pending.isEmpty():

@@ -96,8 +96,8 @@ walk AS (
     CASE WHEN forced THEN chars + mchars ELSE chars END, CASE WHEN ok THEN taken + 1 ELSE taken END,
     CASE WHEN ok THEN least(low, midx) ELSE low END, CASE WHEN ok THEN greatest(high, midx) ELSE high END,
     NOT ok OR (f >= n - 1 AND p <= 0)
-  FROM (SELECT *, forced OR (chars < 300 AND taken < 10 AND delta <= 86400 * {{k}}) AS ok FROM (
-    SELECT *, chars < 100 OR taken < 2 OR delta <= 180 * {{k}} AS forced FROM (
+  FROM (SELECT *, forced OR (chars < 300 AND taken < 10 AND delta <= 86400 * CAST({{k}} AS BIGINT)) AS ok FROM (
+    SELECT *, chars < 100 OR taken < 2 OR delta <= 180 * CAST({{k}} AS BIGINT) AS forced FROM (
       SELECT w.*, coalesce(ft.t - t0, 9e18) <= coalesce(t0 - pt.t, 9e18) AS fwd,
         least(coalesce(ft.t - t0, 9e18), coalesce(t0 - pt.t, 9e18)) AS delta,
         CASE WHEN coalesce(ft.t - t0, 9e18) <= coalesce(t0 - pt.t, 9e18) THEN f ELSE p END AS midx,
