@@ -10,6 +10,7 @@ from parley.operators import search as s
 from parley.operators import windows as w
 from parley.plans.registry import query
 from parley.plans.sequences import _RUNS_SQL
+from parley.scan import spread_join
 from parley.session import cut_lineage
 
 # Search texts per tenant; the tables they run over are the whole ones.
@@ -57,7 +58,7 @@ def _docs(spark, sf):
         "conv_id", "owner", (F.col("status") == "Complete").alias("completed"),
         F.try_element_at("properties", F.lit("support_area")).alias("support_area"))
     merged = w.merge_consecutive(ad.messages(spark, sf))
-    return merged.join(conv, "conv_id")
+    return spread_join(merged, conv, ["conv_id"], "part")
 
 
 def _searches(spark):

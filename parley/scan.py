@@ -76,3 +76,12 @@ def running_max_before(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
 
     carried = carry(df, keys, bucket, [F.max(value).alias("_top")], derive)
     return carried.withColumn(name, F.greatest(F.col("_carried"), F.max(value).over(local))).drop("_carried")
+
+
+def spread_join(df: DataFrame, side: DataFrame, keys: Sequence[str], bucket: str, how: str = "inner") -> DataFrame:
+    """Join ``side`` (one row per ``keys``) to rows of possibly very large groups.
+
+    The side is first brought to the buckets that occur, so the join with the rows is on (keys, bucket).
+    """
+    buckets = df.select(*keys, bucket).distinct().join(side, list(keys), how)
+    return df.join(buckets, [*keys, bucket], how)
