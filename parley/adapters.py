@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parley.scan import ordinal
+from parley.session import cut_lineage
 
 EPOCH = 1704067200
 
@@ -75,6 +76,11 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A derived table written once, for plans that read it several times."""
+    return cut_lineage(df)
+
+
 EVM_SQL = """msg AS (
   SELECT user_id AS conv_id,
     CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS idx,

@@ -225,14 +225,14 @@ def live_ids(spark, sf):
 @query(f"""WITH {EVM_SQL}{_START_SQL} SELECT DISTINCT conv_id, user_id FROM msg JOIN starts USING (conv_id)
 WHERE idx >= start""")
 def context_users(spark, sf):
-    msg = ad.event_messages(spark, sf)
+    msg = ad.stored(ad.event_messages(spark, sf))
     return f.context_users(msg, w.context_start(msg))
 
 
 @query(f"""WITH {EVM_SQL}{_START_SQL} SELECT conv_id, idx, msg_id FROM msg JOIN starts USING (conv_id)
 WHERE idx >= start""")
 def context_message_ids(spark, sf):
-    msg = ad.event_messages(spark, sf)
+    msg = ad.stored(ad.event_messages(spark, sf))
     return f.context_message_ids(msg, w.context_start(msg))
 
 

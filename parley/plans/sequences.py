@@ -30,7 +30,7 @@ def _merged(msg, timeout_s):
 
 @query(f"WITH {EVM_SQL}, {_RUNS_SQL.format(now='us', limit=HOURS6 * 1000000)} {_MERGED_SQL}")
 def merge_consecutive(spark, sf):
-    return _merged(ad.event_messages(spark, sf), HOURS6)
+    return _merged(ad.stored(ad.event_messages(spark, sf)), HOURS6)
 
 
 @query(f"WITH {MSG_SQL}, {_RUNS_SQL.format(now='t', limit=30000)} {_MERGED_SQL}")
@@ -70,7 +70,7 @@ starts AS (SELECT conv_id, CAST(coalesce(stop + 1, 0) AS INTEGER) AS start
 
 @query(f"WITH {EVM_SQL}{_START_SQL} SELECT * FROM starts")
 def context_start(spark, sf):
-    return w.context_start(ad.event_messages(spark, sf))
+    return w.context_start(ad.stored(ad.event_messages(spark, sf)))
 
 
 @query(f"WITH {MSG_SQL}{_START_SQL} SELECT * FROM starts")
@@ -113,7 +113,7 @@ UNION ALL SELECT conv_id, idx, 0, CAST(n AS INTEGER) FROM sized WHERE n <= 2 OR
 
 @query(_context_sql(EVM_SQL, "us").format(k=1000000))
 def message_context(spark, sf):
-    return w.message_context(ad.event_messages(spark, sf)).select("conv_id", "idx", "start", "end")
+    return w.message_context(ad.stored(ad.event_messages(spark, sf))).select("conv_id", "idx", "start", "end")
 
 
 @query(_context_sql(MSG_SQL, "t").format(k=1000))
@@ -135,7 +135,7 @@ def _runs(msg):
 
 @query(f"WITH {EVM_SQL}{_HIT_RUNS_SQL} SELECT * FROM runs")
 def hit_runs(spark, sf):
-    return _runs(ad.event_messages(spark, sf))
+    return _runs(ad.stored(ad.event_messages(spark, sf)))
 
 
 @query(f"""WITH {EVM_SQL}{_HIT_RUNS_SQL}
@@ -143,13 +143,13 @@ SELECT r.conv_id, start, m.idx, msg_id, CASE WHEN m.idx < start THEN 'before' EL
 FROM runs r JOIN msg m ON m.conv_id = r.conv_id
   AND ((m.idx >= start - 1 AND m.idx < start) OR (m.idx >= "end" AND m.idx < "end" + 2))""")
 def with_neighbours(spark, sf):
-    msg = ad.event_messages(spark, sf)
+    msg = ad.stored(ad.event_messages(spark, sf))
     return w.with_neighbours(_runs(msg), msg).select("conv_id", "start", "idx", "msg_id", "side")
 
 
 @query(f"""WITH {EVM_SQL} SELECT conv_id, idx,
 round(votes / CAST(max(votes) OVER (PARTITION BY conv_id) AS DOUBLE), 6) AS share FROM msg WHERE votes > 0""")
 def normalise_by_max(spark, sf):
-    msg = ad.event_messages(spark, sf).filter("votes > 0")
+    msg = ad.stored(ad.event_messages(spark, sf)).filter("votes > 0")
     return w.normalise_by_max(msg, "votes", ["conv_id"], "share").select(
         "conv_id", "idx", F.round("share", 6).alias("share"))
