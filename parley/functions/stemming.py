@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from parley.functions import text as tx
+from parley.lookup import lookup_join
 
 
 def light_stem_de(term: Column) -> Column:
@@ -224,3 +225,16 @@ def analyze_text(df: DataFrame, text: str, chain: str = "standard", stop: list[s
         terms = words.withColumn("_variant", F.explode(variants)).withColumn("term", form(F.col("_variant")))
         terms = terms.drop("_variant")
     return terms.filter(F.col("term") != "")
+
+
+def synonym_map(terms: DataFrame, synonyms: DataFrame, expand: bool = True) -> DataFrame:
+    """Replace terms by their synonyms (``synonyms``: term, replacement).
+
+    With ``expand`` a term becomes one row per replacement, otherwise the first replacement in order.
+    """
+    lists = synonyms.groupBy("term").agg(F.array_sort(F.collect_set("replacement")).alias("_to"))
+    joined = lookup_join(terms, lists, ["term"], "left")
+    targets = F.coalesce("_to", F.array("term"))
+    chosen = targets if expand else F.slice(targets, 1, 1)
+    kept = [c for c in terms.columns if c != "term"]
+    return joined.select(*kept, F.explode(chosen).alias("term")).select(*terms.columns)

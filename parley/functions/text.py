@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -46,19 +47,31 @@ def is_all_upper(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{Lu}") & ~text.rlike(r"[\p{L}&&[^\p{Lu}]]"), F.lit(False))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, even where ``use`` refers to it from inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip_code_blocks(text: Column) -> Column:
     """Drop fenced code; close the sentence before a fence and separate what follows by a blank line."""
-    parts = F.split(text, CODE_FENCE, -1)
-    last = F.size(parts) - 1
 
-    def step(done: Column, i: Column) -> Column:
-        part = F.get(parts, i)
-        stop = F.when((i < last) & part.rlike(r"\p{IsAlphabetic}\z"), F.lit(".")).otherwise(F.lit(""))
-        closed = F.when((i < last) & (F.length(done) > 0), F.lit("\n\n")).otherwise(F.lit(""))
-        return F.concat(done, F.when(i % 2 == 0, F.concat(part, stop)).otherwise(closed))
+    def join(split: Column) -> Column:
+        parts, last, begin = split["parts"], F.size(split["parts"]) - 1, split["begin"]
+
+        def piece(part: Column, i: Column) -> Column:
+            stop = F.when((i < last) & part.rlike(r"\p{IsAlphabetic}\z"), F.lit(".")).otherwise(F.lit(""))
+            gap = F.when((i < last) & (i > begin), F.lit("\n\n")).otherwise(F.lit(""))
+            return F.when(i % 2 == 0, F.concat(part, stop)).otherwise(gap)
+
+        return F.array_join(F.transform(parts, piece), "")
 
-    folded = F.aggregate(F.sequence(F.lit(0), last), F.lit(""), step)
-    return F.when(is_blank(text) | ~text.contains("```"), text).otherwise(folded)
+    def begins(parts: Column) -> Column:
+        # position of the first text outside code
+        texts = F.transform(parts, lambda part, i: F.when((i % 2 == 0) & (part != ""), i))
+        return F.struct(parts.alias("parts"), F.array_min(texts).alias("begin"))
+
+    stripped = bind(bind(F.split(text, CODE_FENCE, -1), begins), join)
+    return F.when(is_blank(text) | ~text.contains("```"), text).otherwise(stripped)
 
 
 def strip_html(text: Column) -> Column:
@@ -164,18 +177,22 @@ def sha256_hex(text: Column) -> Column:
 
 def extract_urls(text: Column) -> Column:
     """Web addresses with their character offsets."""
-    found = F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(0))
-    gaps = F.split(text, URL_PATTERN, -1)
 
     def total(parts: Column) -> Column:
         return F.aggregate(parts, F.lit(0), lambda n, part: n + F.length(part))
 
-    def entity(url: Column, i: Column) -> Column:
-        start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
-        return F.struct(start.alias("start"), (start + F.length(url)).alias("end"), url.alias("text"),
-                        F.lit("misc").alias("ner_type"), F.lit("url").alias("ner_tag"))
+    def entities(split: Column) -> Column:
+        found, gaps = split["found"], split["gaps"]
+
+        def entity(url: Column, i: Column) -> Column:
+            start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))
+            return F.struct(start.alias("start"), (start + F.length(url)).alias("end"), url.alias("text"),
+                            F.lit("misc").alias("ner_type"), F.lit("url").alias("ner_tag"))
+
+        return F.transform(found, entity)
 
-    return F.transform(found, entity)
+    return bind(F.struct(F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(0)).alias("found"),
+                         F.split(text, URL_PATTERN, -1).alias("gaps")), entities)
 
 
 def quote_terms(terms: Column) -> Column:

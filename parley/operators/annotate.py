@@ -21,6 +21,7 @@ from parley.operators.search import interesting_terms
 from parley.operators.windows import skips
 from parley.scan import bucket_of, ordinal, running_max_before
 from parley.schema import TOKEN_TYPES
+from parley.session import cut_lineage
 
 MESSAGE = ("conv_id", "msg_idx")
 NOUNS = ("NOUN", "PROPN", "NN", "NE")
@@ -521,10 +522,11 @@ def analyze(msg: DataFrame, spans: DataFrame, stop: DataFrame, vocabulary: DataF
         sections = own.filter((F.col("kind") == "sentence") | ((F.col("kind") == "chunk") & (F.col("phrase") == "NP")))
         whole = by_users.select(*MESSAGE, F.length("text").alias("end"))
         parts.append(keyword_phrases(words, sections.select(*MESSAGE, "end").unionByName(whole), matched, by_users))
-    tokens = union_tokens(*parts)
+    # every stage up to here reads the spans, every stage from here on the tokens: written once in between
+    tokens = cut_lineage(union_tokens(*parts))
     if rules:
         tokens = apply_hint_rules(type_masked_text(tokens, by_users), rules)
     tokens = remove_stopwords(tokens, stop, lang)
     tokens = mark_negated(merge_contained(tokens), chunks)
-    return index_tokens(tokens.withColumn("state", F.lit("Suggested")))
+    return index_tokens(cut_lineage(tokens.withColumn("state", F.lit("Suggested"))))
 

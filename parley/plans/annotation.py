@@ -520,17 +520,19 @@ def _settings(owners):
 @query()
 def batch_analyze(spark, sf):
     """Tokens, templates and queries of every conversation in one job."""
-    msg = w.analysis_window(ad.messages(spark, sf), 10)
+    msg = ad.stored(w.analysis_window(ad.messages(spark, sf), 10))
     words = ad.stored(_words(msg))
-    spans = words.unionByName(_chunks(msg, words), allowMissingColumns=True).withColumn(
-        "phrase", F.lit(None).cast("string"))
+    spans = ad.stored(words.unionByName(_chunks(msg, words), allowMissingColumns=True).withColumn(
+        "phrase", F.lit(None).cast("string")))
     tf, stats = _conversation_terms(spark, sf)
-    terms = a.keyword_terms(tf.drop("owner"), {"chat": (stats.groupBy("term").agg(F.sum("df").alias("df")), F.lit(100))})
-    vocabulary = _vocabulary(spark, sf, words)
+    sizes = stats.groupBy("term").agg(F.sum("df").alias("df"))
+    n_docs = ad.conversations(spark, sf).filter("deleted is null").agg(F.count(F.lit(1)).alias("n")).scalar()
+    terms = ad.stored(a.keyword_terms(tf.drop("owner"), {"chat": (sizes, n_docs)}))
+    vocabulary = ad.stored(_vocabulary(spark, sf, words))
     rules = [(r"(?:die|the|le) (<Place>)", ["from"])]
     tokens = ad.stored(a.analyze(msg, spans, _stop(spark), vocabulary, "de", terms, rules))
     owners = ad.conversations(spark, sf).select("conv_id", F.col("owner").alias("client"))
-    slots = a.build_templates(tokens)
+    slots = ad.stored(a.build_templates(tokens))
     return q.build_queries(slots, tokens, w.context_start(msg), _settings(owners), owners)
 
 
