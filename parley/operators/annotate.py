@@ -7,7 +7,7 @@ the message table; matches inside it are window scans in text order, so no pairs
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -355,9 +355,14 @@ def related_slots(tokens: DataFrame, template_idx: int = 1) -> DataFrame:
         "token_idx")
 
 
-def build_templates(tokens: DataFrame) -> DataFrame:
-    """Slots of all templates of an analysis."""
-    return latch_slots(tokens).unionByName(related_slots(tokens))
+def build_templates(tokens: DataFrame, builders: Sequence[Callable[[DataFrame, int], DataFrame]] = (
+        latch_slots, related_slots)) -> DataFrame:
+    """Slots of all templates of an analysis; a builder maps (tokens, template number) to slots."""
+    parts = [build(tokens, number) for number, build in enumerate(builders)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 # Per template the roles with their token type, and the roles that must be present (any of each group).
@@ -479,6 +484,31 @@ def apply_hint_rules(masked: DataFrame, rules: Sequence[tuple[str, Sequence[str
     return joined.withColumn("hints", hints).drop("hint", "masked", "offset")
 
 
+def apply_rulesets(tokens: DataFrame, texts: DataFrame, rulesets: Sequence[Mapping], lang: str | None) -> DataFrame:
+    """Apply rule sets (``rules``, ``lang``, ``topics``, ``types``) to the messages and tokens they are made for.
+
+    A set without language serves every language; one with topics only serves messages with one of them or of their
+    descendants; only tokens of its types take part and are not rejected.
+    """
+    for rules in rulesets:
+        if rules.get("lang") not in (None, lang):
+            continue
+        usable = F.coalesce(F.col("state") != "Rejected", F.lit(True)) if "state" in tokens.columns else F.lit(True)
+        if rules.get("types"):
+            usable = usable & F.col("type").isin(*rules["types"])
+        flagged = tokens.withColumn("_use", usable)
+        if rules.get("topics"):
+            about = topic_set(tokens.withColumn("state", F.col("state") if "state" in tokens.columns else F.lit(
+                "Suggested"))).filter(topics_apply(F.col("topics"), rules["topics"])).select(
+                "conv_id", "message_idx", F.lit(True).alias("_about"))
+            flagged = flagged.join(about, ["conv_id", "message_idx"], "left").withColumn(
+                "_use", F.col("_use") & F.coalesce("_about", F.lit(False))).drop("_about")
+        flagged = cut_lineage(flagged)
+        hinted = apply_hint_rules(type_masked_text(flagged.filter("_use"), texts), rules["rules"])
+        tokens = hinted.select(*tokens.columns).unionByName(flagged.filter(~F.col("_use")).drop("_use"))
+    return tokens
+
+
 def union_tokens(*parts: DataFrame) -> DataFrame:
     """Tokens of all extractors in one table."""
     out = parts[0].select(*TOKEN_COLUMNS)
@@ -498,11 +528,14 @@ def keyword_terms(tf: DataFrame, corpora: Mapping[str, tuple[DataFrame, Column]]
 
 
 def analyze(msg: DataFrame, spans: DataFrame, stop: DataFrame, vocabulary: DataFrame, lang: str = "de",
-            terms: DataFrame | None = None, rules: Sequence[tuple[str, Sequence[str | None]]] = ()) -> DataFrame:
+            terms: DataFrame | None = None, rulesets: Sequence[Mapping] = (),
+            extractors: Sequence[Callable[[DataFrame, DataFrame], DataFrame]] = (),
+            filters: Sequence[Column] = ()) -> DataFrame:
     """All extraction and clean-up stages; the result is the token table of each conversation with ``token_idx``.
 
     ``msg`` are the messages of the analysis window, ``spans`` their span annotations, ``terms`` the interesting terms of
-    each conversation (conv_id, term, source, prob).
+    each conversation (conv_id, term, source, prob).  ``extractors`` are further stages (messages, spans) -> tokens,
+    ``filters`` further conditions that drop a token.
     """
     by_users = msg.filter((F.col("origin") == "User") & ~skips() & ~is_blank(F.col("content"))).select(
         "conv_id", F.col("idx").alias("msg_idx"), F.col("content").alias("text"))
@@ -522,11 +555,11 @@ def analyze(msg: DataFrame, spans: DataFrame, stop: DataFrame, vocabulary: DataF
         sections = own.filter((F.col("kind") == "sentence") | ((F.col("kind") == "chunk") & (F.col("phrase") == "NP")))
         whole = by_users.select(*MESSAGE, F.length("text").alias("end"))
         parts.append(keyword_phrases(words, sections.select(*MESSAGE, "end").unionByName(whole), matched, by_users))
+    parts += [extract(msg, own) for extract in extractors]
     # every stage up to here reads the spans, every stage from here on the tokens: written once in between
     tokens = cut_lineage(union_tokens(*parts))
-    if rules:
-        tokens = apply_hint_rules(type_masked_text(tokens, by_users), rules)
-    tokens = remove_stopwords(tokens, stop, lang)
+    tokens = apply_rulesets(tokens, by_users, rulesets, lang)
+    tokens = filter_tokens(remove_stopwords(tokens, stop, lang), filters)
     tokens = mark_negated(merge_contained(tokens), chunks)
     return index_tokens(cut_lineage(tokens.withColumn("state", F.lit("Suggested"))))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parley.functions.text import is_blank, to_slug
 from parley.functions.values import coerce_message_field
+from parley.lookup import lookup_join
 from parley.operators.filters import not_deleted
 from parley.scan import BUCKET_ROWS, before, bucket_of, carry, ordinal
 from parley.schema import STATUSES
@@ -267,8 +268,8 @@ def backfill_property(conv: DataFrame, areas: DataFrame) -> DataFrame:
     channel = F.get(F.try_element_at(environment, F.lit("channel_id")), F.lit(0))
     missing = F.try_element_at(environment, F.lit("support_area")).isNull()
     keyed = conv.withColumn("_channel", F.when(missing, channel))
-    joined = keyed.join(areas.select(F.col("channel_id").alias("_channel"), F.col("support_area").alias("_area")),
-                        "_channel", "left")
+    joined = lookup_join(keyed, areas.select(F.col("channel_id").alias("_channel"), F.col("support_area").alias(
+        "_area")), ["_channel"], "left", salt_by=[F.col("conv_id")])
     filled = F.when(F.col("_area").isNotNull(), F.map_concat(
         F.map_filter(environment, lambda k, v: k != "support_area"),
         F.create_map(F.lit("support_area"), F.array("_area")))).otherwise(environment)
@@ -288,8 +289,9 @@ def derive_clients(conv: DataFrame, clients: DataFrame, settings: DataFrame, def
                              F.lit(False).alias("default_client"), now.alias("last_update"))
     all_clients = clients.unionByName(created)
     owners = all_clients.select(F.col("name").alias("_domain"), F.col("client").alias("_client"))
-    owned = conv.withColumn("_domain", F.when(F.col("owner").isNull(), F.col("context.domain"))).join(
-        owners, "_domain", "left").withColumn("owner", F.coalesce("owner", "_client")).select(*conv.columns)
+    keyed = conv.withColumn("_domain", F.when(F.col("owner").isNull(), F.col("context.domain")))
+    owned = lookup_join(keyed, owners, ["_domain"], "left", salt_by=[F.col("conv_id")]).withColumn(
+        "owner", F.coalesce("owner", "_client")).select(*conv.columns)
     added = all_clients.join(settings.select("client"), "client", "left_anti").select(
         "client", default_config.alias("config"), now.alias("modified"))
     return owned, all_clients, settings.unionByName(added)
@@ -359,11 +361,11 @@ def upsert_clients(clients: DataFrame, new: DataFrame, settings: DataFrame, now:
     settings start with a copy of the settings of the default tenant.
     """
     taken = clients.select("name", F.col("client").alias("_holder"))
-    first = Window.partitionBy("name").orderBy("seq")
-    checked = new.join(taken, "name", "left").withColumn("_n", F.row_number().over(first))
+    first = new.groupBy("name").agg(F.min("seq").alias("_first"))
+    checked = new.join(taken, "name", "left").join(first, "name", "left")
     reason = (F.when(~F.col("name").rlike(CLIENT_NAME) | F.col("name").isNull(), "name does not match")
               .when(F.col("_holder").isNotNull() & (F.col("_holder") != F.col("client")), "name is taken")
-              .when(F.col("_n") > 1, "name is taken"))
+              .when(F.col("seq") > F.col("_first"), "name is taken"))
     checked = checked.withColumn("reason", reason)
     accepted = checked.filter(F.col("reason").isNull())
     rejected = checked.filter(F.col("reason").isNotNull()).select("client", "name", "reason")
@@ -390,9 +392,11 @@ def validate_settings(settings: DataFrame, known_types: Sequence[str]) -> tuple[
         "name": F.when(is_blank(display), name).when(is_blank(name), to_slug(display)).otherwise(name),
         "display_name": F.when(is_blank(display), name).otherwise(display),
         "unbound": ~F.col("type").isin(*known_types)})
-    order = Window.partitionBy("client", "category", "type", "name").orderBy("position")
-    numbered = completed.withColumn("_n", F.row_number().over(order))
+    identity = ["client", "category", "type", "name"]
     nameless = is_blank(name)
-    conflicts = numbered.filter(nameless | (F.col("_n") > 1)).select(
+    first = completed.filter(~nameless).groupBy(*identity).agg(F.min("position").alias("_first"))
+    checked = completed.join(first, identity, "left")
+    repeated = F.coalesce(F.col("position") > F.col("_first"), F.lit(False))
+    conflicts = checked.filter(nameless | repeated).select(
         "client", "category", "position", F.when(nameless, "displayName").otherwise("name").alias("field"))
-    return numbered.filter(~nameless & (F.col("_n") == 1)).drop("_n"), conflicts
+    return checked.filter(~nameless & ~repeated).drop("_first"), conflicts

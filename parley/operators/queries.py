@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parley.functions.text import highlight
 from parley.functions.values import TITLE_BOOST, phrase_query
+from parley.lookup import lookup_join
 from parley.operators import search as s
 from parley.operators.annotate import build_templates, index_tokens, valid_templates
 from parley.operators.filters import accept_tokens, context_message_ids, context_users
@@ -99,7 +100,7 @@ def route_by_creator(queries: DataFrame, settings: DataFrame) -> DataFrame:
     split = queries.withColumn("_type", F.get(parts, F.lit(1))).withColumn("_name", F.get(parts, F.lit(2)))
     known = settings.select("client", F.col("type").alias("_type"), F.col("name").alias("_name"),
                             F.lit(True).alias("_found")).distinct()
-    joined = split.join(known, ["client", "_type", "_name"], "left")
+    joined = lookup_join(split, known, ["client", "_type", "_name"], "left")
     return joined.withColumn("routed", F.col("_type").isNotNull() & (
         F.col("_name").isNull() | F.coalesce("_found", F.lit(False)))).withColumnRenamed(
         "_type", "builder").withColumnRenamed("_name", "component").drop("_found")
@@ -116,9 +117,9 @@ def keep_states(old: DataFrame, new: DataFrame) -> DataFrame:
 def analysis_keys(conv: DataFrame, settings: DataFrame) -> DataFrame:
     """(conv_id, client, date): the later of the conversation's and the settings' modification."""
     changed = settings.select("client", F.col("modified").alias("_changed"))
-    return conv.join(changed, F.col("owner") == F.col("client"), "left").select(
-        "conv_id", F.col("owner").alias("client"),
-        F.greatest("last_modified", "_changed").alias("date"))
+    owned = conv.select("conv_id", F.col("owner").alias("client"), "last_modified")
+    return lookup_join(owned, changed, ["client"], "left").select(
+        "conv_id", "client", F.greatest("last_modified", "_changed").alias("date"))
 
 
 def fresh_analyses(conv: DataFrame, settings: DataFrame, analyses: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,7 +157,7 @@ def build_queries(slots: DataFrame, tokens: DataFrame, starts: DataFrame, settin
         merged = merged.unionByName(part)
     enabled = settings.filter("enabled").select("client", "type", "name")
     confidence = F.create_map(*[F.lit(x) for pair in QUERY_CONFIDENCE.items() for x in pair])
-    queries = merged.join(owners, "conv_id").join(enabled, ["client", "type"]).select(
+    queries = lookup_join(merged.join(owners, "conv_id"), enabled, ["client", "type"]).select(
         "conv_id", "template_idx", F.concat_ws(":", F.lit("queryBuilder"), "type", "name").alias("creator"),
         F.coalesce("query", F.lit("")).alias("query"), F.try_element_at(confidence, F.col("type")).alias("confidence"),
         F.lit("Suggested").alias("state"))

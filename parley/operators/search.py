@@ -6,7 +6,7 @@ similarity.  Scores are rounded to six digits before they are ranked.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -138,6 +138,27 @@ def group_hits(hits: DataFrame, group: str = "conv_id", doc_order: Sequence[str]
     return kept.filter(F.col("_r") <= per_group).drop("_r")
 
 
+def hydrate_hits(hits: DataFrame, conv: DataFrame) -> DataFrame:
+    """Hits with the columns of their conversation; hits of missing or deleted conversations are dropped."""
+    return hits.join(conv.filter(F.col("deleted").isNull()), "conv_id")
+
+
+def hits_to_messages(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row per message behind each hit: a merged document stands for several messages."""
+    covered = docs.select("conv_id", "idx", "message_idxs")
+    return hits.join(covered, ["conv_id", "idx"]).drop("idx").withColumn("idx", F.explode("message_idxs")).drop(
+        "message_idxs")
+
+
+def copy_fields(docs: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Add search fields that collect the texts of other columns (target -> source columns or prefixes ending in *)."""
+    for target, sources in rules.items():
+        columns = [c for c in docs.columns for rule in sources
+                   if c == rule or (rule.endswith("*") and c.startswith(rule[:-1]) and c != target)]
+        docs = docs.withColumn(target, F.concat_ws("\n", *columns))
+    return docs
+
+
 def facet_counts(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Counts per value of each field in one pass (``field``, ``value``, ``n``)."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))

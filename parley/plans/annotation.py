@@ -112,9 +112,11 @@ def vocabulary_entities(spark, sf):
     return found.select("conv_id", "message_idx", "start", "end", "value")
 
 
-def _tokens(spark, sf):
-    """Tokens: every chunk as a token of the type its entity label gives."""
+def _tokens(spark, sf, window=0):
+    """Tokens: every chunk as a token of the type its entity label gives, of all or the last ``window`` messages."""
     msg = ad.messages(spark, sf)
+    if window:
+        msg = ad.stored(w.analysis_window(msg, window))
     words = _words(msg)
     chunks = _chunks(msg, words)
     length = F.length("text")
@@ -388,7 +390,7 @@ two AS (SELECT conv_id, confidence, token_idx, 1 AS k, concat(CASE role WHEN 'lo
 SELECT conv_id, coalesce(query, '') AS query FROM (SELECT DISTINCT conv_id FROM latch) LEFT JOIN (SELECT conv_id,
   string_agg(p, ' OR ' ORDER BY confidence DESC, token_idx, k) AS query FROM two GROUP BY conv_id) USING (conv_id)""")
 def latch_query(spark, sf):
-    _, _, _, tokens = _tokens(spark, sf)
+    _, _, _, tokens = _tokens(spark, sf, 10)
     indexed = a.index_tokens(tokens)
     return q.latch_query(a.latch_slots(indexed), indexed).select("conv_id", "query")
 
@@ -396,7 +398,7 @@ def latch_query(spark, sf):
 @query(f"""{_LATCH_SQL} SELECT conv_id, string_agg(value, ' ' ORDER BY confidence DESC, token_idx) AS query FROM latch
 WHERE confidence >= 0.1 AND role IN ('location', 'alphabet') GROUP BY conv_id""")
 def web_query(spark, sf):
-    _, _, _, tokens = _tokens(spark, sf)
+    _, _, _, tokens = _tokens(spark, sf, 10)
     indexed = a.index_tokens(tokens)
     return q.web_query(a.latch_slots(indexed), indexed).select("conv_id", "query")
 
@@ -407,7 +409,7 @@ SELECT s.conv_id, string_agg(value, '|' ORDER BY first_at) FILTER (role = 'Keywo
   string_agg(value, '|' ORDER BY first_at) FILTER (role = 'Term') AS terms FROM starts s LEFT JOIN v USING (conv_id)
 GROUP BY s.conv_id""")
 def related_search_query(spark, sf):
-    msg, _, _, tokens = _tokens(spark, sf)
+    msg, _, _, tokens = _tokens(spark, sf, 10)
     indexed = a.index_tokens(tokens)
     built = q.related_search_query(a.related_slots(indexed), indexed, w.context_start(msg))
     return built.select("conv_id", *[F.when(F.size(c) > 0, F.array_join(c, "|")).alias(c) for c in ("keywords", "terms")])
@@ -529,8 +531,8 @@ def batch_analyze(spark, sf):
     n_docs = ad.conversations(spark, sf).filter("deleted is null").agg(F.count(F.lit(1)).alias("n")).scalar()
     terms = ad.stored(a.keyword_terms(tf.drop("owner"), {"chat": (sizes, n_docs)}))
     vocabulary = ad.stored(_vocabulary(spark, sf, words))
-    rules = [(r"(?:die|the|le) (<Place>)", ["from"])]
-    tokens = ad.stored(a.analyze(msg, spans, _stop(spark), vocabulary, "de", terms, rules))
+    rules = {"lang": "de", "types": ["Place", "Date"], "rules": [(r"(?:die|the|le) (<Place>)", ["from"])]}
+    tokens = ad.stored(a.analyze(msg, spans, _stop(spark), vocabulary, "de", terms, [rules]))
     owners = ad.conversations(spark, sf).select("conv_id", F.col("owner").alias("client"))
     slots = ad.stored(a.build_templates(tokens))
     return q.build_queries(slots, tokens, w.context_start(msg), _settings(owners), owners)
@@ -538,7 +540,7 @@ def batch_analyze(spark, sf):
 
 @query()
 def reapply_tokens(spark, sf):
-    msg, _, _, tokens = _tokens(spark, sf)
+    msg, _, _, tokens = _tokens(spark, sf, 10)
     edited = ad.stored(tokens.withColumn("state", F.when(F.col("confidence") < 0.3, "Rejected").otherwise("Confirmed")))
     owners = ad.conversations(spark, sf).select("conv_id", F.col("owner").alias("client"))
     _, queries = q.reapply_tokens(edited, w.context_start(msg), _settings(owners), owners)
@@ -565,3 +567,38 @@ def search_chat_docs(spark, sf):
         F.coalesce("removed", F.lit(False)).alias("removed"))
     queries = spark.createDataFrame(_CHAT_TEXTS, "query_id string, client string, text string")
     return q.search_chat_docs(docs, queries).select("query_id", "id", "score")
+
+
+@query(f"""{_LATCH_SQL}, t AS (SELECT conv_id, 'token' AS part, token_idx AS n, concat(type, ':', value) AS label FROM indexed
+  UNION ALL SELECT conv_id, 'template', template_idx, role FROM (SELECT DISTINCT conv_id, template_idx, role FROM rel))
+SELECT * FROM t""")
+def analysis_parts(spark, sf):
+    """The token list of each analysis and its second template."""
+    _, _, _, tokens = _tokens(spark, sf)
+    indexed = a.index_tokens(tokens)
+    slots = f.template_at(a.build_templates(indexed), 1).select("conv_id", "template_idx", "role").distinct()
+    listed = indexed.select("conv_id", F.lit("token").alias("part"), F.col("token_idx").alias("n"),
+                            F.concat_ws(":", "type", "value").alias("label"))
+    return listed.unionByName(slots.select("conv_id", F.lit("template").alias("part"), F.col("template_idx").cast(
+        "long").alias("n"), F.col("role").alias("label")))
+
+
+@query(f"""{_MASK_SQL}, about AS (SELECT DISTINCT conv_id, msg_idx FROM words WHERE length(text) = 10)
+SELECT o.conv_id, o.msg_idx AS message_idx, start, type, CASE WHEN type = 'Place' AND a.conv_id IS NOT NULL
+  AND regexp_matches(substring(masked, 1, "offset"), '(die|the|le) $') THEN 'from' ELSE '' END AS hints
+FROM offs o JOIN full_text USING (conv_id, msg_idx) LEFT JOIN about a ON a.conv_id = o.conv_id AND a.msg_idx = o.msg_idx
+WHERE type IS NOT NULL
+UNION ALL SELECT conv_id, msg_idx, start, 'Topic', '' FROM words WHERE length(text) = 10""")
+def apply_rulesets(spark, sf):
+    msg = ad.messages(spark, sf)
+    words = _words(msg).filter("length(text) % 6 = 0 or length(text) = 10")
+    tokens = words.select(
+        "conv_id", F.col("msg_idx").alias("message_idx"), "start", "end",
+        F.expr("case when length(text) = 10 then 'ReiseplanungBahn' else text end").alias("value"),
+        F.expr("case when length(text) = 10 then 'Topic' when length(text) % 4 = 0 then 'Place' else 'Date' end").alias("type"),
+        F.array().cast("array<string>").alias("hints"), F.lit(0.5).alias("confidence"))
+    travel = {"lang": "de", "topics": ["Reiseplanung"], "types": ["Place", "Date"],
+              "rules": [(r"(?:die|the|le) (<Place>)", ["from"])]}
+    other = {"lang": "en", "rules": [(r"(<Place>)", ["never"])]}
+    return a.apply_rulesets(tokens, _texts(msg), [travel, other], "de").select(
+        "conv_id", "message_idx", "start", "type", F.array_join("hints", ",").alias("hints"))

@@ -109,8 +109,7 @@ FROM found_runs r""")
 def search_conversations(spark, sf):
     docs, hits = _search(spark, sf)
     kept = s.group_hits(hits, per_group=3)
-    hit_msgs = kept.join(docs.select("conv_id", "idx", "message_idxs"), ["conv_id", "idx"]).select(
-        "query_id", "conv_id", "group_rank", "num_found", F.explode("message_idxs").alias("idx"), "score")
+    hit_msgs = s.hits_to_messages(kept, docs).select("query_id", "conv_id", "group_rank", "num_found", "idx", "score")
     runs = w.hit_runs(hit_msgs)
     around = w.with_neighbours(runs, ad.messages(spark, sf)).groupBy("query_id", "conv_id", "start").agg(
         *[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("idx")))),
@@ -270,3 +269,27 @@ UNION ALL SELECT 'support_area', support_area, count(*) FROM docs WHERE support_
 def facet_counts(spark, sf):
     docs = _docs(spark, sf).withColumn("support_area", F.get("support_area", F.lit(0)))
     return s.facet_counts(docs, ["owner", "completed", "support_area"])
+
+
+@query(f"""{_HITS_SQL} SELECT query_id, h.conv_id, h.idx, status, domain FROM hits h JOIN conv USING (conv_id)
+WHERE deleted IS NULL AND status = 'Complete'""")
+def hydrate_hits(spark, sf):
+    _, hits = _search(spark, sf)
+    conv = ad.conversations(spark, sf).filter("status = 'Complete'").select(
+        "conv_id", "status", "context.domain", "deleted")
+    return s.hydrate_hits(hits, conv).select("query_id", "conv_id", "idx", "status", "domain")
+
+
+@query(f"{_HITS_SQL} SELECT query_id, h.conv_id, unnest(idxs) AS idx, score FROM hits h JOIN docs d "
+       "ON d.conv_id = h.conv_id AND d.idx = h.idx")
+def hits_to_messages(spark, sf):
+    docs, hits = _search(spark, sf)
+    return s.hits_to_messages(hits, docs).select("query_id", "conv_id", "idx", "score")
+
+
+@query("SELECT doc_id, concat(text, chr(10), lang) AS text_all, concat(source, chr(10), lang) AS iterms FROM documents")
+def copy_fields(spark, sf):
+    docs = ad.documents(spark, sf).select("doc_id", F.col("text").alias("message"), F.col("lang").alias("keyword_lang"),
+                                          "source")
+    copied = s.copy_fields(docs, {"text_all": ["message*", "keyword*"], "iterms": ["source", "keyword_lang"]})
+    return copied.select("doc_id", "text_all", F.concat_ws("\n", "source", "keyword_lang").alias("iterms"))

@@ -67,7 +67,7 @@ def read_vocabulary(spark: SparkSession, path: str, sep: str = ",", tag: str | N
                     ) -> DataFrame:
     """Concept and synonyms per line; the first column is the label, and every column is a surface form."""
     cells = spark.read.text(path).filter(F.col("value").rlike(r"\S")).select(
-        F.transform(F.split("value", f"[{sep}]"), F.trim).alias("cells"))
+        F.transform(F.split("value", f"[{sep}]"), lambda c: F.trim(c)).alias("cells"))
     return cells.select(F.get("cells", F.lit(0)).alias("label"), F.explode("cells").alias("surface")).filter(
         F.col("surface") != "").distinct().withColumn("tag", F.lit(tag).cast("string")).withColumn(
         "lang", F.lit(lang).cast("string"))

@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException
 
 from parley.operators.filters import not_deleted
 from parley.operators.windows import keep_last
+from parley.scan import bucket_of, spread_join
 from parley.session import cut_lineage
 
 BUCKETS = 64
@@ -38,6 +39,15 @@ def export_conversations(conv: DataFrame, msg: DataFrame, owner: str, path: str)
         "metadata", F.from_json(m["metadata"], "map<string,string>")))).write.mode("overwrite").json(path)
 
 
+def store_imported(conv: DataFrame, msg: DataFrame, path: str, replace: bool = False) -> None:
+    """Store imported conversations below ``path``, one partition per owner; ``replace`` overwrites the owners given."""
+    owned = spread_join(msg.withColumn("_bucket", bucket_of("idx")), conv.select("conv_id", "owner"), ["conv_id"],
+                        "_bucket").drop("_bucket")
+    for name, df in (("conversations", conv), ("messages", owned)):
+        (df.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("owner").parquet(f"{path}/{name}"))
+
+
 def conversations_to_flat(conv: DataFrame, msg: DataFrame, include_invalid: bool = False, include_open: bool = False
                           ) -> DataFrame:
     """One row per message with the conversation's columns; conversations without a printable message give one row.
@@ -57,7 +67,10 @@ def conversations_to_flat(conv: DataFrame, msg: DataFrame, include_invalid: bool
     printed = msg if include_invalid else msg.filter(complete)
     rows = printed.select("conv_id", F.col("idx").alias("Msg Idx"), F.col("msg_id").alias("Msg Id"),
                           F.col("user_id").alias("Sender"), F.col("time").alias("Sent"), F.col("content").alias("Content"))
-    return head.join(rows, "conv_id", "left").withColumnRenamed("conv_id", "ID").select(*FLAT_COLUMNS)
+    printable = spread_join(rows.withColumn("_bucket", bucket_of("Msg Idx")), head, ["conv_id"], "_bucket")
+    empty = head.join(rows.select("conv_id").distinct(), "conv_id", "left_anti")
+    return printable.drop("_bucket").unionByName(empty, allowMissingColumns=True).withColumnRenamed(
+        "conv_id", "ID").select(*FLAT_COLUMNS)
 
 
 def write_flat(flat: DataFrame, path: str) -> None:
@@ -73,8 +86,10 @@ def read_search_docs(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored documents, None before the first write."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_search_docs(docs: DataFrame, path: str, removed: DataFrame | None = None, key: str = "conv_id",
