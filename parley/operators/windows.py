@@ -196,9 +196,9 @@ def _expand(msg: DataFrame, halo: int, min_len: int, length: int, min_msgs: int,
     # the generator keeps the fold from being evaluated once per column taken from it
     walk = F.aggregate(F.sequence(F.lit(1), n_forth + n_back), begin, grow)
     walked = gathered.select("conv_id", "idx", "_size", F.inline(F.array(walk)))
-    # the halo decides nothing unless all of it was used and the conversation goes on beyond it
-    cut_back = (F.col("idx") > halo) & (F.col("back") == halo)
-    cut_forth = (F.col("_size") - 1 - F.col("idx") > halo) & (F.col("forth") == halo + 1)
+    # where the conversation goes on beyond the halo, the walk must not have looked at the last message in it
+    cut_back = (F.col("idx") > halo) & (F.col("back") >= halo - 1)
+    cut_forth = (F.col("_size") - 1 - F.col("idx") > halo) & (F.col("forth") >= halo)
     return walked.select(
         "conv_id", "idx",
         F.least("low", F.greatest(F.lit(0), F.col("idx") - before_min)).cast("int").alias("start"),

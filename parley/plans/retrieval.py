@@ -11,7 +11,6 @@ from parley.operators import windows as w
 from parley.plans.registry import query
 from parley.plans.sequences import _RUNS_SQL
 from parley.scan import spread_join
-from parley.session import cut_lineage
 
 # Search texts per tenant; the tables they run over are the whole ones.
 SEARCHES = [("q1", "o0", "chkeit ung-erlich 42"), ("q2", "o1", "Étion le"), ("q3", "o2", "thtion that"),
@@ -66,9 +65,9 @@ def _searches(spark):
 
 
 def _search(spark, sf):
-    docs = _docs(spark, sf).select("conv_id", "idx", "owner", "content", "message_idxs")
-    # the index: read several times, so it is written once
-    terms = cut_lineage(s.postings(docs, ["conv_id", "idx", "owner"]))
+    # the documents and the index are read several times, so they are written once
+    docs = ad.stored(_docs(spark, sf).select("conv_id", "idx", "owner", "content", "message_idxs"))
+    terms = ad.stored(s.postings(docs, ["conv_id", "idx", "owner"]))
     sized = docs.select(F.size(F.filter(F.split("content", r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("len"))
     hits = s.search(terms, sized, _searches(spark), ["conv_id", "idx"], ["owner"])
     return docs, hits
@@ -108,9 +107,9 @@ SELECT query_id, conv_id, group_rank, num_found, start, "end", score,
 FROM found_runs r""")
 def search_conversations(spark, sf):
     docs, hits = _search(spark, sf)
-    kept = s.group_hits(hits, per_group=3)
+    kept = s.group_hits(ad.stored(hits), per_group=3)
     hit_msgs = s.hits_to_messages(kept, docs).select("query_id", "conv_id", "group_rank", "num_found", "idx", "score")
-    runs = w.hit_runs(hit_msgs)
+    runs = ad.stored(w.hit_runs(ad.stored(hit_msgs)))
     around = w.with_neighbours(runs, ad.messages(spark, sf)).groupBy("query_id", "conv_id", "start").agg(
         *[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("idx")))),
                                    lambda i: i.cast("string")), ",").alias(side) for side in ("before", "after")])
@@ -166,7 +165,7 @@ SELECT doc_id, term, CAST(rank AS INTEGER) AS rank, weight,
 def interesting_terms(spark, sf):
     docs = ad.documents(spark, sf)
     tf = s.postings(docs, ["doc_id"], "text").drop("len")
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    tf, n_docs = ad.stored(tf), docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     best = s.interesting_terms(tf, s.term_stats(tf), n_docs, ["doc_id"])
     return best.select("doc_id", "term", "rank", "weight", F.round("boost", 6).alias("boost"))
 
@@ -187,7 +186,7 @@ def _conversation_terms(spark, sf):
     conv = ad.conversations(spark, sf).filter("deleted is null").select("conv_id", "owner")
     msg = w.indexable_messages(ad.messages(spark, sf)).select("conv_id", "content")
     per_message = s.doc_terms(msg).drop("len").groupBy("conv_id", "term").agg(F.sum("tf").alias("tf"))
-    tf = per_message.join(conv, "conv_id")
+    tf = ad.stored(per_message.join(conv, "conv_id"))
     sizes = conv.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
     return tf, s.term_stats(tf, ["owner"]).join(sizes, "owner")
 
@@ -224,17 +223,17 @@ related AS (SELECT * FROM (SELECT s.*, votes, row_number() OVER (PARTITION BY qu
 
 
 def _related(spark, sf, **options):
-    docs = _docs(spark, sf)
+    docs = ad.stored(_docs(spark, sf))
     firsts = docs.filter("idx = 0").select("conv_id", "owner", "content", "votes")
-    tf = s.postings(firsts, ["conv_id", "owner"]).drop("len")
+    tf = ad.stored(s.postings(firsts, ["conv_id", "owner"]).drop("len"))
     sizes = firsts.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
-    stats = s.term_stats(tf, ["owner"]).join(sizes, "owner")
+    stats = ad.stored(s.term_stats(tf, ["owner"]).join(sizes, "owner"))
     conv = ad.conversations(spark, sf).filter("deleted is null").select("conv_id", "owner")
     msg = ad.messages(spark, sf).filter("not private").select("conv_id", "content")
     asked = (s.doc_terms(msg).drop("len").groupBy("conv_id", "term").agg(F.sum("tf").alias("tf"))
              .join(conv, "conv_id"))
     terms = s.interesting_terms(asked, stats, F.col("n"), ["owner", "conv_id"], ["owner"], 10)
-    queries = terms.select("conv_id", "owner", "term", "boost")
+    queries = ad.stored(terms.select("conv_id", "owner", "term", "boost"))
     return docs, s.related(queries, tf, firsts.drop("content"), stats, F.col("n"), ["owner"], "conv_id", **options)
 
 
