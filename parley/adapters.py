@@ -18,13 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Share the rows of a scan with fewer partitions than cores among all cores.
+
+    Large tables have more partitions than that and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def _every(expression: str) -> Column:
     return F.expr(f"({expression}) = 0")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages from the ``conversations`` table."""
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations"), "conv_id", "turn").select(
         "conv_id",
         F.col("turn").cast("int").alias("idx"),
         F.when(_every("(conv_id + turn) % 11"), "").otherwise(F.concat_ws("-", F.lit("m"), "conv_id", "turn"))
@@ -132,4 +141,8 @@ CONV_SQL = f"""conv AS (
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"), "page_id")

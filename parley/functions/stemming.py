@@ -191,17 +191,22 @@ CHAINS = {
 
 
 def analyze_text(df: DataFrame, text: str, chain: str = "standard", stop: list[str] | None = None,
-                 query_side: bool = False) -> DataFrame:
+                 query_side: bool = False, lengths: bool = False) -> DataFrame:
     """One row per term of ``text``: the other columns, ``pos``, ``word`` (as written) and ``term``.
 
+    ``lengths`` adds the number of words of the text as ``len``.
+
     ``query_side`` splits tokens only at delimiters and does not join the parts again.
     """
     spec = CHAINS[chain]
     keep = [c for c in df.columns if c != text]
     source = tx.strip_html(F.col(text)) if spec.get("html") else F.col(text)
     breaks = r"\s+" if spec.get("split") == "space" else r"[^\p{L}\p{N}]+"
-    words = (df.select(*keep, F.posexplode(F.split(source, breaks)).alias("pos", "word"))
-             .filter(F.col("word") != ""))
+    split = df.select(*keep, F.split(source, breaks).alias("_words"))
+    if lengths:
+        split = split.withColumn("len", F.size(F.array_remove("_words", "")))
+        keep = [*keep, "len"]
+    words = split.select(*keep, F.posexplode("_words").alias("pos", "word")).filter(F.col("word") != "")
     stopped = [w.lower() for w in stop] if stop and spec.get("stop") else []
 
     def form(value: Column) -> Column:

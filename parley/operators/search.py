@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parley.functions.stemming import analyze_text
-from parley.functions.text import escape_query, search_word_terms
+from parley.functions.text import bind, escape_query, search_word_terms
 from parley.lookup import frequency_join, is_small
 from parley.session import cut_lineage
 
@@ -29,16 +29,48 @@ def bm25(tf: Column, length: Column, avg_len: Column, weight: Column) -> Column:
 
 def doc_terms(docs: DataFrame, text: str = "content", chain: str = "standard", stop: list[str] | None = None,
               query_side: bool = False) -> DataFrame:
-    """Terms of each document with the document length in words; other columns are kept."""
-    pattern = r"[^\p{L}\p{N}]+" if chain in ("standard", "text_iterms_de") else r"\s+"
-    sized = docs.withColumn("len", F.size(F.filter(F.split(F.col(text), pattern), lambda x: x != "")))
-    return analyze_text(sized, text, chain, stop, query_side).drop("word", "pos").withColumn("tf", F.lit(1))
+    """Terms of each document with the document length in words; other columns are kept.
+
+    For the ``standard`` chain a term comes once with its count ``tf``, for the others once per occurrence.
+    """
+    if chain == "standard" and not stop:
+        return _counted(docs, text)
+    terms = analyze_text(docs, text, chain, stop, query_side, lengths=True)
+    return terms.drop("word", "pos").withColumn("tf", F.lit(1))
+
+
+def _counted(docs: DataFrame, text: str) -> DataFrame:
+    """Lower-case words with their counts, found by sorting the words of the row: nothing is shuffled."""
+    words = F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
+    # one lower() over all words instead of one per word
+    ordered = F.sort_array(F.array_remove(F.split(F.lower(F.array_join(words, " ")), " "), ""))
+
+    def starts(ws: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(ws) - 1)
+        changes = F.filter(every, lambda i: (i == 0) | (F.get(ws, i) != F.get(ws, i - 1)))
+        return F.when(F.size(ws) > 0, F.struct(ws.alias("ws"), changes.alias("at")))
+
+    def counts(found: Column) -> Column:
+        ws, at = found["ws"], found["at"]
+        return F.transform(at, lambda i, n: F.struct(
+            F.get(ws, i).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(ws)) - i).cast("long").alias("tf")))
+
+    keep = [c for c in docs.columns if c != text]
+    # the length is taken before the rows are multiplied
+    counted = docs.select(*keep, F.size(words).alias("len"), bind(bind(ordered, starts), counts).alias("_terms"))
+    return counted.select(*keep, "len", F.inline("_terms"))
 
 
 def postings(docs: DataFrame, keys: Sequence[str], text: str = "content", chain: str = "standard",
              stop: list[str] | None = None) -> DataFrame:
-    """(keys, term, tf, len).  All terms of a document come from one row, so counting them is a map-side combine."""
+    """(keys, term, tf, len) of documents, one row each.
+
+    All terms of a document come from one row.  The ``standard`` chain counts them there; for the others the count is a
+    map-side combine.
+    """
     terms = doc_terms(docs.select(*keys, text), text, chain, stop)
+    if chain == "standard" and not stop:
+        return terms.select(*keys, "term", "tf", "len")
     return terms.groupBy(*keys, "term").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
 
 

@@ -73,7 +73,7 @@ n AS (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM f)
 SELECT page_id, CAST(k AS INTEGER) AS n, found[k] AS text, CAST(list_sum(list_transform(gaps[1:k], lambda g: length(g)))
   + coalesce(list_sum(list_transform(found[1:k - 1], lambda g: length(g))), 0) AS INTEGER) AS start FROM n""")
 def url_entities(spark, sf):
-    pages = ad.table(spark, sf, "pages").select(
+    pages = ad.pages(spark, sf).select(
         F.col("page_id").alias("conv_id"), F.lit(0).alias("idx"),
         F.concat("html", F.lit(" "), "url", F.lit(" khttp://no.such/ FTP://Foo.com/a_b see "), "url").alias("content"))
     order = Window.partitionBy("conv_id").orderBy("start")

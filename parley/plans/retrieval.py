@@ -65,9 +65,10 @@ def _searches(spark):
 
 
 def _search(spark, sf):
-    # the documents and the index are read several times, so they are written once
+    # the documents are read several times, so they are written once; their terms are found in each row
     docs = ad.stored(_docs(spark, sf).select("conv_id", "idx", "owner", "content", "message_idxs"))
-    terms = ad.stored(s.postings(docs, ["conv_id", "idx", "owner"]))
+    docs = ad.spread(docs, "conv_id", "idx")
+    terms = s.postings(docs, ["conv_id", "idx", "owner"])
     sized = docs.select(F.size(F.filter(F.split("content", r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("len"))
     hits = s.search(terms, sized, _searches(spark), ["conv_id", "idx"], ["owner"])
     return docs, hits
@@ -165,7 +166,7 @@ SELECT doc_id, term, CAST(rank AS INTEGER) AS rank, weight,
 def interesting_terms(spark, sf):
     docs = ad.documents(spark, sf)
     tf = s.postings(docs, ["doc_id"], "text").drop("len")
-    tf, n_docs = ad.stored(tf), docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     best = s.interesting_terms(tf, s.term_stats(tf), n_docs, ["doc_id"])
     return best.select("doc_id", "term", "rank", "weight", F.round("boost", 6).alias("boost"))
 
@@ -225,7 +226,7 @@ related AS (SELECT * FROM (SELECT s.*, votes, row_number() OVER (PARTITION BY qu
 def _related(spark, sf, **options):
     docs = ad.stored(_docs(spark, sf))
     firsts = docs.filter("idx = 0").select("conv_id", "owner", "content", "votes")
-    tf = ad.stored(s.postings(firsts, ["conv_id", "owner"]).drop("len"))
+    tf = s.postings(firsts, ["conv_id", "owner"]).drop("len")
     sizes = firsts.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
     stats = ad.stored(s.term_stats(tf, ["owner"]).join(sizes, "owner"))
     conv = ad.conversations(spark, sf).filter("deleted is null").select("conv_id", "owner")

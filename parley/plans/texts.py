@@ -33,7 +33,7 @@ for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;",
 
 @query(f"SELECT page_id, {_STRIP_SQL} AS text FROM pages")
 def strip_html(spark, sf):
-    return ad.table(spark, sf, "pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
+    return ad.pages(spark, sf).select("page_id", tx.strip_html(F.col("html")).alias("text"))
 
 
 # White-space tokens of the pages, which mix punctuation, digits and cases; one token per text and position.
@@ -42,7 +42,7 @@ _TOKENS_SQL = f"""t AS (SELECT DISTINCT unnest(regexp_split_to_array({_STRIP_SQL
 
 
 def _page_tokens(spark, sf):
-    pages = ad.table(spark, sf, "pages").select(F.explode(F.split(tx.strip_html(F.col("html")), r"\s+")).alias("token"))
+    pages = ad.pages(spark, sf).select(F.explode(F.split(tx.strip_html(F.col("html")), r"\s+")).alias("token"))
     part = ad.table(spark, sf, "part").select(F.expr("concat(p_name, '-', p_brand, 'x', p_size, 'Wi-Fi')").alias("token"))
     return pages.union(part).distinct()
 
@@ -109,7 +109,7 @@ def snowball_and_porter_stems(spark, sf):
   regexp_split_to_array({_STRIP_SQL}, '\\s+') AS ws FROM pages))
 SELECT page_id, CAST(pos AS INTEGER) AS pos, word, {_FOLD_SQL.format('lower(word)')} AS term FROM w WHERE word <> ''""")
 def analyze_text_ws_lower(spark, sf):
-    pages = ad.table(spark, sf, "pages").select("page_id", "html")
+    pages = ad.pages(spark, sf).select("page_id", "html")
     return st.analyze_text(pages, "html", "text_ws_lower")
 
 
@@ -128,7 +128,7 @@ f AS (SELECT DISTINCT page_id, pos, {_FOLD_SQL.format(_NORM_SQL.format(_light_sq
   WHERE bare NOT IN ({_STOP_LIST}))
 SELECT page_id, CAST(pos AS INTEGER) AS pos, term FROM f WHERE term <> ''""")
 def analyze_text_de(spark, sf):
-    pages = ad.table(spark, sf, "pages").select("page_id", "html")
+    pages = ad.pages(spark, sf).select("page_id", "html")
     return st.analyze_text(pages, "html", "text_de", _STOPPED).drop("word")
 
 
@@ -171,7 +171,7 @@ def search_word_query(spark, sf):
 
 @query(f"SELECT page_id, {_ESCAPE_SQL.format('url')} AS escaped, md5({_ESCAPE_SQL.format('html')}) AS body FROM pages")
 def escape_query(spark, sf):
-    return ad.table(spark, sf, "pages").select("page_id", tx.escape_query(F.col("url")).alias("escaped"),
+    return ad.pages(spark, sf).select("page_id", tx.escape_query(F.col("url")).alias("escaped"),
                                                F.md5(tx.escape_query(F.col("html"))).alias("body"))
 
 
