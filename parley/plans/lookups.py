@@ -295,7 +295,7 @@ def updated_since(spark, sf):
         "conv_id", F.unix_millis("last_modified").alias("modified"))
 
 
-@query(f"{_CONV} SELECT max(modified) AS cursor FROM (SELECT modified, conv_id FROM conv WHERE modified >= "
+@query(f"{_CONV} SELECT coalesce(max(modified), {_SINCE_MS}) AS cursor FROM (SELECT modified, conv_id FROM conv WHERE modified >= "
        f"{_SINCE_MS} ORDER BY modified, conv_id LIMIT 25)")
 def next_cursor(spark, sf):
     since = F.timestamp_millis(F.lit(_SINCE_MS))
