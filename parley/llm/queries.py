@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import simhash
+from parley.llm import simhash, tokenfile, wordbpe
 from parley.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
+def vocabulary() -> str:
+    """Place of the public tokenizer file that the token queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
     return function
@@ -24,3 +31,13 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@query
+def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.written_and_read(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
