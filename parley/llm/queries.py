@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import lmscore, quality, secrets, simhash, suffixes, tokenfile, wordbpe
+from parley.llm import lmscore, quality, secrets, simhash, suffixes, tokenfile, vectors, wordbpe
 from parley.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,8 @@ def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.written_and_read(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
+
+
+@query
+def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
