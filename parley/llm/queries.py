@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import lmscore, quality, secrets, simhash, suffixes, tokenfile, vectors, wordbpe
+from parley.llm import html, lmscore, mixing, quality, secrets, simhash, suffixes, tokenfile, vectors, wordbpe
 from parley.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,19 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+@query
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op6_source_mix"] = mixing.sql()
+
+
 @query
 def op7_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.held_out_scores(table(spark, sf_dir, "documents"), order=2)
