@@ -9,7 +9,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parley.session import shared_dir
 
@@ -113,3 +113,19 @@ def partition_table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     """All rows of a partition whose size its writer has bounded."""
     kept = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(kept).combine_chunks() if kept else None
+
+
+ROW = "_row"
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """Adds ``_row``: the key and a hash of the whole row, which only rows that are the same in all columns share."""
+    return docs.withColumn(ROW, F.struct(F.col("doc_id").alias("doc_id"), F.xxhash64(*docs.columns).alias("print")))
+
+
+def only(docs: DataFrame, rows: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of ``docs`` (see ``with_row``) that ``rows`` names, in all their columns; repeated rows ``once`` or all."""
+    chosen = rows.select(F.col(f"{ROW}.doc_id").alias("_id"), F.col(f"{ROW}.print").alias("_print")).distinct()
+    own = docs.dropDuplicates([ROW]) if once else docs
+    same = F.col(f"{ROW}.doc_id").eqNullSafe(F.col("_id")) & (F.col(f"{ROW}.print") == F.col("_print"))
+    return own.join(chosen, same, "left_semi").drop(ROW)

@@ -204,20 +204,26 @@ def load(path: str) -> WordBpe:
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``ids`` (array of int); null and empty texts have no ids, a column ids is replaced."""
+    """All columns of ``docs`` with ``ids`` (array of int), ``n_tokens`` and ``decoded`` (the ids decoded again).
+
+    Null and empty texts have no ids and decode to the empty text; columns of these names are replaced.
+    """
     small_batches(docs.sparkSession)
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", "n_tokens", "decoded")
     at = docs.columns.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
             ids, counts = bpe.encode(text_bytes(batch.column(at)))
-            offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+            offsets = np.r_[0, np.cumsum(counts)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            texts = [bpe.decode(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(counts), pa.array(texts, pa.string())],
+                                             [*batch.schema.names, "ids", "n_tokens", "decoded"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])
     return docs.mapInArrow(apply, schema)
 
 
