@@ -30,7 +30,6 @@ NUMBERS = ("NUM", "CARD")
 ADPOSITIONS = ("ADP", "APPR", "APPRART")
 LOCATION, ORGANIZATION = "location", "organization"
 MIN_TOPIC_CONFIDENCE = 0.1
-MAX_LABEL_WORDS = 5
 TOKEN_COLUMNS = ("conv_id", "message_idx", "start", "end", "value", "type", "hints", "confidence")
 
 
@@ -54,21 +53,25 @@ def url_entities(msg: DataFrame) -> DataFrame:
                       F.inline(extract_urls(F.col("content"))))
 
 
-def vocabulary_entities(words: DataFrame, vocabulary: DataFrame, max_words: int = MAX_LABEL_WORDS) -> DataFrame:
-    """Dictionary matches of up to ``max_words`` words as Term tokens with the label of the entry as value.
+def vocabulary_entities(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Dictionary matches as Term tokens with the label of the entry as value.
 
-    ``vocabulary``: label, surface.  Surfaces written all upper case must match exactly, others without case.
+    ``vocabulary``: label, surface.  Surfaces written all upper case must match exactly, others without case.  Word
+    sequences are formed in the lengths that entries have, however long they are.
     """
-    joined = Window.partitionBy(*MESSAGE).orderBy("start").rowsBetween(0, max_words - 1)
+    entries = vocabulary.select("label", F.trim(F.regexp_replace("surface", r"[^\p{L}\p{N}]+", " ")).alias("_entry"))
+    entries = entries.filter(F.col("_entry") != "").withColumn("_key", F.lower("_entry")).distinct()
+    lengths = sorted(r.n for r in entries.select(F.size(F.split("_entry", " ")).alias("n")).distinct().collect())
+    if not lengths:
+        lengths = [1]
+    joined = Window.partitionBy(*MESSAGE).orderBy("start").rowsBetween(0, lengths[-1] - 1)
     ahead = F.collect_list(F.struct("text", "end")).over(joined)
     shingles = words.select(*MESSAGE, "start", ahead.alias("_next")).select(
         *MESSAGE, "start", F.explode(F.transform(
-            F.sequence(F.lit(1), F.size("_next")),
+            F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.size("_next")),
             lambda n: F.struct(F.get(F.col("_next"), n - 1)["end"].alias("end"), F.array_join(F.transform(
                 F.slice(F.col("_next"), F.lit(1), n), lambda w: w["text"]), " ").alias("surface")))).alias("_s"))
     shingles = shingles.select(*MESSAGE, "start", "_s.*").withColumn("_key", F.lower("surface"))
-    entries = vocabulary.select("label", F.regexp_replace("surface", r"[^\p{L}\p{N}]+", " ").alias("_entry")).withColumn(
-        "_key", F.lower("_entry")).distinct()
     hits = lookup_join(shingles, entries, ["_key"])
     exact = ~is_all_upper(F.col("_entry")) | (F.col("_entry") == F.col("surface"))
     return hits.filter(exact).select(
@@ -280,7 +283,7 @@ def entity_tokens(chunks: DataFrame, texts: DataFrame) -> DataFrame:
         "conv_id", F.col("msg_idx").alias("message_idx"), "start", "end",
         F.when(F.col("end") > -first["e"], covered).otherwise(first["v"]).alias("value"), "type",
         F.array_sort(F.array_distinct(F.array_compact(F.transform("_p", lambda p: p["h"])))).alias("hints"),
-        F.aggregate(F.slice("_p", 2, 1 << 20), first["p"],
+        F.aggregate(F.slice("_p", F.lit(2), F.size("_p")), first["p"],
                     lambda acc, p: sum_probability(acc, p["p"])).alias("confidence"))
 
 

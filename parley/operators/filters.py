@@ -124,22 +124,23 @@ def conversation_rollup(msg: DataFrame) -> DataFrame:
 
 
 def conversation_texts(msg: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
-    """Indexable contents of a conversation in list order; very long conversations continue in further parts."""
+    """Indexable contents of a conversation in list order, gathered by position bucket first."""
     ordered = F.array_sort(F.collect_list(F.struct("idx", "content")))
-    return (indexable_messages(msg).groupBy("conv_id", bucket_of("idx", rows).alias("part"))
-            .agg(F.transform(ordered, lambda m: m["content"]).alias("messages")))
+    parts = indexable_messages(msg).groupBy("conv_id", bucket_of("idx", rows).alias("_bucket")).agg(
+        F.transform(ordered, lambda m: m["content"]).alias("_messages"))
+    whole = F.array_sort(F.collect_list(F.struct("_bucket", "_messages")))
+    return parts.groupBy("conv_id").agg(F.flatten(F.transform(whole, lambda p: p["_messages"])).alias("messages"))
 
 
 def conversation_docs(conv: DataFrame, msg: DataFrame) -> DataFrame:
-    """Conversation-level search documents (one row, more only for a text of several parts)."""
+    """Conversation-level search documents, one row each."""
     base = flatten_properties(conv).select(
         "conv_id", "owner", F.lit("conversation").alias("type"), F.lit(INDEX_VERSION).alias("version"),
         (F.col("status") == "Complete").alias("completed"), F.col("last_modified").alias("modified"),
         "context.contextType", "context.environmentType", "context.domain", "fields")
     return (base.join(conversation_rollup(msg), "conv_id", "left")
             .join(conversation_texts(msg), "conv_id", "left")
-            .withColumn("message_count", F.coalesce("message_count", F.lit(0)))
-            .withColumn("part", F.coalesce("part", F.lit(0))))
+            .withColumn("message_count", F.coalesce("message_count", F.lit(0))))
 
 
 def message_docs(conv: DataFrame, msg: DataFrame, timeout_s: int = 30) -> DataFrame:
@@ -148,7 +149,8 @@ def message_docs(conv: DataFrame, msg: DataFrame, timeout_s: int = 30) -> DataFr
         "conv_id", "owner", (F.col("status") == "Complete").alias("completed"), "fields")
     contexts = message_context(msg).select("conv_id", "idx", F.col("start").alias("context_start"),
                                            F.col("end").alias("context_end"))
-    docs = spread_join(merge_consecutive(msg, timeout_s).join(contexts, ["conv_id", "idx"]), base, ["conv_id"], "part")
+    runs = merge_consecutive(msg, timeout_s).join(contexts, ["conv_id", "idx"])
+    docs = spread_join(runs.withColumn("_bucket", bucket_of("idx")), base, ["conv_id"], "_bucket").drop("_bucket")
     name = F.when(is_blank(F.col("msg_id")), F.col("idx").cast("string")).otherwise(F.col("msg_id"))
     return docs.withColumn("id", F.concat_ws("_", "conv_id", name)).withColumn(
         "type", F.lit("message")).withColumn("version", F.lit(INDEX_VERSION)).drop("run")

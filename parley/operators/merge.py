@@ -117,7 +117,7 @@ def field_path(path: Column) -> Column:
     return (F.when(is_blank(path), F.lit(None))
             .when(full.rlike(r"^context\.(contextType|domain|environment\..*)$"), full)
             .when(full == "meta.status", full)
-            .when(F.startswith(full, F.lit("meta.")), F.concat(F.lit("meta.properties."), F.substring(full, 6, 4096)))
+            .when(F.startswith(full, F.lit("meta.")), F.concat(F.lit("meta.properties."), F.substring(full, F.lit(6), F.length(full))))
             .when(F.startswith(full, F.lit("environment.")), F.concat(F.lit("context."), full)))
 
 
@@ -133,7 +133,7 @@ def _path_changes(conv: DataFrame, changes: DataFrame, allow: Column) -> tuple[D
     def entries(prefix: str) -> Column:
         hit = F.startswith(F.col("_path"), F.lit(prefix))
         return F.map_from_entries(F.collect_list(F.when(hit, F.struct(
-            F.substring(F.col("_path"), len(prefix) + 1, 4096).alias("key"), F.array("value").alias("value")))))
+            F.substring(F.col("_path"), F.lit(len(prefix) + 1), F.length("_path")).alias("key"), F.array("value").alias("value")))))
 
     def single(path: str) -> Column:
         return F.max(F.when(F.col("_path") == path, F.struct(F.col("value"))))

@@ -183,10 +183,11 @@ def hits_to_messages(hits: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def copy_fields(docs: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Add search fields that collect the texts of other columns (target -> source columns or prefixes ending in *)."""
+    """Add search fields that collect the texts of other columns (target -> source columns or prefixes ending in *), in
+    the order of the rules."""
     for target, sources in rules.items():
-        columns = [c for c in docs.columns for rule in sources
-                   if c == rule or (rule.endswith("*") and c.startswith(rule[:-1]) and c != target)]
+        columns = dict.fromkeys(c for rule in sources for c in docs.columns if c == rule or (
+            rule.endswith("*") and c.startswith(rule[:-1]) and c != target))
         docs = docs.withColumn(target, F.concat_ws("\n", *columns))
     return docs
 
@@ -315,15 +316,16 @@ def _read_lists(distinct, weighted, scope, doc, wanted, light_df, depth, score,
         depth *= 8
 
 
-def related_answers(questions: DataFrame, docs: DataFrame, limit: int | None = 10) -> DataFrame:
-    """Later documents (a message position >= 1) of each hit's conversation by time, at most ``limit`` per hit."""
+def related_answers(questions: DataFrame, docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Later documents (a message position >= 1) of each hit's conversation, ranked by time; all, or ``limit`` per hit."""
     later = docs.filter(F.exists("message_idxs", lambda i: i >= 1)).select(
         "conv_id", F.col("idx").alias("answer_idx"), F.col("time").alias("answer_time"),
         F.col("content").alias("answer"))
+    # the order within a conversation is the same for every question, so it is found before the join
+    order = Window.partitionBy("conv_id").orderBy("answer_time", "answer_idx")
+    later = later.withColumn("answer_rank", F.row_number().over(order))
     if limit is not None:
-        # the best of a conversation are the same for every question, so they are chosen before the join
-        order = Window.partitionBy("conv_id").orderBy("answer_time", "answer_idx")
-        later = later.withColumn("answer_rank", F.row_number().over(order)).filter(F.col("answer_rank") <= limit)
+        later = later.filter(F.col("answer_rank") <= limit)
     return questions.join(later, "conv_id")
 
 

@@ -53,14 +53,18 @@ def number_runs(msg: DataFrame, timeout_s: int = 30, rows: int = BUCKET_ROWS) ->
 
 def merge_consecutive(msg: DataFrame, timeout_s: int = 30, rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per run: contents joined by a newline, ids and positions as lists, votes summed, the other fields of
-    the first message.  A run longer than a position bucket continues in a further row (``part``)."""
+    the first message.  The messages of a run are gathered by position bucket first, then the buckets of a run."""
     runs = number_runs(msg, timeout_s, rows)
     ordered = F.array_sort(F.collect_list(F.struct("idx", "msg_id", "content")))
     first = F.min_by(F.struct("msg_id", "time", "origin", "user_id", "user_name"), "idx")
-    return (runs.groupBy("conv_id", "run", F.col("_bucket").alias("part"))
-            .agg(F.min("idx").alias("idx"), first.alias("_first"), ordered.alias("_messages"),
+    parts = runs.groupBy("conv_id", "run", "_bucket").agg(
+        F.min("idx").alias("idx"), first.alias("_first"), ordered.alias("_messages"), F.sum("votes").alias("votes"))
+    whole_run = F.array_sort(F.collect_list(F.struct("_bucket", "_messages")))
+    return (parts.groupBy("conv_id", "run")
+            .agg(F.min_by("_first", "idx").alias("_first"), F.min("idx").alias("idx"),
+                 F.flatten(F.transform(whole_run, lambda p: p["_messages"])).alias("_messages"),
                  F.sum("votes").cast("long").alias("votes"))
-            .select("conv_id", "run", "part", "idx", "_first.*",
+            .select("conv_id", "run", "idx", "_first.*",
                     F.array_join(F.transform("_messages", lambda m: m["content"]), "\n").alias("content"),
                     F.transform("_messages", lambda m: m["msg_id"]).alias("message_ids"),
                     F.transform("_messages", lambda m: m["idx"]).alias("message_idxs"), "votes"))

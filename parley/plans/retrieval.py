@@ -10,7 +10,7 @@ from parley.operators import search as s
 from parley.operators import windows as w
 from parley.plans.registry import query
 from parley.plans.sequences import _RUNS_SQL
-from parley.scan import spread_join
+from parley.scan import bucket_of, spread_join
 
 # Search texts per tenant; the tables they run over are the whole ones.
 SEARCHES = [("q1", "o0", "chkeit ung-erlich 42"), ("q2", "o1", "Étion le"), ("q3", "o2", "thtion that"),
@@ -57,7 +57,7 @@ def _docs(spark, sf):
         "conv_id", "owner", (F.col("status") == "Complete").alias("completed"),
         F.try_element_at("properties", F.lit("support_area")).alias("support_area"))
     merged = w.merge_consecutive(ad.messages(spark, sf))
-    return spread_join(merged, conv, ["conv_id"], "part")
+    return spread_join(merged.withColumn("_bucket", bucket_of("idx")), conv, ["conv_id"], "_bucket").drop("_bucket")
 
 
 def _searches(spark):
@@ -254,7 +254,7 @@ def related_conversations_by_lists(spark, sf):
 @query(f"""{_RELATED_SQL}, answers AS (SELECT conv_id, idx, t, content, row_number() OVER (PARTITION BY conv_id
   ORDER BY t, idx) AS answer_rank FROM docs WHERE len(list_filter(idxs, lambda i: i >= 1)) > 0)
 SELECT query_id, r.conv_id, a.idx AS answer_idx, CAST(answer_rank AS INTEGER) AS answer_rank, length(a.content)
-  AS answer_length FROM related r JOIN answers a ON a.conv_id = r.conv_id WHERE answer_rank <= 10""")
+  AS answer_length FROM related r JOIN answers a ON a.conv_id = r.conv_id""")
 def related_answers(spark, sf):
     docs, found = _related(spark, sf)
     return s.related_answers(found.select("query_id", "conv_id"), docs).select(
@@ -292,4 +292,4 @@ def copy_fields(spark, sf):
     docs = ad.documents(spark, sf).select("doc_id", F.col("text").alias("message"), F.col("lang").alias("keyword_lang"),
                                           "source")
     copied = s.copy_fields(docs, {"text_all": ["message*", "keyword*"], "iterms": ["source", "keyword_lang"]})
-    return copied.select("doc_id", "text_all", F.concat_ws("\n", "source", "keyword_lang").alias("iterms"))
+    return copied.select("doc_id", "text_all", "iterms")

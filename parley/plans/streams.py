@@ -105,10 +105,7 @@ def latest_state(spark, sf):
     path = scratch(spark, "state")
     stream = _stream(spark, _conversation_changes(spark, sf), "versions")
     _finish(spark, stream, sync.index_sink(spark, path, lambda updates: updates.drop("deleted")))
-    docs = writers.read_search_docs(spark, path)
-    states = docs.select("conv_id", "label", "tombstone")
-    known = _conversation_changes(spark, sf).groupBy("conv_id").agg(F.max_by("label", "last_modified").alias("_label"))
-    return states.join(known, "conv_id").select("conv_id", F.coalesce("label", "_label").alias("label"), "tombstone")
+    return writers.read_search_docs(spark, path).select("conv_id", "label", "tombstone")
 
 
 @query("""SELECT lang AS client, concat(lang, '-', doc_id) AS id, CASE WHEN quality IS NOT NULL THEN concat('q', quality)

@@ -266,9 +266,9 @@ def quote_terms(spark, sf):
   md5(coalesce(string_agg(content, concat(chr(10), chr(10)) ORDER BY idx) FILTER (NOT skip), '')) AS analysed
 FROM msg GROUP BY conv_id""")
 def context_text(spark, sf):
-    from parley.operators.windows import keep_last, skips
+    from parley.operators.windows import skips
 
-    recent = keep_last(ad.messages(spark, sf), 100).groupBy("conv_id").agg(F.array_sort(F.collect_list(
+    recent = ad.messages(spark, sf).groupBy("conv_id").agg(F.array_sort(F.collect_list(
         F.struct("idx", "content", skips().alias("skip")))).alias("m"))
     return recent.select("conv_id", F.md5(tx.context_text(F.col("m"), True)).alias("everything"),
                          F.md5(tx.context_text(F.col("m"))).alias("analysed"))

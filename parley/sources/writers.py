@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from parley.operators.filters import not_deleted
-from parley.operators.windows import keep_last
 from parley.scan import bucket_of, spread_join
 from parley.session import cut_lineage
 
@@ -15,14 +14,14 @@ BUCKETS = 64
 FLAT_COLUMNS = ["ID", "Status", "User", "Channel", "Domain", "Date", "Msg Idx", "Msg Id", "Sender", "Sent", "Content"]
 
 
-def nested_conversations(conv: DataFrame, msg: DataFrame, cap: int = 5000) -> DataFrame:
-    """Conversations as single objects with their messages, at most the ``cap`` a stored conversation holds."""
+def nested_conversations(conv: DataFrame, msg: DataFrame) -> DataFrame:
+    """Conversations as single objects with all their messages."""
     message = F.struct(
         "idx", F.struct(
             F.col("msg_id").alias("id"), "time", "origin", "content", F.when(F.col("user_id").isNotNull(), F.struct(
                 F.col("user_id").alias("id"), F.col("user_name").alias("displayName"))).alias("user"),
             "private", "votes", "metadata").alias("m"))
-    lists = keep_last(msg, cap).groupBy("conv_id").agg(
+    lists = msg.groupBy("conv_id").agg(
         F.transform(F.array_sort(F.collect_list(message)), lambda e: e["m"]).alias("messages"))
     return conv.join(lists, "conv_id", "left").select(
         F.col("conv_id").cast("string").alias("id"), "owner", F.struct("status", "properties").alias("meta"), "user",
@@ -40,12 +39,34 @@ def export_conversations(conv: DataFrame, msg: DataFrame, owner: str, path: str)
 
 
 def store_imported(conv: DataFrame, msg: DataFrame, path: str, replace: bool = False) -> None:
-    """Store imported conversations below ``path``, one partition per owner; ``replace`` overwrites the owners given."""
+    """Store imported conversations below ``path``, one partition per owner.
+
+    A conversation takes the place of the stored one with its id, messages included; ``replace`` drops all else that
+    the owners given have stored.  What is kept is checkpointed before any partition is written again.
+    """
+    spark = conv.sparkSession
     owned = spread_join(msg.withColumn("_bucket", bucket_of("idx")), conv.select("conv_id", "owner"), ["conv_id"],
                         "_bucket").drop("_bucket")
+    ids, owners = conv.select("conv_id"), conv.select("owner").distinct()
+    before = read_search_docs(spark, f"{path}/conversations")
+    if before is not None:  # an id may have moved from another owner, whose partition is then written again too
+        owners = owners.unionByName(before.join(ids, "conv_id", "left_semi").select("owner")).distinct()
+    touched = [r.owner for r in cut_lineage(owners).collect()]
     for name, df in (("conversations", conv), ("messages", owned)):
-        (df.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("owner").parquet(f"{path}/{name}"))
+        stored = read_search_docs(spark, f"{path}/{name}")
+        if stored is not None and not replace:
+            kept = stored.filter(F.col("owner").isin(touched)).join(ids, "conv_id", "left_anti")
+            df = kept.select(*df.columns).unionByName(df)
+        elif stored is not None:
+            given = conv.select("owner").distinct()
+            kept = stored.filter(F.col("owner").isin(touched)).join(ids, "conv_id", "left_anti").join(
+                given, "owner", "left_anti")
+            df = kept.select(*df.columns).unionByName(df)
+        df = cut_lineage(df)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("owner").parquet(
+            f"{path}/{name}")
+        emptied = set(touched) - {r.owner for r in df.select("owner").distinct().collect()} if stored is not None else set()
+        _drop_folders(spark, path + "/" + name, "owner", emptied)
 
 
 def conversations_to_flat(conv: DataFrame, msg: DataFrame, include_invalid: bool = False, include_open: bool = False
@@ -113,16 +134,16 @@ def write_search_docs(docs: DataFrame, path: str, removed: DataFrame | None = No
         kept = stored.filter(F.col("bucket").isin(touched)).join(changed, [key, "bucket"], "left_anti")
         docs = cut_lineage(kept.select(*docs.columns).unionByName(docs))
         emptied = set(touched) - {row.bucket for row in docs.select("bucket").distinct().collect()}
-        _drop_buckets(spark, path, emptied)
+        _drop_folders(spark, path, "bucket", emptied)
     (docs.repartition(F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(8 * buckets)))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
 
 
-def _drop_buckets(spark: SparkSession, path: str, buckets: set[int]) -> None:
-    """Buckets left without a document are not touched by a dynamic overwrite."""
+def _drop_folders(spark: SparkSession, path: str, column: str, values: set) -> None:
+    """Partitions left without a row are not touched by a dynamic overwrite."""
     jvm = spark._jvm
-    for bucket in buckets:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+    for value in values:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

@@ -61,14 +61,14 @@ def index_sink(spark: SparkSession, path: str, build: Callable[[DataFrame], Data
     """Batch function that keeps the document table at ``path`` current.
 
     A batch is reduced to the newest row per key.  Removals (``deleted`` set) stay as tombstones, so that an older change
-    arriving late cannot bring a removed entry back.
+    arriving late cannot bring a removed entry back; a tombstone keeps the columns of the change that documents have too.
     """
 
     def each(batch: DataFrame, _: int) -> None:
         state = newer_than_stored(latest_state(batch, [key], modified), read_search_docs(spark, path), [key], modified)
         updates, removals = split_changes(state)
         docs = build(updates).withColumn("tombstone", F.lit(False))
-        marks = removals.select(key, modified).withColumn("tombstone", F.lit(True))
+        marks = removals.select(*[c for c in removals.columns if c in docs.columns]).withColumn("tombstone", F.lit(True))
         stamped = docs.unionByName(marks, allowMissingColumns=True).withColumn("sync_date", F.col(modified))
         write_search_docs(stamped, path, state.select(key), key)
 
@@ -82,9 +82,9 @@ def live_docs(docs: DataFrame) -> DataFrame:
 def rebuild_docs(conv: DataFrame, msg: DataFrame, path: str) -> None:
     """Write the whole document table again: conversation documents and message documents."""
     live = conv.filter(F.col("deleted").isNull())
-    whole = conversation_docs(live, msg).select("conv_id", F.lit(-1).alias("idx"), "part", "type", "version", "owner",
+    whole = conversation_docs(live, msg).select("conv_id", F.lit(-1).alias("idx"), "type", "version", "owner",
                                                 "completed", F.array_join("messages", "\n").alias("content"))
-    single = message_docs(live, msg).select("conv_id", "idx", "part", "type", "version", "owner", "completed",
+    single = message_docs(live, msg).select("conv_id", "idx", "type", "version", "owner", "completed",
                                             "content")
     docs = whole.unionByName(single).withColumn("sync_date", F.lit(None).cast("timestamp"))
     write_search_docs(docs, path)
@@ -113,42 +113,45 @@ _RUN_STATE = "user_id string, origin string, last long, idx int, ids array<strin
 _RUN_ROW = "conv_id {key}, idx int, message_ids array<string>, content string, votes long"
 
 
-def merge_consecutive_stream(msg: DataFrame, timeout_s: int = 30, watermark: str = "1 hour", part_rows: int = 4096,
+def merge_consecutive_stream(msg: DataFrame, timeout_s: int = 30, watermark: str = "1 hour",
                              key_type: str = "bigint") -> DataFrame:
     """Runs of messages as in ``merge_consecutive``, on a stream.
 
-    A conversation keeps only its open run.  It is closed by a message that does not continue it, when the watermark has
-    passed its last message by ``timeout_s``, or as a part when it reaches ``part_rows`` messages.  The messages of a
-    conversation must arrive in list order.
+    A conversation keeps only its open run, however long.  It is closed by a message that does not continue it, or when
+    the watermark has passed its last message by ``timeout_s``.  The messages of a conversation must arrive in list
+    order, and not later than ``watermark`` behind the newest message of all: Spark drops later rows, so give it the
+    longest delay of the source.
     """
+    step = timeout_s * 1_000_000
 
     def merge(conv: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed: list[tuple] = []
         run = list(state.get) if state.exists else None
-
-        def close(done: list) -> None:
-            closed.append((conv[0], int(done[3]), list(done[4]), "\n".join(done[5]), int(done[6])))
-
+        closed: list[tuple] = []
         if state.hasTimedOut:
-            close(run)
+            closed.append(run[3:])
             state.remove()
         else:
-            rows = pd.concat(list(parts)).sort_values("idx")
-            for m in rows.itertuples(index=False):
-                user = None if pd.isna(m.user_id) else m.user_id
-                follows = (run is not None and run[0] == user and run[1] == m.origin
-                           and m.micros < run[2] + timeout_s * 1_000_000 and len(run[4]) < part_rows)
-                if not follows:
+            rows = pd.concat(list(parts), ignore_index=True).sort_values("idx")
+            user, origin = (rows[c].where(rows[c].notna(), None).astype(object) for c in ("user_id", "origin"))
+            at = rows["micros"]
+            follows = (user.fillna("").eq(user.shift().fillna("")) & user.isna().eq(user.shift().isna())
+                       & origin.fillna("").eq(origin.shift().fillna("")) & (at < at.shift() + step))
+            # the open run goes on only if its last message and the first of the batch do the same
+            follows.iloc[0] = run is not None and (run[0], run[1]) == (user.iloc[0], origin.iloc[0]) and bool(
+                at.iloc[0] < run[2] + step)
+            for number, part in rows.groupby((~follows).cumsum(), sort=True):
+                ids, texts, votes = part["msg_id"].tolist(), part["content"].tolist(), int(part["votes"].sum())
+                if number == 0:
+                    run = [*run[:2], 0, run[3], [*run[4], *ids], [*run[5], *texts], run[6] + votes]
+                else:
                     if run is not None:
-                        close(run)
-                    run = [user, m.origin, 0, m.idx, [], [], 0]
-                run[2] = m.micros
-                run[4] = [*run[4], m.msg_id]
-                run[5] = [*run[5], m.content]
-                run[6] += int(m.votes)
+                        closed.append(run[3:])
+                    run = [user[part.index[0]], origin[part.index[0]], 0, int(part["idx"].iloc[0]), ids, texts, votes]
+                run[2] = int(part["micros"].iloc[-1])
             state.update(tuple(run))
             state.setTimeoutTimestamp(max(run[2] // 1000 + timeout_s * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(closed, columns=["conv_id", "idx", "message_ids", "content", "votes"])
+        yield pd.DataFrame([(conv[0], i, list(ids), "\n".join(texts), votes) for i, ids, texts, votes in closed],
+                           columns=["conv_id", "idx", "message_ids", "content", "votes"])
 
     source = (indexable_messages(msg).withWatermark("time", watermark)
               .withColumn("micros", F.unix_micros("time"))

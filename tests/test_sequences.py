@@ -52,30 +52,26 @@ def model_start(rows, compat):
 
 
 def model_context(rows, i):
+    """Neighbours in the order of their distance, forward first where equal; a nearer one behind a farther one on its
+    side waits for it.  The first that passes neither limit ends the context."""
     n = len(rows)
     if n <= 2:
         return 0, n
     if i >= n - 1:
         return model_start(rows, True), n
-    ahead, behind = list(range(i, n)), list(range(i - 1, -1, -1))
-    head_a = head_b = None
-    size, included = 0, []
-    while ahead or behind:
-        head_a = ahead.pop(0) if head_a is None and ahead else head_a
-        head_b = behind.pop(0) if head_b is None and behind else head_b
-        age_a = float("inf") if head_a is None else rows[head_a]["at"] - rows[i]["at"]
-        age_b = float("inf") if head_b is None else rows[i]["at"] - rows[head_b]["at"]
-        delta = min(age_a, age_b)
-        if age_a <= age_b:
-            chosen, head_a = head_a, None
-        else:
-            chosen, head_b = head_b, None
-        if size < 100 or len(included) < 2 or delta <= 180:
-            size += len(rows[chosen]["content"])
-        elif not (size < 300 and len(included) < 10 and delta <= 86400):
+    order = []
+    for side, places in ((0, range(i, n)), (1, range(i - 1, -1, -1))):
+        ages = [abs(rows[k]["at"] - rows[i]["at"]) * (1 if side == 0 and rows[k]["at"] >= rows[i]["at"]
+                                                      or side == 1 and rows[k]["at"] <= rows[i]["at"] else -1) for k in places]
+        order += [(max(ages[:j + 1]), side, j, ages[j], k) for j, k in enumerate(places)]
+    chars, low, high = 0, i, i
+    for taken, (_, _, _, age, k) in enumerate(sorted(order)):
+        forced = chars < 100 or taken < 2 or age <= 180
+        if not forced and not (chars < 300 and taken < 10 and age <= 86400):
             break
-        included.append(chosen)
-    return min(min(included), max(0, i - 1)), max(max(included), min(n - 1, i + 1))
+        chars += len(rows[k]["content"]) if forced else 0
+        low, high = min(low, k), max(high, k)
+    return min(low, max(0, i - 1)), max(high, min(n - 1, i + 1))
 
 
 def model_runs(rows, timeout):
@@ -117,12 +113,14 @@ def test_merge_consecutive(messages, bucket):
     rows = random_rows(3)
     got = sorted((r.conv_id, r.idx, r.run, r.content, r.votes)
                  for r in w.merge_consecutive(messages(rows), 30, bucket).collect())
-    joined = {}
-    for conv, idx, run, content, votes in got:
-        first, text, total = joined.get((conv, run), (idx, None, 0))
-        joined[conv, run] = (first, content if text is None else f"{text}\n{content}", total + votes)
-    want = sorted((c, *run) for c, r in by_conversation(rows).items() for run in model_runs(r, 30))
-    assert sorted((c, *run) for (c, _), run in joined.items()) == want
+    assert [(c, idx, text, votes) for c, idx, _, text, votes in got] == sorted(
+        (c, *run) for c, r in by_conversation(rows).items() for run in model_runs(r, 30))
+
+
+def test_a_run_over_a_bucket_edge_is_one_row(messages):
+    rows = [("c", i, {"at": i, "content": str(i), "user_id": "a"}) for i in range(4094, 4098)]
+    got = w.merge_consecutive(messages(rows), 30).collect()
+    assert [(r.idx, r.content, r.message_idxs) for r in got] == [(4094, "4094\n4095\n4096\n4097", [4094, 4095, 4096, 4097])]
 
 
 @pytest.mark.parametrize("bucket", [3, 4096])
