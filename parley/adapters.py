@@ -85,6 +85,30 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of two very long conversations, each one user's, from the ``events`` table."""
+    events = table(spark, sf_dir, "events").select(
+        F.expr("user_id % 2").alias("conv_id"), "event_id", F.col("ts").cast("timestamp").alias("time"), "event_type",
+        "value", F.expr("unix_micros(cast(ts as timestamp)) div 3600000000").alias("_hour"))
+    numbered = ordinal(events, ["conv_id"], [F.col("time"), F.col("event_id")], "_hour", "_position")
+    return numbered.select(
+        "conv_id", (F.col("_position") - 1).cast("int").alias("idx"), F.concat(F.lit("e"), "event_id").alias("msg_id"),
+        "time", F.lit("User").alias("origin"), F.col("event_type").alias("content"), F.lit("one").alias("user_id"),
+        F.lit("One").alias("user_name"), _every("event_id % 19").alias("private"),
+        F.floor("value").cast("int").alias("votes"),
+        F.when(_every("event_id % 23"), F.create_map(F.lit("skipAnalysis"), F.lit("true")))
+        .otherwise(F.expr("cast(map() as map<string,string>)")).alias("metadata"))
+
+
+LONG_SQL = """msg AS (
+  SELECT user_id % 2 AS conv_id,
+    CAST(row_number() OVER (PARTITION BY user_id % 2 ORDER BY ts, event_id) - 1 AS INTEGER) AS idx,
+    concat('e', event_id) AS msg_id, epoch_us(ts) AS us, epoch_us(ts) // 1000 AS t, 'User' AS origin,
+    event_type AS content, 'one' AS user_id, event_id % 19 = 0 AS private, CAST(floor(value) AS INTEGER) AS votes,
+    event_id % 23 = 0 AS skip
+  FROM events)"""
+
+
 def stored(df: DataFrame) -> DataFrame:
     """A derived table written once, for plans that read it several times."""
     return cut_lineage(df)

@@ -11,7 +11,7 @@ from parley.functions.values import TITLE_BOOST, phrase_query
 from parley.lookup import lookup_join
 from parley.operators import search as s
 from parley.operators.annotate import build_templates, index_tokens, valid_templates
-from parley.operators.filters import accept_tokens, context_message_ids, context_users
+from parley.operators.filters import accept_tokens, context_message_ids, context_users, in_context
 from parley.operators.windows import context_start
 
 QUERY_CONFIDENCE = {"solrsearch": 0.8, "google": 0.8, "conversationsearch": 0.6, "conversationmlt": 0.55}
@@ -84,7 +84,7 @@ def context_terms(msg: DataFrame, tf: DataFrame, stats: DataFrame, n_docs: Colum
     """Interesting terms of the context as they are written in it, with relevance; its users; its message ids."""
     starts = context_start(msg)
     best = s.interesting_terms(tf, stats, n_docs, [*scope, "conv_id"], scope, max_terms)
-    words = s.analyze_text(msg.select("conv_id", "idx", "content"), "content").withColumn(
+    words = s.analyze_text(in_context(msg, starts).select("conv_id", "idx", "content"), "content").withColumn(
         "_at", F.struct("idx", "pos"))
     surfaced = s.term_to_surface(best.select(*scope, "conv_id", "term", "rank", F.col("boost").alias("relevance")),
                                  words, ["conv_id"])

@@ -242,7 +242,7 @@ def _one_per_copy(tf: DataFrame, docs: DataFrame, scope: list[str], doc: str, ke
 
 def related(queries: DataFrame, tf: DataFrame, docs: DataFrame, stats: DataFrame, n_docs: Column,
             scope: Sequence[str], doc: str, rows: int = 3, exclude_self: bool = True, light_df: int = 10_000,
-            depth: int = 1_000) -> DataFrame:
+            depth: int = 998) -> DataFrame:
     """The ``rows`` best documents per query by the sum of boost * tf * idf, then votes, then id.
 
     ``queries``: ``doc`` (the asking conversation), scope, term, boost (a handful of terms each).  ``tf``: doc, scope,

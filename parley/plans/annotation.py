@@ -13,9 +13,22 @@ from parley.operators import filters as f
 from parley.operators import queries as q
 from parley.operators import windows as w
 from parley.plans.registry import query
-from parley.plans.retrieval import _conversation_interests, _conversation_terms, _CONV_TERMS_SQL
+from parley.plans.retrieval import (
+    _context_terms, _conversation_interests, _conversation_terms, _CONTEXT_TERMS_SQL, _CONV_TERMS_SQL)
 from parley.plans.sequences import _START_SQL
 
+# The analysis window of the query builders; shorter than many chats, so that it cuts.
+WINDOW = 4
+_WINDOWED_SQL = MSG_SQL.replace("msg AS (", "every AS (", 1) + f""",
+msg AS (SELECT * EXCLUDE (top) FROM (SELECT *, max(idx) OVER (PARTITION BY conv_id) AS top FROM every)
+  WHERE idx > top - {WINDOW})"""
+
+
+def _windowed(sql):
+    """A twin over the messages of the analysis window."""
+    return sql.replace(MSG_SQL, _WINDOWED_SQL, 1)
+
+
 _WORDS_SQL = f"""WITH {MSG_SQL},
 src AS (SELECT conv_id, idx AS msg_idx, unnest(ps) AS text, generate_subscripts(ps, 1) AS n FROM (SELECT conv_id, idx,
   regexp_extract_all(content, '\\p{{L}}+|\\p{{N}}+|[^\\p{{L}}\\p{{N}}]+') AS ps FROM msg)),
@@ -380,7 +393,7 @@ def accept_tokens(spark, sf):
     return f.accept_tokens(a.latch_slots(indexed), indexed).select("conv_id", "role", "token_idx", "value")
 
 
-@query(f"""{_LATCH_SQL}, ph AS (SELECT conv_id, confidence, token_idx, value, role,
+@query(f"""{_windowed(_LATCH_SQL)}, ph AS (SELECT conv_id, confidence, token_idx, value, role,
   regexp_replace(value, '([\\\\+\\-!():^\\[\\]"{{}}~*?|&;/\\s])', '\\\\\\1', 'g') AS e FROM latch WHERE confidence >= 0.1
   AND regexp_matches(value, '\\S')),
 two AS (SELECT conv_id, confidence, token_idx, 1 AS k, concat(CASE role WHEN 'location' THEN 'location' ELSE 'text' END, ':"', e,
@@ -390,26 +403,26 @@ two AS (SELECT conv_id, confidence, token_idx, 1 AS k, concat(CASE role WHEN 'lo
 SELECT conv_id, coalesce(query, '') AS query FROM (SELECT DISTINCT conv_id FROM latch) LEFT JOIN (SELECT conv_id,
   string_agg(p, ' OR ' ORDER BY confidence DESC, token_idx, k) AS query FROM two GROUP BY conv_id) USING (conv_id)""")
 def latch_query(spark, sf):
-    _, _, _, tokens = _tokens(spark, sf, 10)
+    _, _, _, tokens = _tokens(spark, sf, WINDOW)
     indexed = a.index_tokens(tokens)
     return q.latch_query(a.latch_slots(indexed), indexed).select("conv_id", "query")
 
 
-@query(f"""{_LATCH_SQL} SELECT conv_id, string_agg(value, ' ' ORDER BY confidence DESC, token_idx) AS query FROM latch
+@query(f"""{_windowed(_LATCH_SQL)} SELECT conv_id, string_agg(value, ' ' ORDER BY confidence DESC, token_idx) AS query FROM latch
 WHERE confidence >= 0.1 AND role IN ('location', 'alphabet') GROUP BY conv_id""")
 def web_query(spark, sf):
-    _, _, _, tokens = _tokens(spark, sf, 10)
+    _, _, _, tokens = _tokens(spark, sf, WINDOW)
     indexed = a.index_tokens(tokens)
     return q.web_query(a.latch_slots(indexed), indexed).select("conv_id", "query")
 
 
-@query(f"""{_LATCH_SQL}{_START_SQL}, v AS (SELECT conv_id, role, value, min(token_idx) AS first_at FROM rel JOIN starts
+@query(f"""{_windowed(_LATCH_SQL)}{_START_SQL}, v AS (SELECT conv_id, role, value, min(token_idx) AS first_at FROM rel JOIN starts
     USING (conv_id) WHERE message_idx >= start AND value <> '' GROUP BY ALL)
 SELECT s.conv_id, string_agg(value, '|' ORDER BY first_at) FILTER (role = 'Keyword') AS keywords,
   string_agg(value, '|' ORDER BY first_at) FILTER (role = 'Term') AS terms FROM starts s LEFT JOIN v USING (conv_id)
 GROUP BY s.conv_id""")
 def related_search_query(spark, sf):
-    msg, _, _, tokens = _tokens(spark, sf, 10)
+    msg, _, _, tokens = _tokens(spark, sf, WINDOW)
     indexed = a.index_tokens(tokens)
     built = q.related_search_query(a.related_slots(indexed), indexed, w.context_start(msg))
     return built.select("conv_id", *[F.when(F.size(c) > 0, F.array_join(c, "|")).alias(c) for c in ("keywords", "terms")])
@@ -464,14 +477,15 @@ def apply_hint_rules(spark, sf):
         "conv_id", "message_idx", "start", F.array_join("hints", ",").alias("hints"))
 
 
-@query(f"""WITH {_CONV_TERMS_SQL}, best AS (SELECT * FROM it WHERE rank <= 10),
+@query(f"""WITH {_CONTEXT_TERMS_SQL}, best AS (SELECT * FROM it WHERE rank <= 10),
 src AS (SELECT conv_id, idx, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT conv_id, idx,
   regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}]+') AS ws FROM msg))
 SELECT b.conv_id, term, CAST(any_value(rank) AS INTEGER) AS rank, min_by(word, idx * 1000000 + pos) AS word
-FROM best b JOIN src ON src.conv_id = b.conv_id AND lower(word) = term GROUP BY b.conv_id, term""")
+FROM best b JOIN src ON src.conv_id = b.conv_id AND lower(word) = term JOIN starts ON starts.conv_id = b.conv_id
+WHERE src.idx >= start GROUP BY b.conv_id, term""")
 def context_terms(spark, sf):
     msg = ad.messages(spark, sf)
-    tf, stats = _conversation_terms(spark, sf)
+    tf, stats = _context_terms(spark, sf)
     terms, _, _ = q.context_terms(msg, tf, stats, F.col("n"), ["owner"])
     return terms.select("conv_id", "term", "rank", "word")
 
@@ -522,7 +536,7 @@ def _settings(owners):
 @query()
 def batch_analyze(spark, sf):
     """Tokens, templates and queries of every conversation in one job."""
-    msg = ad.stored(w.analysis_window(ad.messages(spark, sf), 10))
+    msg = ad.stored(w.analysis_window(ad.messages(spark, sf), WINDOW))
     words = ad.stored(_words(msg))
     spans = ad.stored(words.unionByName(_chunks(msg, words), allowMissingColumns=True).withColumn(
         "phrase", F.lit(None).cast("string")))
@@ -540,7 +554,7 @@ def batch_analyze(spark, sf):
 
 @query()
 def reapply_tokens(spark, sf):
-    msg, _, _, tokens = _tokens(spark, sf, 10)
+    msg, _, _, tokens = _tokens(spark, sf, WINDOW)
     edited = ad.stored(tokens.withColumn("state", F.when(F.col("confidence") < 0.3, "Rejected").otherwise("Confirmed")))
     owners = ad.conversations(spark, sf).select("conv_id", F.col("owner").alias("client"))
     _, queries = q.reapply_tokens(edited, w.context_start(msg), _settings(owners), owners)

@@ -6,10 +6,11 @@ from parley import adapters as ad
 from parley.adapters import CONV_SQL, MSG_SQL
 from parley.functions import stemming as st
 from parley.functions import text as tx
+from parley.operators import filters as f
 from parley.operators import search as s
 from parley.operators import windows as w
 from parley.plans.registry import query
-from parley.plans.sequences import _RUNS_SQL
+from parley.plans.sequences import _RUNS_SQL, _START_SQL
 from parley.scan import bucket_of, spread_join
 
 # Search texts per tenant; the tables they run over are the whole ones.
@@ -183,6 +184,28 @@ kdfn AS (SELECT * FROM kdf JOIN kn USING (owner)),
 {_IT_SQL.format(key='owner, conv_id', tf='ktf', df='kdfn', on='owner, term', n='')}"""
 
 
+# The terms asked are those of the context of the last message, the frequencies those of whole conversations.
+_CONTEXT_TERMS_SQL = f"""{MSG_SQL}, {CONV_SQL}{_START_SQL},
+kt AS (SELECT conv_id, idx, owner, lower(unnest(list_filter(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}]+'),
+    lambda x: x <> ''))) AS term FROM msg JOIN conv USING (conv_id) WHERE NOT skip AND NOT private
+    AND deleted IS NULL),
+kdf AS (SELECT owner, term, count(DISTINCT conv_id) AS df FROM kt GROUP BY ALL),
+kn AS (SELECT owner, count(*) AS n FROM conv WHERE deleted IS NULL GROUP BY owner),
+kdfn AS (SELECT * FROM kdf JOIN kn USING (owner)),
+ktf AS (SELECT kt.conv_id, owner, term, count(*) AS tf FROM kt JOIN starts USING (conv_id) WHERE idx >= start GROUP BY ALL),
+{_IT_SQL.format(key='owner, conv_id', tf='ktf', df='kdfn', on='owner, term', n='')}"""
+
+
+def _context_terms(spark, sf):
+    """Term counts of each conversation's context, and the statistics of whole conversations."""
+    _, stats = _conversation_terms(spark, sf)
+    conv = ad.conversations(spark, sf).filter("deleted is null").select("conv_id", "owner")
+    msg = ad.messages(spark, sf)
+    inside = w.indexable_messages(f.in_context(msg, w.context_start(msg))).select("conv_id", "content")
+    tf = s.doc_terms(inside).drop("len").groupBy("conv_id", "term").agg(F.sum("tf").alias("tf"))
+    return ad.stored(tf.join(conv, "conv_id")), stats
+
+
 def _conversation_terms(spark, sf):
     conv = ad.conversations(spark, sf).filter("deleted is null").select("conv_id", "owner")
     msg = w.indexable_messages(ad.messages(spark, sf)).select("conv_id", "content")
@@ -197,45 +220,58 @@ def _conversation_interests(spark, sf, max_terms=10):
     return s.interesting_terms(tf, stats, F.col("n"), ["owner", "conv_id"], ["owner"], max_terms)
 
 
-@query(f"""WITH {_CONV_TERMS_SQL}, b AS (SELECT *, weight / max(weight) OVER (PARTITION BY conv_id) AS boost
+@query(f"""WITH {_CONTEXT_TERMS_SQL}, b AS (SELECT *, weight / max(weight) OVER (PARTITION BY conv_id) AS boost
   FROM it WHERE rank <= 10)
 SELECT conv_id, string_agg(CASE WHEN rank = 1 THEN term ELSE concat(term, '^', printf('%.4f', boost)) END, ' OR '
   ORDER BY rank) AS similarity_query FROM b GROUP BY conv_id""")
 def similarity_query(spark, sf):
-    terms = _conversation_interests(spark, sf)
+    tf, stats = _context_terms(spark, sf)
+    terms = s.interesting_terms(tf, stats, F.col("n"), ["owner", "conv_id"], ["owner"], 10)
     return s.similarity_query(terms, ["conv_id"])
 
 
-# Candidates are the documents that hold the first message of a conversation.
-_RELATED_SQL = f"""WITH {_DOCS_SQL}, firsts AS (SELECT conv_id, owner, votes FROM docs WHERE idx = 0),
+# Candidates are the documents that hold the first message of a completed conversation with the same support area (none
+# where the asking conversation has none); the terms are those of the asking conversation's context, skipped messages
+# included.
+_RELATED_SQL = f"""WITH {_DOCS_SQL}{_START_SQL}, firsts AS (SELECT conv_id, owner, coalesce(support_area, '') AS area, completed,
+  votes FROM docs WHERE idx = 0),
 ftf AS (SELECT tf.conv_id, tf.owner, term, tf FROM tf WHERE idx = 0),
 fdf AS (SELECT owner, term, count(*) AS df FROM ftf GROUP BY ALL),
 fn AS (SELECT owner, count(*) AS n FROM firsts GROUP BY owner), fdfn AS (SELECT * FROM fdf JOIN fn USING (owner)),
 qt AS (SELECT m.conv_id, c.owner, lower(unnest(list_filter(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}]+'),
-    lambda x: x <> ''))) AS term FROM msg m JOIN conv c USING (conv_id) WHERE deleted IS NULL AND NOT private),
+    lambda x: x <> ''))) AS term FROM msg m JOIN conv c USING (conv_id) JOIN starts USING (conv_id)
+    WHERE deleted IS NULL AND NOT private AND m.idx >= start),
 qtf AS (SELECT conv_id, owner, term, count(*) AS tf FROM qt GROUP BY ALL),
 {_IT_SQL.format(key='owner, conv_id', tf='qtf', df='fdfn', on='owner, term', n='')},
 boosts AS (SELECT *, weight / max(weight) OVER (PARTITION BY conv_id) AS boost FROM it WHERE rank <= 10),
 scored AS (SELECT b.conv_id AS query_id, f.conv_id, round(sum(boost * f.tf * (1 + ln((n + 1) / (df + 1)))), 6)
     AS score FROM boosts b JOIN ftf f ON f.owner = b.owner AND f.term = b.term
-    JOIN fdfn d ON d.owner = b.owner AND d.term = b.term WHERE b.conv_id <> f.conv_id GROUP BY ALL),
+    JOIN fdfn d ON d.owner = b.owner AND d.term = b.term JOIN firsts fc ON fc.conv_id = f.conv_id
+    JOIN conv qc ON qc.conv_id = b.conv_id WHERE b.conv_id <> f.conv_id AND fc.completed
+    AND fc.area = coalesce(qc.support_area, '') GROUP BY ALL),
 related AS (SELECT * FROM (SELECT s.*, votes, row_number() OVER (PARTITION BY query_id
   ORDER BY score DESC, votes DESC, s.conv_id) AS rank FROM scored s JOIN firsts USING (conv_id)) WHERE rank <= 3)"""
 
 
 def _related(spark, sf, **options):
     docs = ad.stored(_docs(spark, sf))
-    firsts = docs.filter("idx = 0").select("conv_id", "owner", "content", "votes")
-    tf = s.postings(firsts, ["conv_id", "owner"]).drop("len")
+    area = F.coalesce(F.get("support_area", F.lit(0)), F.lit("")).alias("area")
+    firsts = docs.filter("idx = 0").select("conv_id", "owner", area, "completed", "content", "votes")
+    all_tf = s.postings(firsts, ["conv_id", "owner", "area", "completed"]).drop("len")
     sizes = firsts.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
-    stats = ad.stored(s.term_stats(tf, ["owner"]).join(sizes, "owner"))
-    conv = ad.conversations(spark, sf).filter("deleted is null").select("conv_id", "owner")
-    msg = ad.messages(spark, sf).filter("not private").select("conv_id", "content")
+    by_owner = ad.stored(s.term_stats(all_tf, ["owner"]).join(sizes, "owner"))
+    tf, firsts = (df.filter("completed").drop("completed") for df in (all_tf, firsts))
+    conv = ad.conversations(spark, sf).filter("deleted is null").select("conv_id", "owner", F.coalesce(F.get(
+        F.try_element_at("properties", F.lit("support_area")), F.lit(0)), F.lit("")).alias("area"))
+    # candidates and questions meet within (owner, area); the frequencies are those of the owner
+    stats = ad.stored(by_owner.join(conv.select("owner", "area").distinct(), "owner"))
+    every = ad.messages(spark, sf)
+    msg = f.in_context(every, w.context_start(every)).filter("not private").select("conv_id", "content")
     asked = (s.doc_terms(msg).drop("len").groupBy("conv_id", "term").agg(F.sum("tf").alias("tf"))
              .join(conv, "conv_id"))
-    terms = s.interesting_terms(asked, stats, F.col("n"), ["owner", "conv_id"], ["owner"], 10)
-    queries = ad.stored(terms.select("conv_id", "owner", "term", "boost"))
-    return docs, s.related(queries, tf, firsts.drop("content"), stats, F.col("n"), ["owner"], "conv_id", **options)
+    terms = s.interesting_terms(asked, stats, F.col("n"), ["owner", "area", "conv_id"], ["owner", "area"], 10)
+    queries = ad.stored(terms.select("conv_id", "owner", "area", "term", "boost"))
+    return docs, s.related(queries, tf, firsts.drop("content"), stats, F.col("n"), ["owner", "area"], "conv_id", **options)
 
 
 @query(f"{_RELATED_SQL} SELECT query_id, conv_id, score, votes, CAST(rank AS INTEGER) AS rank FROM related")

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from parley import adapters as ad
-from parley.adapters import EVM_SQL, MSG_SQL
+from parley.adapters import EVM_SQL, LONG_SQL, MSG_SQL
+from parley.operators import filters as f
 from parley.operators import windows as w
 from parley.plans.registry import query
 
@@ -38,6 +39,54 @@ def merge_consecutive_chat(spark, sf):
     return _merged(ad.messages(spark, sf), 30)
 
 
+# Two conversations of several position buckets, with runs over bucket edges, at the default bucket and at a small one.
+LONG_GAP = 5000
+_LONG_RUNS_SQL = f"WITH {LONG_SQL}, {_RUNS_SQL.format(now='us', limit=LONG_GAP * 1000000)} {_MERGED_SQL}"
+
+
+def _long(spark, sf):
+    return ad.stored(ad.long_messages(spark, sf))
+
+
+def _long_merged(spark, sf, rows):
+    merged = w.merge_consecutive(_long(spark, sf), LONG_GAP, rows)
+    return merged.select(
+        "conv_id", "run", "idx", "msg_id", F.unix_millis("time").alias("t"), "content",
+        F.array_join("message_ids", ",").alias("message_ids"),
+        F.array_join(F.transform("message_idxs", lambda i: i.cast("string")), ",").alias("message_idxs"), "votes")
+
+
+@query(_LONG_RUNS_SQL)
+def merge_consecutive_long(spark, sf):
+    return _long_merged(spark, sf, w.BUCKET_ROWS)
+
+
+@query(_LONG_RUNS_SQL)
+def merge_consecutive_long_small_buckets(spark, sf):
+    return _long_merged(spark, sf, 64)
+
+
+@query(f"""WITH {LONG_SQL} SELECT conv_id, md5(string_agg(content, chr(10) ORDER BY idx)) AS content, count(*) AS n
+FROM msg WHERE NOT private AND NOT skip GROUP BY conv_id""")
+def conversation_texts_long(spark, sf):
+    return f.conversation_texts(_long(spark, sf), 64).select(
+        "conv_id", F.md5(F.array_join("messages", "\n")).alias("content"), F.size("messages").cast("long").alias("n"))
+
+
+@query(f"""WITH {LONG_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx DESC) AS r FROM msg)
+SELECT conv_id, idx, msg_id FROM n WHERE r <= 1500""")
+def keep_last_long(spark, sf):
+    return w.keep_last(_long(spark, sf), 1500, 64).select("conv_id", "idx", "msg_id")
+
+
+@query(f"""WITH {LONG_SQL}, n AS (SELECT *, idx - row_number() OVER (PARTITION BY conv_id ORDER BY idx) AS g FROM msg
+  WHERE votes % 7 <> 0) SELECT conv_id, min(idx) AS start, max(idx) + 1 AS "end", min_by(votes, idx) AS score FROM n
+GROUP BY conv_id, g""")
+def hit_runs_long(spark, sf):
+    hits = _long(spark, sf).filter("votes % 7 <> 0").select("conv_id", "idx", F.col("votes").alias("score"))
+    return w.hit_runs(hits, 64)
+
+
 @query(f"""WITH {EVM_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx DESC) AS r FROM msg)
 SELECT conv_id, idx, msg_id FROM n WHERE r <= 50""")
 def keep_last(spark, sf):
@@ -73,6 +122,16 @@ def context_start(spark, sf):
     return w.context_start(ad.stored(ad.event_messages(spark, sf)))
 
 
+@query(f"WITH {LONG_SQL}{_START_SQL} SELECT * FROM starts")
+def context_start_long(spark, sf):
+    return w.context_start(_long(spark, sf), rows=64)
+
+
+@query(f"WITH {LONG_SQL}{_WINDOW_SQL.format(n=1000)}")
+def analysis_window_long(spark, sf):
+    return w.analysis_window(_long(spark, sf), 1000, 64).select("conv_id", "idx", "start", "end", "skipped")
+
+
 @query(f"WITH {MSG_SQL}{_START_SQL} SELECT * FROM starts")
 def context_start_chat(spark, sf):
     return w.context_start(ad.messages(spark, sf))

@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from parley import adapters as ad
-from parley.adapters import CONV_SQL, EVM_SQL, MSG_SQL
+from parley.adapters import CONV_SQL, EVM_SQL, LONG_SQL, MSG_SQL
 from parley.operators import filters as f
 from parley.plans.registry import query
-from parley.plans.sequences import HOURS6, _MERGED_SQL, _RUNS_SQL
+from parley.plans.sequences import HOURS6, LONG_GAP, _MERGED_SQL, _RUNS_SQL
 from parley.plans.tables import scratch
 from parley.sources import readers, writers
 from parley.streaming import sync
@@ -80,7 +80,16 @@ def on_change(spark, sf):
 @query(f"""WITH {EVM_SQL}, {_RUNS_SQL.format(now='us', limit=HOURS6 * 1000000)}
 SELECT conv_id, idx, content, message_ids, votes FROM ({_MERGED_SQL})""")
 def merge_consecutive_stream(spark, sf):
-    msg = ad.event_messages(spark, sf)
+    return _streamed_runs(spark, ad.event_messages(spark, sf), HOURS6)
+
+
+@query(f"""WITH {LONG_SQL}, {_RUNS_SQL.format(now='us', limit=LONG_GAP * 1000000)}
+SELECT conv_id, idx, content, message_ids, votes FROM ({_MERGED_SQL})""")
+def merge_consecutive_stream_long(spark, sf):
+    return _streamed_runs(spark, ad.long_messages(spark, sf), LONG_GAP)
+
+
+def _streamed_runs(spark, msg, gap_s):
     # one late message of nobody moves the watermark beyond every run; its own run stays open
     last = msg.agg(F.max("time").alias("time")).select(
         F.lit(-1).cast("bigint").alias("conv_id"), F.lit(0).alias("idx"), F.lit("end").alias("msg_id"),
@@ -93,7 +102,7 @@ def merge_consecutive_stream(spark, sf):
         "day").coalesce(1).write.parquet(path)
     last.write.mode("append").parquet(path)
     stream = sync.changes(spark, path, spark.read.parquet(path).schema, max_files=1)
-    runs = sync.merge_consecutive_stream(stream, HOURS6)
+    runs = sync.merge_consecutive_stream(stream, gap_s)
     (runs.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "cursor"))
      .trigger(availableNow=True).start(out).awaitTermination())
     return spark.read.parquet(out).select("conv_id", "idx", "content", F.array_join("message_ids", ",").alias(
