@@ -79,6 +79,13 @@ def term_stats(tf: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     return tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def document_frequencies(docs: DataFrame, text: str = "content", scope: Sequence[str] = ()) -> DataFrame:
+    """Document frequency per term straight from the texts: each document gives each of its words once, uncounted."""
+    words = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
+    each = docs.select(*scope, F.explode(F.array_remove(F.array_distinct(words), "")).alias("term"))
+    return each.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def query_clauses(queries: DataFrame) -> DataFrame:
     """Clauses (``clause``, ``mode``, ``boost``) of the ``text`` of each query, lower case, each once per query."""
     keep = [c for c in queries.columns if c != "text"]

@@ -150,9 +150,31 @@ def context_start(msg: DataFrame, min_len: int = 100, length: int = 300, min_msg
     return everyone.join(starts, "conv_id", "left").select("conv_id", first)
 
 
-def _expand(msg: DataFrame, halo: int, min_len: int, length: int, min_msgs: int, max_msgs: int, before_min: int,
-            after_min: int, min_age_s: int, max_age_s: int, rows: int) -> DataFrame:
-    """Message contexts using at most ``halo`` neighbours on either side; ``_open`` where that was not enough."""
+def _gather_some(msg: DataFrame, wanted: DataFrame, halo: int) -> DataFrame:
+    """The ``wanted`` (conv_id, idx) of ``msg`` with up to ``halo`` neighbours on either side, nearest first.
+
+    Only wanted messages get neighbours: the messages of a bucket of ``halo`` positions are one array, and the buckets
+    before, at and after a message hold all it can need.
+    """
+    entry = F.struct("idx", F.unix_micros("time").alias("_t"), F.coalesce(F.length("content"), F.lit(0)).alias("_chars"))
+    asked = msg.join(wanted, ["conv_id", "idx"], "left_semi").select(
+        "conv_id", "idx", "_size", F.unix_micros("time").alias("_t"))
+    near = asked.select("*", F.explode(F.array(*[bucket_of("idx", halo) + d for d in (-1, 0, 1)])).alias("_bucket"))
+    needed = near.select("conv_id", "_bucket").distinct()
+    arrays = (msg.withColumn("_bucket", bucket_of("idx", halo)).join(needed, ["conv_id", "_bucket"], "left_semi")
+              .groupBy("conv_id", "_bucket").agg(F.array_sort(F.collect_list(entry)).alias("_around")))
+    found = near.join(arrays, ["conv_id", "_bucket"]).groupBy("conv_id", "idx", "_size", "_t").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_around"))), lambda b: b["_around"])).alias(
+            "_near"))
+    here = F.col("idx")
+    return found.select(
+        "conv_id", "idx", "_size", "_t",
+        F.reverse(F.filter("_near", lambda e: (e["idx"] < here) & (e["idx"] >= here - halo))).alias("_back"),
+        F.filter("_near", lambda e: (e["idx"] >= here) & (e["idx"] <= here + halo)).alias("_forth"))
+
+
+def _gather_all(msg: DataFrame, halo: int, rows: int) -> DataFrame:
+    """Every message with up to ``halo`` neighbours on either side, nearest first."""
     staged = msg.withColumn("_home", bucket_of("idx", rows))
     offset = F.col("idx") - F.col("_home") * rows
     homes = F.array_compact(F.array(
@@ -164,11 +186,15 @@ def _expand(msg: DataFrame, halo: int, min_len: int, length: int, min_msgs: int,
         F.coalesce(F.length("content"), F.lit(0)).alias("_chars"), F.explode(homes).alias("_bucket"))
     frame = Window.partitionBy("conv_id", "_bucket").orderBy("idx")
     around = F.struct("idx", "_t", "_chars")
-    gathered = spread.withColumn(
+    return spread.withColumn(
         "_back", F.reverse(F.collect_list(around).over(frame.rowsBetween(-halo, -1)))).withColumn(
-        "_forth", F.collect_list(around).over(frame.rowsBetween(0, halo))).filter(
-        (F.col("_home") == F.col("_bucket")) & (F.col("_size") > min_msgs) & (F.col("idx") < F.col("_size") - 1))
+        "_forth", F.collect_list(around).over(frame.rowsBetween(0, halo))).filter(F.col("_home") == F.col("_bucket"))
+
 
+def _expand(gathered: DataFrame, halo: int, min_len: int, length: int, min_msgs: int, max_msgs: int, before_min: int,
+            after_min: int, min_age_s: int, max_age_s: int) -> DataFrame:
+    """Message contexts from the neighbours gathered; ``_open`` where they were not enough."""
+    gathered = gathered.filter((F.col("_size") > min_msgs) & (F.col("idx") < F.col("_size") - 1))
     n_forth, n_back = F.size("_forth"), F.size("_back")
     begin = F.struct(*[F.lit(0).alias(c) for c in ("forth", "back", "chars", "n", "last")],
                      F.col("idx").alias("low"), F.col("idx").alias("high"), F.lit(False).alias("done"))
@@ -237,13 +263,9 @@ def message_context(msg: DataFrame, min_len: int = 100, length: int = 300, min_m
     done = short.unionByName(final)
     pending, width = None, halo
     while True:
-        source = sized if pending is None else sized.join(
-            pending.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_pending")).drop("_pending"), "conv_id",
-            "left_semi")
-        grown = _expand(source, width, min_len, length, min_msgs, max_msgs, before_min, after_min, min_age_s,
-                        max_age_s, max(rows, 2 * width))
-        if pending is not None:
-            grown = grown.join(pending, ["conv_id", "idx"], "left_semi")
+        gathered = (_gather_all(sized, width, max(rows, 2 * width)) if pending is None
+                    else _gather_some(sized, pending, width))
+        grown = _expand(gathered, width, min_len, length, min_msgs, max_msgs, before_min, after_min, min_age_s, max_age_s)
         if inclusive_end:
             grown = grown.withColumn("end", F.col("end") + 1)
         grown = cut_lineage(grown)

@@ -153,7 +153,7 @@ def postings(spark, sf):
 
 @query(f"WITH {_CORPUS_SQL} SELECT term, df FROM cdf")
 def corpus_term_stats(spark, sf):
-    return s.term_stats(s.postings(ad.documents(spark, sf), ["doc_id"], "text"))
+    return s.document_frequencies(ad.documents(spark, sf), "text")
 
 
 _IT_SQL = """it AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY weight DESC, term) AS rank FROM (
@@ -168,7 +168,7 @@ def interesting_terms(spark, sf):
     docs = ad.documents(spark, sf)
     tf = s.postings(docs, ["doc_id"], "text").drop("len")
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    best = s.interesting_terms(tf, s.term_stats(tf), n_docs, ["doc_id"])
+    best = s.interesting_terms(tf, s.document_frequencies(docs, "text"), n_docs, ["doc_id"])
     return best.select("doc_id", "term", "rank", "weight", F.round("boost", 6).alias("boost"))
 
 
