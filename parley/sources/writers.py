@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import MapType
 
 from parley.operators.filters import not_deleted
 from parley.scan import bucket_of, spread_join
@@ -48,12 +51,12 @@ def store_imported(conv: DataFrame, msg: DataFrame, path: str, replace: bool = F
     owned = spread_join(msg.withColumn("_bucket", bucket_of("idx")), conv.select("conv_id", "owner"), ["conv_id"],
                         "_bucket").drop("_bucket")
     ids, owners = conv.select("conv_id"), conv.select("owner").distinct()
-    before = read_search_docs(spark, f"{path}/conversations")
+    before = read_if_there(spark, f"{path}/conversations")
     if before is not None:  # an id may have moved from another owner, whose partition is then written again too
         owners = owners.unionByName(before.join(ids, "conv_id", "left_semi").select("owner")).distinct()
     touched = [r.owner for r in cut_lineage(owners).collect()]
     for name, df in (("conversations", conv), ("messages", owned)):
-        stored = read_search_docs(spark, f"{path}/{name}")
+        stored = read_if_there(spark, f"{path}/{name}")
         if stored is not None and not replace:
             kept = stored.filter(F.col("owner").isin(touched)).join(ids, "conv_id", "left_anti")
             df = kept.select(*df.columns).unionByName(df)
@@ -99,57 +102,109 @@ def write_flat(flat: DataFrame, path: str) -> None:
         "ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
 
 
-def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-
-
-def read_search_docs(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored documents, None before the first write."""
+def read_if_there(spark: SparkSession, path: str, merge: bool = False) -> DataFrame | None:
+    """A Parquet table, None before its first write."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.option("mergeSchema", merge).parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+# The search document table is a folder of versions.  A version holds the new documents of the keys it names, or only
+# the mark that a key is gone; the newest version that names a key has all its documents.  A version is written aside
+# and then moved to its place, so a table holds whole versions only, and writing the same changes again changes nothing.
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions, oldest first; a listing of one folder."""
+    system, place = _folder(spark, f"{path}/docs")
+    if not system.exists(place):
+        return []
+    names = [entry.getPath().getName() for entry in system.listStatus(place)]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def _publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Move a written version to the first free place."""
+    number = (_versions(spark, path) or [0])[-1] + 1
+    system, place = _folder(spark, f"{path}/docs/version={number}")
+    system.mkdirs(place.getParent())
+    if not system.rename(_folder(spark, staged)[1], place):
+        raise RuntimeError(f"version {number} of {path} could not be put in place")
+
+
+def _write_version(rows: DataFrame, path: str, key: str, buckets: int) -> None:
+    spark = rows.sparkSession
+    staged = f"{path}/staged-{uuid.uuid4().hex}"
+    named = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
+    spread = named.withColumn("bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
+    # the rows of one key may be very many, so they go to several tasks of their bucket
+    plain = [f.name for f in rows.schema.fields if not isinstance(f.dataType, MapType)]
+    (spread.repartition(F.col("bucket"), F.pmod(F.xxhash64(*plain), F.lit(8)))
+     .write.partitionBy("bucket").parquet(staged))
+    _publish(spark, staged, path)
+
+
+def _merged(spark: SparkSession, path: str) -> DataFrame | None:
+    """Live rows with their version, bucket and key."""
+    rows = read_if_there(spark, f"{path}/docs", merge=True)
+    if rows is None:
+        return None
+    newest = rows.groupBy("_key").agg(F.max("version").alias("_newest"))
+    return rows.join(newest, "_key").filter((F.col("version") == F.col("_newest")) & ~F.col("_gone")).drop("_newest")
+
+
+def read_search_docs(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored documents, None before the first write."""
+    rows = _merged(spark, path)
+    return None if rows is None else rows.drop("_key", "_gone", "version")
+
+
 def write_search_docs(docs: DataFrame, path: str, removed: DataFrame | None = None, key: str = "conv_id",
                       buckets: int = BUCKETS) -> None:
-    """Replace all documents of the conversations in ``docs``, drop those of ``removed``.
+    """Replace all documents of the keys in ``docs``, drop those of ``removed``.
 
-    The table is partitioned by a hash bucket of the conversation and only buckets with a change are rewritten.  The new
-    content is checkpointed before any file is replaced, and writing the same changes again gives the same table, so a
-    failed write is simply repeated.
+    Only the changes are written, as a new version; ``compact_search_docs`` folds versions together.
     """
-    spark = docs.sparkSession
-    docs = cut_lineage(_bucketed(docs, key, buckets))
-    changed = docs.select(key, "bucket")
+    rows = docs.drop("bucket").withColumn("_gone", F.lit(False))
     if removed is not None:
-        changed = changed.unionByName(_bucketed(removed.select(key), key, buckets))
-    changed = cut_lineage(changed.distinct())
-    # at most ``buckets`` numbers reach the driver
-    touched = [row.bucket for row in changed.select("bucket").distinct().collect()]
-    stored = read_search_docs(spark, path)
-    if stored is not None and touched:
-        kept = stored.filter(F.col("bucket").isin(touched)).join(changed, [key, "bucket"], "left_anti")
-        docs = cut_lineage(kept.select(*docs.columns).unionByName(docs))
-        emptied = set(touched) - {row.bucket for row in docs.select("bucket").distinct().collect()}
-        _drop_folders(spark, path, "bucket", emptied)
-    (docs.repartition(F.col("bucket"), F.pmod(F.xxhash64(key), F.lit(8 * buckets)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+        marks = removed.select(key).distinct().join(docs.select(key).distinct(), key, "left_anti")
+        rows = rows.unionByName(marks.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+    _write_version(rows, path, key, buckets)
+
+
+def delete_search_docs(spark: SparkSession, path: str, removed: DataFrame, key: str = "conv_id",
+                       buckets: int = BUCKETS) -> None:
+    """Drop all documents of the given keys."""
+    if _versions(spark, path):
+        _write_version(removed.select(key).distinct().withColumn("_gone", F.lit(True)), path, key, buckets)
+
+
+def compact_search_docs(spark: SparkSession, path: str) -> None:
+    """Fold all versions into one.  Stopped at any point the table reads the same: the new version repeats what the old
+    ones say, and those go oldest first."""
+    old = _versions(spark, path)
+    rows = _merged(spark, path)
+    if rows is None or len(old) < 2:
+        return
+    staged = f"{path}/staged-{uuid.uuid4().hex}"
+    rows.drop("version").repartition(F.col("bucket"), F.pmod(F.xxhash64("_key"), F.lit(8))).write.partitionBy(
+        "bucket").parquet(staged)
+    _publish(spark, staged, path)
+    for number in old:
+        system, place = _folder(spark, f"{path}/docs/version={number}")
+        system.delete(place, True)
 
 
 def _drop_folders(spark: SparkSession, path: str, column: str, values: set) -> None:
     """Partitions left without a row are not touched by a dynamic overwrite."""
-    jvm = spark._jvm
     for value in values:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def delete_search_docs(spark: SparkSession, path: str, removed: DataFrame, key: str = "conv_id",
-                       buckets: int = BUCKETS) -> None:
-    """Drop all documents of the given conversations."""
-    stored = read_search_docs(spark, path)
-    if stored is not None:
-        write_search_docs(stored.drop("bucket").limit(0), path, removed, key, buckets)
+        system, place = _folder(spark, f"{path}/{column}={value}")
+        system.delete(place, True)
