@@ -512,6 +512,28 @@ def apply_rulesets(tokens: DataFrame, texts: DataFrame, rulesets: Sequence[Mappi
     return tokens
 
 
+def classify_tokens(tokens: DataFrame, classifiers: Sequence[tuple[Column, Column | str]]) -> DataFrame:
+    """Type tokens that have none yet (null or Unknown): the first classifier whose condition holds gives the type."""
+    given = F.coalesce(*[F.when(condition, kind if isinstance(kind, Column) else F.lit(kind))
+                         for condition, kind in classifiers], F.col("type"))
+    return tokens.withColumn("type", F.when(F.coalesce(F.col("type"), F.lit("Unknown")) == "Unknown", given).otherwise(
+        F.col("type")))
+
+
+def content_sections(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """Text units of each message (start, end): its sections without sections inside, the whole text if it has none.
+
+    In the order of start and falling end a section holds another one exactly if the next one begins before its end.
+    """
+    order = Window.partitionBy(*MESSAGE).orderBy("start", F.desc("end"))
+    sections = spans.filter(F.col("kind") == "section").select(*MESSAGE, "start", "end").distinct()
+    leaves = sections.withColumn("_next", F.lead("start").over(order)).filter(
+        F.col("_next").isNull() | (F.col("_next") >= F.col("end"))).drop("_next")
+    whole = texts.join(sections, list(MESSAGE), "left_anti").select(
+        *MESSAGE, F.lit(0).alias("start"), F.length("text").alias("end"))
+    return leaves.unionByName(whole)
+
+
 def union_tokens(*parts: DataFrame) -> DataFrame:
     """Tokens of all extractors in one table."""
     out = parts[0].select(*TOKEN_COLUMNS)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parley.functions.text import is_blank, strip_code_blocks
 from parley.operators.windows import indexable_messages, merge_consecutive, message_context, skips
-from parley.scan import BUCKET_ROWS, bucket_of, spread_join
+from parley.scan import BUCKET_ROWS, before, bucket_of, carry, spread_join
 
 INDEX_VERSION = 7
 NOT_INDEXED = ("token",)
@@ -82,6 +82,21 @@ def property_filter(docs: DataFrame, asked: Mapping[str, Sequence[str]], keys: S
     return docs
 
 
+def matching_pairs(pairs: DataFrame, asked: DataFrame, docs: DataFrame, keys: Sequence[str] = ("support_area",),
+                   completed: bool = False) -> DataFrame:
+    """Candidate pairs (query_id, conv_id, ...) whose properties match, for all asking conversations in one job.
+
+    ``asked``: conv_id, properties of the asking conversations; ``docs``: conv_id, properties, completed.  Each key is
+    matched like in ``property_filter``; with ``completed`` only completed conversations are found.
+    """
+    theirs = asked.select(F.col("conv_id").alias("query_id"), F.col("properties").alias("_asked"))
+    found = docs.select("conv_id", F.col("properties").alias("_found"), F.col("completed").alias("_completed"))
+    joined = pairs.join(theirs, "query_id").join(found, "conv_id")
+    for key in keys:
+        joined = joined.filter(property_matches(*[F.try_element_at(c, F.lit(key)) for c in ("_found", "_asked")]))
+    return (joined.filter("_completed") if completed else joined).select(*pairs.columns)
+
+
 def apply_named_filters(df: DataFrame, filters: Sequence[Mapping], enabled: Mapping[str, bool] | None = None
                         ) -> DataFrame:
     """Filters are ``name``, ``condition``, ``optional`` and ``enabled``; only optional ones can be switched off."""
@@ -104,6 +119,30 @@ def build_sections(msg: DataFrame) -> DataFrame:
                                            F.col("analysed").alias("text"))
 
 
+def section_offsets(sections: DataFrame, separator: str = "\n", rows: int = BUCKET_ROWS) -> DataFrame:
+    """Adds ``offset``: where each section begins in the conversation's sections joined by ``separator``."""
+    size = F.length("text") + len(separator)
+    local = Window.partitionBy("conv_id", "_bucket").orderBy("msg_idx").rowsBetween(Window.unboundedPreceding, -1)
+
+    def derive(totals: DataFrame) -> DataFrame:
+        earlier = F.sum("_sum").over(before(["conv_id"], "_bucket"))
+        return totals.select("conv_id", "_bucket", F.coalesce(earlier, F.lit(0)).alias("_before"))
+
+    placed = carry(sections.withColumn("_bucket", bucket_of("msg_idx", rows)), ["conv_id"], "_bucket",
+                   [F.sum(size).alias("_sum")], derive)
+    return placed.withColumn("offset", (F.col("_before") + F.coalesce(F.sum(size).over(local), F.lit(0))).cast(
+        "long")).drop("_before", "_bucket")
+
+
+def section_content(sections: DataFrame, separator: str = "\n", rows: int = BUCKET_ROWS) -> DataFrame:
+    """(conv_id, content): all sections of a conversation joined by ``separator``."""
+    parts = sections.groupBy("conv_id", bucket_of("msg_idx", rows).alias("_bucket")).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("msg_idx", "text"))), lambda e: e["text"]).alias("_texts"))
+    whole = F.array_sort(F.collect_list(F.struct("_bucket", "_texts")))
+    return parts.groupBy("conv_id").agg(F.array_join(F.flatten(F.transform(whole, lambda p: p["_texts"])), separator)
+                                        .alias("content"))
+
+
 def flatten_properties(conv: DataFrame, blocked: Sequence[str] = NOT_INDEXED) -> DataFrame:
     """One map ``fields`` with ``env_`` and ``meta_`` entries; blank keys, empty values and blocked keys dropped."""
 

@@ -189,6 +189,14 @@ def hits_to_messages(hits: DataFrame, docs: DataFrame) -> DataFrame:
         "message_idxs")
 
 
+def paged_hits(hits: DataFrame, order: Sequence[Column], number: int = 0, size: int = 10) -> tuple[DataFrame, DataFrame]:
+    """One page (numbered from 0) of the hits of every query with their ``rank`` from 1, and (query_id, num_found)."""
+    best = Window.partitionBy("query_id").orderBy(*order)
+    ranked = hits.withColumn("rank", F.row_number().over(best)).filter(
+        F.col("rank") <= (number + 1) * size).filter(F.col("rank") > number * size)
+    return ranked, hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_found"))
+
+
 def copy_fields(docs: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
     """Add search fields that collect the texts of other columns (target -> source columns or prefixes ending in *), in
     the order of the rules."""

@@ -158,6 +158,35 @@ def order_tokens(spark, sf):
     return a.index_tokens(tokens).select("conv_id", "token_idx", "message_idx", "start", "type", "value")
 
 
+@query(f"""{_TOKENS_SQL} SELECT conv_id, message_idx, start, value, CASE WHEN type <> 'Entity' THEN type
+  WHEN regexp_matches(value, '^\\p{{Lu}}') THEN 'Person' WHEN confidence > 0.4 THEN 'Product' ELSE 'Unknown' END AS type
+FROM tokens""")
+def classify_tokens(spark, sf):
+    _, _, _, tokens = _tokens(spark, sf)
+    unknown = tokens.withColumn("type", F.when(F.col("type") == "Entity", "Unknown").otherwise(F.col("type")))
+    return a.classify_tokens(unknown, [(F.col("value").rlike(r"^\p{Lu}"), "Person"), (
+        F.col("confidence") > 0.4, F.lit("Product"))]).select("conv_id", "message_idx", "start", "value", "type")
+
+
+# Sections: stretches of words from every word to the next long one, whole halves of the message around them.
+@query(f"""{_WORDS_SQL}, sec AS (SELECT DISTINCT conv_id, msg_idx, start, far AS "end" FROM spread WHERE len % 5 = 3
+  UNION SELECT conv_id, msg_idx, 0, CAST(max("end") AS INTEGER) FROM words WHERE msg_idx % 2 = 0 GROUP BY ALL),
+leaf AS (SELECT * FROM sec s WHERE NOT EXISTS (SELECT 1 FROM sec i WHERE i.conv_id = s.conv_id AND i.msg_idx = s.msg_idx
+  AND (i.start > s.start OR i.start = s.start AND i."end" < s."end") AND i.start < s."end"))
+SELECT * FROM leaf UNION ALL SELECT conv_id, idx, 0, CAST(length(content) AS INTEGER) FROM msg
+WHERE NOT EXISTS (SELECT 1 FROM sec WHERE sec.conv_id = msg.conv_id AND sec.msg_idx = msg.idx)""")
+def content_sections(spark, sf):
+    msg = ad.messages(spark, sf)
+    words = _words(msg)
+    order = Window.partitionBy("conv_id", "msg_idx").orderBy("start")
+    near = words.withColumn("_far", F.coalesce(F.lead("end").over(order), F.col("end"))).filter(
+        F.length("text") % 5 == 3).select("conv_id", "msg_idx", "start", F.col("_far").alias("end"))
+    whole = words.filter("msg_idx % 2 = 0").groupBy("conv_id", "msg_idx").agg(
+        F.lit(0).alias("start"), F.max("end").alias("end")).select("conv_id", "msg_idx", "start", "end")
+    sections = near.unionByName(whole).withColumn("kind", F.lit("section"))
+    return a.content_sections(sections, _texts(msg))
+
+
 # Stop words: short starts of words, some only in upper case.
 _STOP_SQL = """stop(lang, key, variant) AS (VALUES (NULL, 'ent', 'ent'), ('de', 'ein', 'ein'), ('de', 'lin', 'LIN'),
   ('en', 'her', 'her'))"""

@@ -86,6 +86,35 @@ def build_sections(spark, sf):
     return f.build_sections(ad.messages(spark, sf))
 
 
+_SECTIONS_SQL = f"""{_MSG}, sections AS (SELECT conv_id, idx AS msg_idx, content AS text FROM msg
+  WHERE NOT skip AND regexp_matches(content, '\\S'))"""
+
+
+@query(f"""{_SECTIONS_SQL} SELECT conv_id, msg_idx, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id
+  ORDER BY msg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM sections""")
+def section_offsets(spark, sf):
+    return f.section_offsets(f.build_sections(ad.messages(spark, sf)), rows=2).select("conv_id", "msg_idx", "offset")
+
+
+@query(f"""{_SECTIONS_SQL} SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY msg_idx)) AS content FROM sections
+GROUP BY conv_id""")
+def section_content(spark, sf):
+    return f.section_content(f.build_sections(ad.messages(spark, sf)), rows=2).select(
+        "conv_id", F.md5("content").alias("content"))
+
+
+@query(f"""{_CONV}, pairs AS (SELECT a.conv_id AS query_id, b.conv_id FROM conv a JOIN conv b
+  ON b.conv_id > a.conv_id AND b.conv_id <= a.conv_id + 30)
+SELECT query_id, p.conv_id FROM pairs p JOIN conv a ON a.conv_id = query_id JOIN conv b ON b.conv_id = p.conv_id
+WHERE a.support_area IS NOT DISTINCT FROM b.support_area AND list_has_any(a.tags, b.tags) AND b.status = 'Complete'""")
+def matching_pairs(spark, sf):
+    conv = ad.conversations(spark, sf).select(
+        "conv_id", "properties", (F.col("status") == "Complete").alias("completed"))
+    ahead = F.explode(F.sequence(F.col("conv_id") + 1, F.col("conv_id") + 30)).alias("conv_id")
+    pairs = conv.select(F.col("conv_id").alias("query_id"), ahead)
+    return f.matching_pairs(pairs, conv, conv, ["support_area", "tags"], completed=True)
+
+
 @query(f"""{_CONV} SELECT conv_id, concat_ws(';', 'env_lang=de',
   concat('meta_channel_id=', channel_id),
   CASE WHEN support_area IS NOT NULL THEN concat('meta_support_area=', support_area) END,

@@ -81,6 +81,16 @@ def search_messages(spark, sf):
     return hits.select("query_id", "conv_id", "idx", "score")
 
 
+@query(f"""{_HITS_SQL} SELECT query_id, conv_id, idx, rank, num_found FROM (SELECT *, CAST(row_number() OVER (
+  PARTITION BY query_id ORDER BY score DESC, conv_id, idx) AS INTEGER) AS rank, count(*) OVER (PARTITION BY query_id)
+  AS num_found FROM hits) WHERE rank > 5 AND rank <= 10""")
+def search_messages_page(spark, sf):
+    """The second page of five, with the number of all hits."""
+    _, hits = _search(spark, sf)
+    page, found = s.paged_hits(ad.stored(hits), [F.desc("score"), F.col("conv_id"), F.col("idx")], 1, 5)
+    return page.join(found, "query_id").select("query_id", "conv_id", "idx", "rank", "num_found")
+
+
 _GROUPED_SQL = """, best AS (SELECT query_id, conv_id, max(score) AS best FROM hits GROUP BY ALL),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, conv_id) AS group_rank,
   count(*) OVER (PARTITION BY query_id) AS num_found FROM best),

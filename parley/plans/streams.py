@@ -149,19 +149,14 @@ def analysis_stream(spark, sf):
     return writers.read_search_docs(spark, path).select("conv_id", F.unix_millis("date").alias("date"), "users", "chars")
 
 
-@query(f"WITH {EVM_SQL} SELECT conv_id, msg_id, CAST(sum(votes - 10) AS BIGINT) AS votes FROM msg GROUP BY conv_id, msg_id")
+@query(f"WITH {EVM_SQL} SELECT conv_id, concat('m', idx) AS msg_id, CAST(votes + votes % 7 - 10 AS INTEGER) AS votes FROM msg")
 def rate_messages_stream(spark, sf):
+    """Message ids are the list positions, so that every conversation has the same ones."""
     path = scratch(spark, "votes")
-    deltas = ad.event_messages(spark, sf).select("conv_id", "msg_id", F.explode(F.array(
-        F.col("votes"), F.lit(-10))).alias("delta"))
-    totals = sync.rate_messages_stream(_stream(spark, deltas, "deltas"))
-
-    def each(batch, _):
-        writers.write_search_docs(batch, path, None, "msg_id")
-
-    (totals.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", scratch(spark, "cursor"))
-     .trigger(availableNow=True).start().awaitTermination())
-    return writers.read_search_docs(spark, path).drop("bucket")
+    msg = ad.stored(ad.event_messages(spark, sf).select("conv_id", F.concat(F.lit("m"), "idx").alias("msg_id"), "votes"))
+    deltas = msg.select("conv_id", "msg_id", F.explode(F.array(F.col("votes") % 7, F.lit(-10))).alias("delta"))
+    _finish(spark, _stream(spark, deltas, "deltas"), sync.rating_sink(path))
+    return sync.rated_messages(spark, msg, path)
 
 
 @query(f"""WITH {MSG_SQL} SELECT concat('c', conv_id) AS conv_id, msg_id, t, origin, content, user_id FROM msg""")

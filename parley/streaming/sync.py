@@ -16,9 +16,9 @@ from pyspark.sql.types import StructType
 
 from parley.operators.filters import (
     INDEX_VERSION, conversation_docs, last_sync, message_docs, outdated_count, split_changes)
-from parley.operators.merge import newest
+from parley.operators.merge import adjust_votes, newest
 from parley.operators.windows import indexable_messages
-from parley.sources.writers import read_search_docs, write_search_docs
+from parley.sources.writers import read_if_there, read_search_docs, write_search_docs
 
 SYNC_SECONDS, CHAT_SYNC_SECONDS, COMMIT_SECONDS, MIN_COMMIT_SECONDS = 15, 30, 10, 1
 EPOCH_FILES = 1000
@@ -160,9 +160,24 @@ def merge_consecutive_stream(msg: DataFrame, timeout_s: int = 30, watermark: str
         merge, _RUN_ROW.format(key=key_type), _RUN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rate_messages_stream(deltas: DataFrame) -> DataFrame:
-    """Running vote totals per message (update mode)."""
-    return deltas.groupBy("conv_id", "msg_id").agg(F.sum("delta").alias("votes"))
+def rating_sink(path: str) -> BatchFunction:
+    """Batch function that keeps the vote changes (conv_id, msg_id, delta) of every batch, summed, below ``path``.
+
+    A batch has a folder of its own and a repeated batch writes it again, so nothing is counted twice, and no state is
+    held: ``rated_messages`` applies what has been written.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy("conv_id", "msg_id").agg(F.sum("delta").alias("delta"))
+        sums.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return each
+
+
+def rated_messages(spark: SparkSession, msg: DataFrame, path: str) -> DataFrame:
+    """``msg`` with the votes of all batches of a ``rating_sink`` added."""
+    deltas = read_if_there(spark, path)
+    return msg if deltas is None else adjust_votes(msg, deltas)
 
 
 def analysis_sink(spark: SparkSession, path: str, analyse: Callable[[DataFrame], DataFrame], key: str = "conv_id"
