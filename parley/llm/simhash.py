@@ -2,33 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from parley.llm.common import partition_table, small_batches, stored, text_bytes
+from parley.llm.common import mixed, partition_table, small_batches, stored, text_bytes
 from parley.llm.graph import connected_components
 
 BITS = 64
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of all word shingles; zero without words."""
-    parts = text.lower().split()
-    if not parts:
-        return 0
+def shingle_hashes(parts: list[bytes], words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; of the whole sequence if it is shorter."""
     joined = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if len(parts) < words:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)] if parts else [], np.uint64)
     ends = list(accumulate(map(len, parts), lambda a, n: a + n + 1))
     starts = [0, *(e + 1 for e in ends)]
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1:])), np.uint64,
-                         len(parts) - words + 1)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1:])), np.uint64,
+                       len(parts) - words + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         block = hashes[k:k + (1 << 16)]
@@ -36,6 +37,17 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
+    """Majority bits of the XXH64 of all word shingles; zero without words."""
+    return majority(shingle_hashes(text.lower().split(), words, seed))
+
+
+def more_fingerprints(hashes: np.ndarray, first: int, count: int) -> list[int]:
+    """Majority bits of ``count`` other hashes of the same shingles, numbered from ``first``."""
+    steps = [np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64) for k in range(first, first + count)]
+    return [majority(mixed(hashes ^ step)) for step in steps]
+
+
 def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp): the 64-bit fingerprint of every whole text as a signed long.  Null and blank texts have zero."""
     small_batches(docs.sparkSession)
@@ -75,15 +87,16 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.nda
 
 
 def trie_links(codes: np.ndarray, depth: int, budget: int, steps: np.ndarray, side: np.ndarray | None = None,
+               accept: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
                frontier: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all codes within ``budget`` differing bits that share their first ``depth`` bits.
 
-    ``codes`` are sorted distinct 64-bit numbers and stand for a binary trie: a node is a range of them and its
+    ``codes`` are sorted 64-bit numbers and stand for a binary trie: a node is a range of them and its
     children part at the next bit.  Pairs of nodes go down together; the differing bits of their paths add up, and a
     pair ends where they exceed the budget.  steps[d] is the least number of differing bits that a pair must have
     when it reaches depth d (pairs below are found in another ordering of the bits).  Only links that join two sets
     come back, not all pairs: their components are the same.  With ``side`` (0 or 1 for each code) only pairs of
-    different sides count.
+    different sides count, with ``accept`` only pairs (by index) that it accepts.
     """
     n = len(codes)
     parent = np.arange(n)
@@ -94,6 +107,17 @@ def trie_links(codes: np.ndarray, depth: int, budget: int, steps: np.ndarray, si
     lo = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
     hi = np.r_[lo[1:], n]
     many = hi - lo > 1
+
+    def link(a: np.ndarray, b: np.ndarray) -> None:
+        ok = np.bitwise_count(codes[a] ^ codes[b]) <= budget
+        if side is not None:
+            ok &= side[a] != side[b]
+        a, b = a[ok], b[ok]
+        if accept is not None and len(a):
+            ok = accept(a, b)
+            a, b = a[ok], b[ok]
+        out.extend(unite(parent, a, b))
+
     stack = [(depth, lo[many], hi[many], lo[many], hi[many], np.zeros(int(many.sum()), np.int16))]
     while stack:
         d, alo, ahi, blo, bhi, diff = stack.pop()
@@ -108,16 +132,21 @@ def trie_links(codes: np.ndarray, depth: int, budget: int, steps: np.ndarray, si
         if single.any():  # the rest of both paths at once
             a, b = alo[single], blo[single]
             other = a != b
-            a, b = a[other], b[other]
-            near = np.bitwise_count(codes[a] ^ codes[b]) <= budget
-            if side is not None:
-                near &= side[a] != side[b]
-            out += unite(parent, a[near], b[near])
+            link(a[other], b[other])
             keep = ~single
             alo, ahi, blo, bhi, diff = (x[keep] for x in (alo, ahi, blo, bhi, diff))
             if not len(alo):
                 continue
-        if d == BITS:
+        if d == BITS:  # the codes of a node are equal now
+            left, right = ahi - alo, bhi - blo
+            until = np.cumsum(left * right)
+            for k in range(0, int(until[-1]), frontier):
+                pair = np.arange(k, min(k + frontier, int(until[-1])))
+                of = np.searchsorted(until, pair, "right")
+                pair = pair - (until - left * right)[of]
+                a, b = alo[of] + pair // right[of], blo[of] + pair % right[of]
+                once = (a < b) | (alo[of] != blo[of])
+                link(a[once], b[once])
             continue
         bit = np.uint64(1) << np.uint64(BITS - 1 - d)
         above = ~((bit << np.uint64(1)) - np.uint64(1)) if d else np.uint64(0)
@@ -145,37 +174,42 @@ def block_bounds(budget: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], cuts[1:]))
 
 
-def links(fps: DataFrame, budget: int = 4, tile: int = 50_000) -> DataFrame:
-    """(u, v): links whose components are those of all pairs of distinct ``fp`` within ``budget`` differing bits.
+def _turned(column: str, bound: tuple[int, int]) -> Column:
+    """The code with the bits of a block first, the others in their order."""
+    a, b = bound
+    width, rest = b - a, BITS - b
+    code = F.col(column)
+    value = F.shiftrightunsigned(F.shiftleft(code, a), BITS - width)
+    tail = code.bitwiseAND(F.lit((1 << rest) - 1).cast("long")) if rest else F.lit(0).cast("long")
+    body = F.shiftleft(value, BITS - width).bitwiseOR(tail)
+    if not a:
+        return body
+    return body.bitwiseOR(F.shiftleft(F.shiftrightunsigned(code, BITS - a), rest))
 
-    Codes within the budget agree in one of budget + 1 blocks of bits; each block value is a subtrie whose codes meet
-    in one task.  A block value with more than ``tile`` codes is cut into tiles of about that many, and each pair of
-    tiles is a task of its own; the test uses counts, so results don't depend on it.
+
+def links(nodes: DataFrame, budget: int = 4, tile: int = 50_000, node: str = "fp", tables: tuple[str, ...] = ("fp",),
+          witness: tuple[str, ...] = (), limit: int = 0) -> DataFrame:
+    """(u, v): links whose components are those of all pairs of nodes within ``budget`` differing bits in a table.
+
+    ``nodes``: distinct ``node`` numbers with one 64-bit code for each of the ``tables``; with ``witness`` columns a
+    pair must also differ in no more than ``limit`` bits of them together.  Codes within the budget agree in one of
+    budget + 1 blocks of bits; each block value is a subtrie whose codes meet in one task.  A block value with more
+    than ``tile`` codes is cut into tiles of about that many, and each pair of tiles is a task of its own; the test
+    uses counts, so results don't depend on it.
     """
     bounds = block_bounds(budget)
-
-    def turned(k: int):  # the block's bits first, the others in their order
-        a, b = bounds[k]
-        width, rest = b - a, BITS - b
-        fp = F.col("fp")
-        value = F.shiftrightunsigned(F.shiftleft(fp, a), BITS - width)
-        head = F.shiftrightunsigned(fp, BITS - a) if a else F.lit(0).cast("long")
-        tail = fp.bitwiseAND(F.lit((1 << rest) - 1).cast("long")) if rest else F.lit(0).cast("long")
-        body = F.shiftleft(value, BITS - width).bitwiseOR(tail)
-        return body.bitwiseOR(F.shiftleft(head, rest)) if a else body
-
-    rows = fps.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("block"), turned(k).alias("code")) for k in range(len(bounds))])).alias("x")).select(
-        "x.block", "x.code", F.expr("CASE x.block " + " ".join(
-            f"WHEN {k} THEN shiftrightunsigned(x.code, {BITS - (b - a)})" for k, (a, b) in enumerate(bounds))
-            + " END").alias("value"))
+    each = F.explode(F.array(*[
+        F.struct(F.lit(t * len(bounds) + k).alias("block"), _turned(name, bound).alias("code"),
+                 F.shiftrightunsigned(_turned(name, bound), BITS - (bound[1] - bound[0])).alias("value"))
+        for t, name in enumerate(tables) for k, bound in enumerate(bounds)])).alias("x")
+    rows = nodes.select(F.col(node).alias("node"), *witness, each).select("node", *witness, "x.*")
     sizes = rows.groupBy("block", "value").count().filter(F.col("count") > tile).select(
         "block", "value", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     cut = rows.join(sizes, ["block", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.pmod(F.xxhash64("code"), F.col("tiles")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     dealt = cut.withColumn("own", own).withColumn("with", F.explode(F.expr("sequence(0, tiles - 1)"))).select(
         "block", "value", F.least("own", "with").alias("t0"), F.greatest("own", "with").alias("t1"),
-        F.when(F.col("own") <= F.col("with"), 0).otherwise(1).cast("byte").alias("side"), "code")
+        F.when(F.col("own") <= F.col("with"), 0).otherwise(1).cast("byte").alias("side"), "code", "node", *witness)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = partition_table(batches)
@@ -185,43 +219,37 @@ def links(fps: DataFrame, budget: int = 4, tile: int = 50_000) -> DataFrame:
         codes = get["code"].view(np.uint64)
         tiled = get["t0"] != get["t1"]
         jobs = []
-        for k, (a, b) in enumerate(bounds):
+        for block in np.unique(get["block"]):
+            k = int(block) % len(bounds)
+            width = bounds[k][1] - bounds[k][0]
             steps = np.zeros(BITS + 1, np.int16)
             for j in range(k):  # an earlier block without a difference finds the pair itself
-                steps[(b - a) + bounds[j][1]] = j + 1
-            mine = get["block"] == k
+                steps[width + bounds[j][1]] = j + 1
+            mine = get["block"] == block
             plain = mine & ~tiled & (get["t0"] == 0)
-            jobs.append((k, b - a, steps, plain, False))
+            jobs.append((width, steps, plain, False))
             rest = mine & ~plain
             if rest.any():
                 key = np.stack([get["value"][rest], get["t0"][rest], get["t1"][rest]], 1)
                 for value, t0, t1 in np.unique(key, axis=0):
                     which = rest & (get["value"] == value) & (get["t0"] == t0) & (get["t1"] == t1)
-                    jobs.append((k, b - a, steps, which, t0 != t1))
-        for k, width, steps, which, two in jobs:
-            order = np.argsort(codes[which], kind="stable")
-            own, side = codes[which][order], get["side"][which][order]
-            u, v = trie_links(own, width, budget, steps, side if two else None)
+                    jobs.append((width, steps, which, t0 != t1))
+        for width, steps, which, two in jobs:
+            chosen = np.flatnonzero(which)
+            chosen = chosen[np.argsort(codes[chosen], kind="stable")]
+            accept = None
+            if witness:
+                more = [get[c][chosen].view(np.uint64) for c in witness]
+                accept = lambda a, b: sum(
+                    np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in more) <= limit
+            u, v = trie_links(codes[chosen], width, budget, steps, get["side"][chosen] if two else None, accept)
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(_unturn(own[x], bounds[k]).view(np.int64)) for x in (u, v)],
-                                                 ["u", "v"])
+                names = get["node"][chosen]
+                yield pa.RecordBatch.from_arrays([pa.array(names[u]), pa.array(names[v])], ["u", "v"])
 
     return dealt.repartition("block", "value", "t0", "t1").mapInArrow(apply, "u long, v long")
 
 
-def _unturn(code: np.ndarray, bound: tuple[int, int]) -> np.ndarray:
-    """The fingerprint of a code whose block was moved to the front."""
-    a, b = bound
-    width, rest = b - a, BITS - b
-    if not a:
-        return code
-    one = np.uint64(1)
-    value = code >> np.uint64(BITS - width)
-    head = (code >> np.uint64(rest)) & ((one << np.uint64(a)) - one)
-    tail = code & ((one << np.uint64(rest)) - one) if rest else np.zeros_like(code)
-    return (head << np.uint64(BITS - a)) | (value << np.uint64(rest)) | tail
-
-
 def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, text: str = "text", key: str = "doc_id",
                     tile: int = 50_000) -> DataFrame:
     """(key, fp, component): fingerprints linked at ``budget`` or fewer differing bits, with the smallest key reachable.
@@ -233,9 +261,56 @@ def near_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, text: str
     """
     prints = stored(fingerprints(docs, words, text, key), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    found = connected_components(links(nodes.select("fp"), budget, tile))
-    labelled = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("label"))
+    return _labelled(prints, nodes, links(nodes, budget, tile), "fp", key).select(key, "fp", "component")
+
+
+def _labelled(rows: DataFrame, nodes: DataFrame, found: DataFrame, node: str, key: str) -> DataFrame:
+    """``rows`` with the smallest key of their node's component."""
+    parts = connected_components(found)
+    labelled = nodes.join(parts.withColumnRenamed("node", node), node, "left").select(
+        node, "least", F.coalesce("component", node).alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component"))
-    by_print = labelled.join(smallest, "label").select("fp", "component")
-    return prints.join(by_print, "fp").select(key, "fp", "component")
+    return rows.join(labelled.join(smallest, "label").select(node, "component"), node)
+
+
+def differing_bits(similarity: float, bits: int) -> int:
+    """Most bits that fingerprints of that many bits may differ in: the expected number at a shingle similarity, and
+    one standard deviation."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, table_words: int = 2, tables: int = 8,
+                      witnesses: int = 8, budget: int = 4, text: str = "text", key: str = "doc_id",
+                      tile: int = 50_000) -> DataFrame:
+    """(key, component): documents linked at a similarity of about ``similarity`` or more on ``words``-word shingles.
+
+    One fingerprint of 64 bits finds only texts that are almost the same within a few bits.  So there are several,
+    of shorter shingles: a pair is a candidate if one of the ``tables`` has it within ``budget`` bits, and is linked if
+    the long fingerprint (64 bits for each of ``witnesses``) of the ``words``-word shingles says that they are similar
+    enough.  All candidates of the tables are looked at, in the trie join; rows with equal fingerprints are one node.
+    Nulls, empty texts, repeated rows, rows without a key and empty tables are as in ``near_duplicates``.
+    """
+    small_batches(docs.sparkSession)
+    names = [f"t{k}" for k in range(tables)] + [f"w{k}" for k in range(witnesses)]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for body in text_bytes(batch.column(1)):
+                parts = body.lower().split()
+                rows.append(more_fingerprints(shingle_hashes(parts, table_words), 0, tables)
+                            + more_fingerprints(shingle_hashes(parts, words), tables, witnesses))
+            codes = np.array(rows, np.uint64).reshape(len(rows), len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(np.ascontiguousarray(codes[:, k])) for k in range(len(names))]],
+                ["key", *names])
+
+    kind = docs.schema[key].dataType.simpleString()
+    prints = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(
+        apply, f"key {kind}, " + ", ".join(f"{n} long" for n in names)).withColumn("node", F.xxhash64(*names)), "fingerprints")
+    nodes = prints.groupBy("node", *names).agg(F.min("key").alias("least"))
+    found = links(nodes, budget, tile, "node", tuple(names[:tables]), tuple(names[tables:]),
+                  differing_bits(similarity, BITS * witnesses))
+    return _labelled(prints.select("key", "node"), nodes.select("node", "least"), found, "node", "key").select(
+        F.col("key").alias(key), "component")

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from parley.llm.graph import connected_components
-from parley.llm.simhash import fingerprint, links, near_duplicates
+from parley.llm.simhash import differing_bits, fingerprint, links, near_duplicates, similar_documents
 
 
 def plain_components(pairs, nodes):
@@ -31,6 +31,26 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def plain_words(text):
+    return [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+            .translate({c: " " for c in range(9, 14)}).split(" ") if w]
+
+
+def plain_tables(text, words, first, count):
+    """Other fingerprints of the same shingles, by integer arithmetic."""
+    parts, out, whole = plain_words(text), [], 2**64
+    shingles = [" ".join(parts[i:i + words]) for i in range(max(1, len(parts) - words + 1))] if parts else []
+    for k in range(first, first + count):
+        hashes = []
+        for s in shingles:
+            h = xxhash.xxh64_intdigest(s.encode(), 42) ^ (k + 1) * 0x9E3779B97F4A7C15 % whole
+            for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                h = (h ^ h >> 33) * factor % whole
+            hashes.append(h ^ h >> 33)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return out
+
+
 def test_fingerprint():
     rng = random.Random(1)
     for n in (0, 1, 3, 4, 5, 40, 300):
@@ -91,6 +111,40 @@ def test_near_duplicates_whole_rule(spark):
     assert sorted((str(r.doc_id), r.fp % 2**64, r.component) for r in got) == want
 
 
+def test_similar_documents(spark):
+    """Linked as the rule says, for every tile; nearly all texts of a similarity over 0.8 are, and none of under 0.6."""
+    rng = random.Random(12)
+    texts = [None, "", "one two", "one two", "One  two\n"]
+    for _ in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(80, 300))]
+        texts.append(" ".join(base))
+        for edits in (1, 3, 6, 12, 40):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(9)}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    tables, longer = ([plain_tables(t, *of) for t in texts] for of in ((2, 0, 8), (5, 8, 8)))
+    sets = [{tuple(plain_words(t)[i:i + 5]) for i in range(len(plain_words(t)) - 4)} for t in texts]
+    bits = lambda a, b: [(x ^ y).bit_count() for x, y in zip(a, b)]
+    limit, pairs, close, found = differing_bits(0.8, 512), [], 0, 0
+    assert limit == 85
+    for i in range(len(rows)):
+        for j in range(i):
+            linked = min(bits(tables[i], tables[j])) <= 4 and sum(bits(longer[i], longer[j])) <= limit
+            pairs += [(i, j)] if linked else []
+            same = len(sets[i] & sets[j]) / (len(sets[i] | sets[j]) or 1)
+            close, found = close + (same >= 0.8), found + (linked and same >= 0.8)
+            assert not (linked and sets[i] and same < 0.6)
+    assert found >= 0.85 * close > 40
+    want = plain_components(pairs, range(len(rows)))
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, t0 int, node int, w0 string")
+    for tile in (50_000, 5):
+        got = {r.doc_id: r.component for r in similar_documents(docs, tile=tile).collect()}
+        assert got == want
+
+
 def test_no_rows(spark):
+    assert similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
