@@ -316,7 +316,32 @@ def adjective_locations(spark, sf):
     return found.select("conv_id", "msg_idx", "start", "end", F.round("prob", 6).alias("prob"))
 
 
-@query()
+_MERGED_PROB = """CASE WHEN {p} IS NOT NULL OR {q} IS NOT NULL
+    THEN (coalesce({p}, 1) + coalesce({q}, 1)) / (1 + coalesce({p}, 1) * coalesce({q}, 1)) END"""
+
+
+@query(f"""{_WORDS_SQL}, reached AS (SELECT *, coalesce(max("end") OVER (PARTITION BY conv_id, msg_idx
+    ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS reach
+  FROM chunks WHERE ner_type IN ('location', 'organization')),
+followed AS (SELECT o.*, (SELECT min(w.start) FROM words w WHERE w.conv_id = o.conv_id AND w.msg_idx = o.msg_idx
+    AND w.start >= o."end") AS next_word FROM reached o WHERE "end" > reach),
+linked AS (SELECT *, CASE WHEN ner_type = 'location' AND lag(next_word) OVER w = start THEN 0 ELSE 1 END AS opens
+  FROM followed WINDOW w AS (PARTITION BY conv_id, msg_idx ORDER BY start, "end" DESC)),
+chained AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id, msg_idx ORDER BY start, "end" DESC) AS chain FROM linked),
+paired AS (SELECT *, row_number() OVER w AS n, lead(start) OVER w AS f_start, lead("end") OVER w AS f_end,
+    lead(text) OVER w AS f_text, lead(lemma) OVER w AS f_lemma, lead(prob) OVER w AS f_prob
+  FROM chained WINDOW w AS (PARTITION BY conv_id, msg_idx, chain ORDER BY start)),
+tailed AS (SELECT o.conv_id, o.msg_idx, o.start, o."end", o.text, {_MERGED_PROB.format(p='o.prob', q='i.prob')} AS prob,
+    coalesce(o.lemma, CASE WHEN i.lemma IS NOT NULL THEN concat(substring(content, o.start + 1, i.start - o.start), i.lemma) END)
+    AS lemma
+  FROM followed o JOIN reached i ON i.conv_id = o.conv_id AND i.msg_idx = o.msg_idx AND i."end" = o."end"
+    AND i."end" <= i.reach AND i.ner_type = 'location' JOIN msg m ON m.conv_id = o.conv_id AND m.idx = o.msg_idx
+  WHERE o.ner_type = 'organization')
+SELECT p.conv_id, msg_idx, start, f_end AS "end", substring(content, start + 1, f_end - start) AS text,
+  round({_MERGED_PROB.format(p='prob', q='f_prob')}, 6) AS prob, CASE WHEN lemma IS NOT NULL OR f_lemma IS NOT NULL
+    THEN concat(coalesce(lemma, text), substring(content, "end" + 1, f_start - "end"), coalesce(f_lemma, f_text)) END AS lemma
+FROM paired p JOIN msg m ON m.conv_id = p.conv_id AND m.idx = p.msg_idx WHERE n % 2 = 1 AND f_start IS NOT NULL
+UNION ALL SELECT conv_id, msg_idx, start, "end", text, round(prob, 6), lemma FROM tailed""")
 def append_location_type(spark, sf):
     msg = ad.messages(spark, sf)
     words = _words(msg)
@@ -422,13 +447,16 @@ def accept_tokens(spark, sf):
     return f.accept_tokens(a.latch_slots(indexed), indexed).select("conv_id", "role", "token_idx", "value")
 
 
-@query(f"""{_windowed(_LATCH_SQL)}, ph AS (SELECT conv_id, confidence, token_idx, value, role,
-  regexp_replace(value, '([\\\\+\\-!():^\\[\\]"{{}}~*?|&;/\\s])', '\\\\\\1', 'g') AS e FROM latch WHERE confidence >= 0.1
+_PHRASES_SQL = """ph AS (SELECT conv_id, confidence, token_idx, value, role,
+  regexp_replace(value, '([\\\\+\\-!():^\\[\\]"{}~*?|&;/\\s])', '\\\\\\1', 'g') AS e FROM latch WHERE confidence >= 0.1
   AND regexp_matches(value, '\\S')),
 two AS (SELECT conv_id, confidence, token_idx, 1 AS k, concat(CASE role WHEN 'location' THEN 'location' ELSE 'text' END, ':"', e,
     '"^', CAST(confidence AS FLOAT)) AS p FROM ph WHERE role IN ('location', 'alphabet')
   UNION ALL SELECT conv_id, confidence, token_idx, 2, concat('title:"', e, '"^', CAST(CAST(confidence AS FLOAT) * 3::FLOAT
-    AS FLOAT)) FROM ph WHERE role IN ('location', 'alphabet'))
+    AS FLOAT)) FROM ph WHERE role IN ('location', 'alphabet'))"""
+
+
+@query(f"""{_windowed(_LATCH_SQL)}, {_PHRASES_SQL}
 SELECT conv_id, coalesce(query, '') AS query FROM (SELECT DISTINCT conv_id FROM latch) LEFT JOIN (SELECT conv_id,
   string_agg(p, ' OR ' ORDER BY confidence DESC, token_idx, k) AS query FROM two GROUP BY conv_id) USING (conv_id)""")
 def latch_query(spark, sf):
@@ -581,7 +609,21 @@ def batch_analyze(spark, sf):
     return q.build_queries(slots, tokens, w.context_start(msg), _settings(owners), owners)
 
 
-@query()
+# Rejected tokens (low confidence) take no part in templates; queries of the components that are enabled.
+_EDITED_SQL = _windowed(_LATCH_SQL).replace("ELSE 'alphabet' END AS role FROM indexed)", "ELSE 'alphabet' END AS role "
+                                            "FROM indexed WHERE confidence >= 0.3)").replace(
+    "FROM indexed WHERE type <> 'Topic'", "FROM indexed WHERE type <> 'Topic' AND confidence >= 0.3")
+
+
+@query(f"""{_EDITED_SQL}{_START_SQL}, {_PHRASES_SQL},
+lq AS (SELECT conv_id, string_agg(p, ' OR ' ORDER BY confidence DESC, token_idx, k) AS query FROM two GROUP BY conv_id),
+v AS (SELECT conv_id, role, value, min(token_idx) AS first_at FROM rel JOIN starts USING (conv_id)
+  WHERE message_idx >= start AND value <> '' GROUP BY ALL),
+rq AS (SELECT conv_id, string_agg(value, ' ' ORDER BY role, first_at) AS query FROM v GROUP BY conv_id)
+SELECT conv_id, 0 AS template_idx, 'queryBuilder:solrsearch:solrsearch' AS creator, coalesce(query, '') AS query,
+  0.8::DOUBLE AS confidence, 'Suggested' AS state FROM (SELECT DISTINCT conv_id FROM latch) LEFT JOIN lq USING (conv_id)
+UNION ALL SELECT conv_id, 1, 'queryBuilder:conversationsearch:conversationsearch', coalesce(query, ''), 0.6::DOUBLE, 'Suggested'
+FROM (SELECT DISTINCT conv_id FROM rel) LEFT JOIN rq USING (conv_id)""")
 def reapply_tokens(spark, sf):
     msg, _, _, tokens = _tokens(spark, sf, WINDOW)
     edited = ad.stored(tokens.withColumn("state", F.when(F.col("confidence") < 0.3, "Rejected").otherwise("Confirmed")))
