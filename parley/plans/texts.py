@@ -132,6 +132,29 @@ def analyze_text_de(spark, sf):
     return st.analyze_text(pages, "html", "text_de", _STOPPED).drop("word")
 
 
+_DELIMITED_SQL = f"""w AS (SELECT page_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT page_id,
+  regexp_split_to_array({_STRIP_SQL}, '\\s+') AS ws FROM pages)),
+j AS (SELECT *, regexp_replace(word, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS joined FROM w WHERE word <> ''),
+x AS (SELECT page_id, pos, unnest(list_distinct(list_filter(list_concat([word], regexp_extract_all(word,
+  '\\p{{Lu}}+[\\p{{Ll}}\\p{{Lo}}\\p{{Lt}}\\p{{Lm}}]*|[\\p{{Ll}}\\p{{Lo}}\\p{{Lt}}\\p{{Lm}}]+|\\p{{N}}+'),
+  regexp_extract_all(joined, '\\p{{L}}+|\\p{{N}}+'), [joined]), lambda y: y <> ''))) AS var FROM j)"""
+
+
+@query(f"""WITH {_DELIMITED_SQL}, f AS (SELECT DISTINCT page_id, pos, {_FOLD_SQL.format(f"lower({_PUNCT_SQL.format('var')})")}
+  AS term FROM x) SELECT page_id, CAST(pos AS INTEGER) AS pos, term FROM f WHERE term <> ''""")
+def analyze_text_gen(spark, sf):
+    pages = ad.pages(spark, sf).select("page_id", "html")
+    return st.analyze_text(pages, "html", "text_gen").drop("word")
+
+
+@query(f"""WITH {_DELIMITED_SQL}, f AS (SELECT page_id, pos, {_FOLD_SQL.format('lower(var)')} AS term FROM x
+  WHERE lower(var) NOT IN ({_STOP_LIST}))
+SELECT page_id, CAST(pos AS INTEGER) AS pos, term FROM f WHERE term <> ''""")
+def analyze_text_general(spark, sf):
+    pages = ad.pages(spark, sf).select("page_id", "html")
+    return st.analyze_text(pages, "html", "text_general", _STOPPED).drop("word")
+
+
 @query()
 def analyze_text_en(spark, sf):
     docs = ad.documents(spark, sf).filter("lang = 'en'").select("doc_id", "text")
