@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from parley import adapters as ad
 from parley.adapters import CONV_SQL, EVM_SQL, LONG_SQL, MSG_SQL
 from parley.operators import filters as f
+from parley.operators.annotate import index_tokens
+from parley.plans.annotation import _tokens, _TOKENS_SQL
 from parley.plans.registry import query
 from parley.plans.sequences import HOURS6, LONG_GAP, _MERGED_SQL, _RUNS_SQL
 from parley.plans.tables import scratch
@@ -133,20 +135,23 @@ def chat_docs_sync(spark, sf):
     return sync.live_docs(writers.read_search_docs(spark, path)).select("client", "id", "data")
 
 
-@query(f"WITH {CONV_SQL}, {MSG_SQL} SELECT conv_id, modified + 2000 AS date, count(*) AS users, sum(length(content)) AS chars "
-       "FROM conv JOIN msg USING (conv_id) WHERE origin = 'User' GROUP BY conv_id, modified")
+@query(f"""{_TOKENS_SQL}, {CONV_SQL} SELECT conv_id, modified + 2000 AS date, count(*) AS tokens,
+  md5(string_agg(concat(type, ':', value), ' ' ORDER BY token_idx)) AS listed
+FROM indexed JOIN conv USING (conv_id) GROUP BY conv_id, modified""")
 def analysis_stream(spark, sf):
+    """The token list of every changed conversation, kept current: of three changes of each the last one's is left."""
     path = scratch(spark, "analyses")
     stream = _stream(spark, _conversation_changes(spark, sf).select(
         "conv_id", F.col("last_modified").alias("date")), "analysis-changes")
-    msg = ad.messages(spark, sf).filter("origin = 'User'")
+    _, _, _, tokens = _tokens(spark, sf)
 
     def analyse(keys):
-        return msg.join(keys, "conv_id").groupBy("conv_id", "date").agg(
-            F.count(F.lit(1)).alias("users"), F.sum(F.length("content")).alias("chars"))
+        listed = F.array_sort(F.collect_list(F.struct("token_idx", F.concat_ws(":", "type", "value").alias("t"))))
+        return index_tokens(tokens.join(keys, "conv_id")).groupBy("conv_id", "date").agg(
+            F.count(F.lit(1)).alias("tokens"), F.md5(F.array_join(F.transform(listed, lambda t: t["t"]), " ")).alias("listed"))
 
     _finish(spark, stream, sync.analysis_sink(spark, path, analyse))
-    return writers.read_search_docs(spark, path).select("conv_id", F.unix_millis("date").alias("date"), "users", "chars")
+    return writers.read_search_docs(spark, path).select("conv_id", F.unix_millis("date").alias("date"), "tokens", "listed")
 
 
 @query(f"WITH {EVM_SQL} SELECT conv_id, concat('m', idx) AS msg_id, CAST(votes + votes % 7 - 10 AS INTEGER) AS votes FROM msg")
