@@ -257,8 +257,9 @@ def _one_per_copy(tf: DataFrame, docs: DataFrame, scope: list[str], doc: str, ke
 
 def related(queries: DataFrame, tf: DataFrame, docs: DataFrame, stats: DataFrame, n_docs: Column,
             scope: Sequence[str], doc: str, rows: int = 3, exclude_self: bool = True, light_df: int = 10_000,
-            depth: int = 998) -> DataFrame:
-    """The ``rows`` best documents per query by the sum of boost * tf * idf, then votes, then id.
+            depth: int = 998, start: int = 0) -> DataFrame:
+    """The ``rows`` best documents per query, after the first ``start``, by the sum of boost * tf * idf, then votes,
+    then id.
 
     ``queries``: ``doc`` (the asking conversation), scope, term, boost (a handful of terms each).  ``tf``: doc, scope,
     term, tf.  ``docs``: doc, scope, votes.  ``stats``: scope, term, df.
@@ -269,7 +270,7 @@ def related(queries: DataFrame, tf: DataFrame, docs: DataFrame, stats: DataFrame
     result beats everything still unread in its lists is done; the others read on, eight times as deep.
     """
     scope = list(scope)
-    wanted = rows + (1 if exclude_self else 0)
+    wanted = start + rows + (1 if exclude_self else 0)
     signature = F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("term", "boost")))), 256)
     asked = queries.groupBy(*scope, doc).agg(signature.alias("_q"))
     distinct = (queries.join(asked, [*scope, doc]).groupBy(*scope, "_q", "term")
@@ -295,7 +296,8 @@ def related(queries: DataFrame, tf: DataFrame, docs: DataFrame, stats: DataFrame
     if exclude_self:
         result = result.filter(F.col("query_id") != F.col(doc))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("votes"), doc)
-    return result.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= rows)
+    ranked = result.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= start + rows)
+    return ranked.filter(F.col("rank") > start) if start else ranked
 
 
 def _read_lists(distinct, weighted, scope, doc, wanted, light_df, depth, score, top) -> DataFrame:

@@ -290,6 +290,13 @@ def related_conversations(spark, sf):
     return found.select("query_id", "conv_id", "score", "votes", "rank")
 
 
+@query(f"{_RELATED_SQL.replace('WHERE rank <= 3)', 'WHERE rank > 1 AND rank <= 4)')} SELECT query_id, conv_id, score, votes, "
+       "CAST(rank AS INTEGER) AS rank FROM related")
+def related_conversations_after_the_first(spark, sf):
+    _, found = _related(spark, sf, start=1)
+    return found.select("query_id", "conv_id", "score", "votes", "rank")
+
+
 @query(f"{_RELATED_SQL} SELECT query_id, conv_id, score, votes, CAST(rank AS INTEGER) AS rank FROM related")
 def related_conversations_by_lists(spark, sf):
     """The same result when almost every term counts as frequent and its list is read a few entries at a time."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the cluster names, a temporary one only on a local master."""
+    """Folder for checkpoints: the one the cluster names, a temporary one only on a local master.
+
+    The temporary folder goes when the program ends.  On a cluster results are read from the folder after a query has
+    returned, so it is the cluster's to clear (spark.cleaner.referenceTracking.cleanCheckpoints, or by age).
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -32,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.conf.get("parley.local.dir", None)
     if existing is None:
         existing = tempfile.mkdtemp(prefix="parley-")
+        atexit.register(shutil.rmtree, existing, ignore_errors=True)
         spark.conf.set("parley.local.dir", existing)
     return existing
 
