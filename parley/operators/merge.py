@@ -374,8 +374,12 @@ def upsert_clients(clients: DataFrame, new: DataFrame, settings: DataFrame, now:
     chosen = accepted.filter("default_client").agg(F.max_by("client", "seq").alias("chosen")).scalar()
     merged = merged.withColumn("default_client", F.when(chosen.isNotNull(), F.col("client") == chosen).otherwise(
         F.col("default_client")))
-    model = settings.join(merged.filter("default_client").select("client"), "client", "left_semi").agg(
-        F.max("config").alias("config")).scalar()
+    def settings_of(tenants: DataFrame) -> Column:
+        own = settings.join(tenants.filter("default_client").select("client"), "client", "left_semi")
+        return own.agg(F.max("config").alias("config")).scalar()
+
+    # a new default tenant may have no settings itself; those of the one before serve then
+    model = F.coalesce(settings_of(merged), settings_of(clients))
     added = merged.join(settings.select("client"), "client", "left_anti").select("client", model.alias("config"))
     return merged, settings.unionByName(added), rejected
 

@@ -369,7 +369,9 @@ SELECT 'clients' AS part, s.client, name, CASE WHEN top.client IS NULL THEN d EL
   FROM stored s, top
 UNION ALL SELECT 'clients', k.client, name, CASE WHEN top.client IS NULL THEN false ELSE k.client = top.client END
   FROM k, top WHERE reason IS NULL
-UNION ALL SELECT 'rejected', client, reason, NULL FROM k WHERE reason IS NOT NULL""")
+UNION ALL SELECT 'rejected', client, reason, NULL FROM k WHERE reason IS NOT NULL
+UNION ALL SELECT 'settings', client, concat('conf-', client), NULL FROM stored
+UNION ALL SELECT 'settings', client, 'conf-k0', NULL FROM k WHERE reason IS NULL""")
 def upsert_clients(spark, sf):
     region, nation = ad.table(spark, sf, "region"), ad.table(spark, sf, "nation")
     clients = region.select(F.concat(F.lit("k"), "r_regionkey").alias("client"), F.lower("r_name").alias("name"),
@@ -379,8 +381,9 @@ def upsert_clients(spark, sf):
     new = nation.select(F.concat(F.lit("n"), "n_nationkey").alias("client"), name.alias("name"),
                         F.expr("n_nationkey % 2 = 0").alias("default_client"), F.col("n_nationkey").alias("seq"))
     settings = clients.select("client", F.concat(F.lit("conf-"), "client").alias("config"))
-    merged, _, rejected = m.upsert_clients(clients, new, settings, _now())
-    return _tagged(clients=merged.select("client", "name", F.col("default_client").alias("flag")),
+    merged, configured, rejected = m.upsert_clients(clients, new, settings, _now())
+    return _tagged(settings=configured.select("client", F.col("config").alias("name"),
+                                              F.lit(None).cast("boolean").alias("flag")), clients=merged.select("client", "name", F.col("default_client").alias("flag")),
                    rejected=rejected.select("client", F.col("reason").alias("name"),
                                             F.lit(None).cast("boolean").alias("flag")))
 

@@ -332,6 +332,15 @@ def next_cursor(spark, sf):
     return f.next_cursor(batch, since).select(F.unix_millis("cursor").alias("cursor"))
 
 
+@query(f"{_CONV} SELECT max(modified) + 1 AS cursor FROM conv")
+def next_cursor_at_the_end(spark, sf):
+    """Nothing is newer than the last change, so the next batch begins a millisecond later."""
+    conv = ad.conversations(spark, sf)
+    since = conv.agg(F.max("last_modified").alias("since"))
+    last = f.updated_since(conv, since.scalar(), 25)
+    return f.next_cursor(last, since.scalar()).select(F.unix_millis("cursor").alias("cursor"))
+
+
 @query("SELECT count(*) AS docs, count(*) FILTER (n_chars % 10 <> 7) AS outdated FROM documents")
 def outdated_count(spark, sf):
     return f.outdated_count(ad.documents(spark, sf).select((F.col("n_chars") % 10).alias("version")))

@@ -177,6 +177,17 @@ def synonym_map(spark, sf):
     return st.synonym_map(terms, synonyms).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH t AS (SELECT doc_id, lower(unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'))) AS term FROM documents),
+m(term, repl) AS (VALUES ('und', 'and'), ('the', 'die'))
+SELECT doc_id, coalesce(repl, t.term) AS term, count(*) AS n FROM t LEFT JOIN m USING (term) WHERE t.term <> ''
+GROUP BY ALL""")
+def synonym_map_first(spark, sf):
+    """Without expansion a term has one replacement, the first in order."""
+    terms = st.analyze_text(ad.documents(spark, sf).select("doc_id", "text"), "text").select("doc_id", "term")
+    synonyms = spark.createDataFrame([("und", "et"), ("und", "and"), ("the", "die")], "term string, replacement string")
+    return st.synonym_map(terms, synonyms, expand=False).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH s AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1, ' ? ' UNION ALL SELECT -2, '  '),
 tok AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{Nd}}]'))
   AS ts, text FROM s)
