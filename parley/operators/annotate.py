@@ -542,6 +542,24 @@ def union_tokens(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def run_extractors(extractors: Sequence[Callable[[DataFrame, DataFrame], DataFrame]], msg: DataFrame, spans: DataFrame,
+                   problems: list[tuple[str, str]] | None = None) -> list[DataFrame]:
+    """Token tables of further stages (messages, spans) -> tokens, each run by itself.
+
+    With ``problems`` a stage that fails, when it is planned or when it runs, is noted there with its error and left
+    out; the others go on.
+    """
+    parts = []
+    for extract in extractors:
+        try:
+            parts.append(cut_lineage(extract(msg, spans).select(*TOKEN_COLUMNS)))
+        except Exception as error:  # noqa: BLE001 - whatever a stage of somebody else raises
+            if problems is None:
+                raise
+            problems.append((getattr(extract, "__name__", repr(extract)), str(error)))
+    return parts
+
+
 def keyword_terms(tf: DataFrame, corpora: Mapping[str, tuple[DataFrame, Column]], **limits) -> DataFrame:
     """Interesting terms of each conversation per corpus (name -> term statistics, size), with their ``source``."""
     out = None
@@ -555,12 +573,12 @@ def keyword_terms(tf: DataFrame, corpora: Mapping[str, tuple[DataFrame, Column]]
 def analyze(msg: DataFrame, spans: DataFrame, stop: DataFrame, vocabulary: DataFrame, lang: str = "de",
             terms: DataFrame | None = None, rulesets: Sequence[Mapping] = (),
             extractors: Sequence[Callable[[DataFrame, DataFrame], DataFrame]] = (),
-            filters: Sequence[Column] = ()) -> DataFrame:
+            filters: Sequence[Column] = (), problems: list[tuple[str, str]] | None = None) -> DataFrame:
     """All extraction and clean-up stages; the result is the token table of each conversation with ``token_idx``.
 
     ``msg`` are the messages of the analysis window, ``spans`` their span annotations, ``terms`` the interesting terms of
     each conversation (conv_id, term, source, prob).  ``extractors`` are further stages (messages, spans) -> tokens,
-    ``filters`` further conditions that drop a token.
+    see ``run_extractors``; ``filters`` are further conditions that drop a token.
     """
     by_users = msg.filter((F.col("origin") == "User") & ~skips() & ~is_blank(F.col("content"))).select(
         "conv_id", F.col("idx").alias("msg_idx"), F.col("content").alias("text"))
@@ -580,7 +598,7 @@ def analyze(msg: DataFrame, spans: DataFrame, stop: DataFrame, vocabulary: DataF
         sections = own.filter((F.col("kind") == "sentence") | ((F.col("kind") == "chunk") & (F.col("phrase") == "NP")))
         whole = by_users.select(*MESSAGE, F.length("text").alias("end"))
         parts.append(keyword_phrases(words, sections.select(*MESSAGE, "end").unionByName(whole), matched, by_users))
-    parts += [extract(msg, own) for extract in extractors]
+    parts += run_extractors(extractors, msg, own, problems)
     # every stage up to here reads the spans, every stage from here on the tokens: written once in between
     tokens = cut_lineage(union_tokens(*parts))
     tokens = apply_rulesets(tokens, by_users, rulesets, lang)

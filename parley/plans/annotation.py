@@ -158,6 +158,27 @@ def order_tokens(spark, sf):
     return a.index_tokens(tokens).select("conv_id", "token_idx", "message_idx", "start", "type", "value")
 
 
+@query(f"""{_WORDS_SQL} SELECT conv_id, msg_idx AS message_idx, start, "end", text AS value, problems FROM words,
+  (SELECT 2 AS problems) WHERE length(text) = 11""")
+def run_extractors(spark, sf):
+    """Three stages: one gives tokens, one fails when it is planned, one when it runs."""
+    def long_words(_, words):
+        return words.filter("length(text) = 11").select(
+            "conv_id", F.col("msg_idx").alias("message_idx"), "start", "end", F.col("text").alias("value"),
+            F.lit("Term").alias("type"), F.array().cast("array<string>").alias("hints"), F.lit(1.0).alias("confidence"))
+
+    def no_such_column(_, words):
+        return words.select("nothing")
+
+    def fails_on_rows(given, words):
+        return long_words(given, words).withColumn("value", F.raise_error(F.lit("no model")).cast("string"))
+
+    msg, problems = ad.messages(spark, sf), []
+    found = a.run_extractors([no_such_column, long_words, fails_on_rows], msg, _words(msg), problems)
+    return a.union_tokens(*found).select("conv_id", "message_idx", "start", "end", "value", F.lit(len(problems)).alias(
+        "problems"))
+
+
 @query(f"""{_TOKENS_SQL} SELECT conv_id, message_idx, start, value, CASE WHEN type <> 'Entity' THEN type
   WHEN regexp_matches(value, '^\\p{{Lu}}') THEN 'Person' WHEN confidence > 0.4 THEN 'Product' ELSE 'Unknown' END AS type
 FROM tokens""")
