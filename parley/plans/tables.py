@@ -8,7 +8,7 @@ from parley import adapters as ad
 from parley.adapters import CONV_SQL, MSG_SQL
 from parley.operators import search as s
 from parley.plans.registry import query
-from parley.plans.retrieval import _CORPUS_SQL
+from parley.plans.retrieval import _CORPUS_SQL, _IT_SQL
 from parley.session import shared_dir
 from parley.sources import readers, writers
 
@@ -139,3 +139,14 @@ def store_imported(spark, sf):
     count = F.count(F.lit(1)).alias("n")
     return stored_conv.groupBy("owner").agg(count).select(F.lit("c").alias("part"), "owner", "n").unionByName(
         stored_msg.groupBy("owner").agg(count).select(F.lit("m").alias("part"), "owner", "n"))
+
+
+@query(f"""WITH {_CORPUS_SQL}, {_IT_SQL.format(key='doc_id', tf='ctf', df='cdf', on='term', n=', cn')}
+SELECT doc_id, term, CAST(rank AS INTEGER) AS rank, weight FROM it WHERE rank <= 20""")
+def interesting_terms_of_a_stored_corpus(spark, sf):
+    """The texts are read once, when the corpus is stored."""
+    path = scratch(spark, "corpus")
+    writers.write_corpus(ad.documents(spark, sf), path, ["doc_id"], "text")
+    tf, stats, sizes = writers.read_corpus(spark, path)
+    best = s.interesting_terms(tf.drop("len"), stats, sizes.select("n").scalar(), ["doc_id"])
+    return best.select("doc_id", "term", "rank", "weight")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import MapType
 
 from parley.operators.filters import not_deleted
+from parley.operators.search import postings, term_stats
 from parley.scan import bucket_of, spread_join
 from parley.session import cut_lineage
 
@@ -102,6 +103,30 @@ def write_flat(flat: DataFrame, path: str) -> None:
         "ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
 
 
+def write_corpus(docs: DataFrame, path: str, keys: list[str], text: str, scope: tuple[str, ...] = (),
+                 buckets: int = BUCKETS) -> None:
+    """Store postings, document frequencies and sizes of a corpus, so that queries need not read its texts again.
+
+    The texts are read once; frequencies and sizes come from the stored postings and the documents' lengths.  Postings
+    are partitioned by a hash bucket of the term, a hot term's rows go to several files of its bucket.
+    """
+    spark = docs.sparkSession
+    every = [*keys, *scope]
+    found = postings(docs.select(*every, text), every, text).withColumn(
+        "bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    (found.repartition(F.col("bucket"), F.pmod(F.xxhash64(*keys), F.lit(4)))
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
+    stored = spark.read.parquet(f"{path}/postings")
+    term_stats(stored, scope).write.mode("overwrite").parquet(f"{path}/terms")
+    docs.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, document frequencies and sizes of a stored corpus."""
+    return (spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/terms"),
+            spark.read.parquet(f"{path}/sizes"))
+
+
 def read_if_there(spark: SparkSession, path: str, merge: bool = False) -> DataFrame | None:
     """A Parquet table, None before its first write."""
     try:
