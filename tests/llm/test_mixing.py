@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import mixing
 
-MIX = mixing.Mix(budget=0.4)
+MIX = mixing.Mix(budget=0.4, sweeps=3)
 
 
 def documents():
@@ -27,7 +27,7 @@ def frame(spark, rows):
 
 
 def test_marginals_meet_their_targets(spark):
-    rows = mixing.weighed(frame(spark, documents()), mixing.Mix(sweeps=30)).collect()
+    rows = mixing.weighed(frame(spark, documents()), mixing.Mix(sweeps=12)).collect()
     tokens = sum(r._tokens for r in rows)
     for name, power in (("source", 0.5), ("lang", 0.7), ("_topic", 0.5)):
         have, raw = defaultdict(float), defaultdict(float)
@@ -65,5 +65,5 @@ def test_sample_keeps_columns_and_is_fair(spark):
 
 
 def test_no_rows_and_no_tokens(spark):
-    assert mixing.sample(frame(spark, [])).count() == 0
-    assert mixing.report(frame(spark, [(1, None, "en", "s"), (2, "", "en", "s")])).count() == 2
+    assert mixing.sample(frame(spark, []), mixing.Mix(sweeps=1)).count() == 0
+    assert mixing.report(frame(spark, [(1, None, "en", "s"), (2, "", "en", "s")]), mixing.Mix(sweeps=1)).count() == 2
