@@ -121,7 +121,7 @@ SELECT DISTINCT conv_id, msg_idx AS message_idx, start, "end", label AS value FR
   OR NOT (regexp_matches(entry, '\\p{{Lu}}') AND NOT regexp_matches(entry, '[\\p{{Ll}}\\p{{Lo}}\\p{{Lt}}\\p{{Lm}}]'))""")
 def vocabulary_entities(spark, sf):
     words = _words(ad.messages(spark, sf))
-    found = a.vocabulary_entities(words, _vocabulary(spark, sf, words))
+    found = a.vocabulary_entities(words, ad.stored(_vocabulary(spark, sf, words)))
     return found.select("conv_id", "message_idx", "start", "end", "value")
 
 
