@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: word-shingle fingerprints joined to themselves through a binary trie."""
+"""Near-duplicates: SimHash fingerprints joined to themselves through a binary trie, and exact shingle similarity."""
 
 from __future__ import annotations
 
@@ -314,3 +314,170 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
                   differing_bits(similarity, BITS * witnesses))
     return _labelled(prints.select("key", "node"), nodes.select("node", "least"), found, "node", "key").select(
         F.col("key").alias(key), "component")
+
+
+def min_hashes(shingles: np.ndarray, count: int) -> np.ndarray:
+    """The least value of ``count`` hash functions over the shingles; two sets agree in each with a probability that is
+    their similarity.  The largest number without shingles."""
+    steps = mixed(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    factor, shift = steps[:count] | np.uint64(1), steps[count:]
+    least = np.full(count, np.uint64(2**64 - 1))
+    for k in range(0, len(shingles), 256):
+        np.minimum(least, (shingles[k:k + 256, None] * factor + shift).min(0), out=least)
+    return least
+
+
+def bucket_links(bucket: np.ndarray, group: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarray],
+                 every: bool, few: int = 32, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (by index) of rows of one bucket and different groups that are alike: ``every`` one, or as many as join
+    the same sets.
+
+    ``bucket`` is sorted.  A large bucket is walked: what a row reaches is not compared with anything but the rows
+    that nothing has reached yet, so a bucket of copies costs one comparison a row.
+    """
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(bucket)])
+    out = []
+    parent = np.arange(len(bucket))
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= few)]):  # all pairs of all small buckets at once
+        left, right = np.triu_indices(size, 1)
+        at = starts[sizes == size]
+        each = max(1, block // len(left))
+        for k in range(0, len(at), each):
+            a, b = ((at[k:k + each, None] + x).ravel() for x in (left, right))
+            ok = group[a] != group[b]
+            a, b = a[ok], b[ok]
+            ok = alike(a, b)
+            a, b = a[ok], b[ok]
+            out.extend([(a, b)] if every else unite(parent, a, b))
+    for at, size in zip(starts[sizes > few], sizes[sizes > few]):
+        rest = np.arange(at, at + size)
+        while every and len(rest) > 1:
+            own, rest = rest[0], rest[1:]
+            other = rest[group[rest] != group[own]]
+            found = other[alike(np.full(len(other), own), other)]
+            out.append((np.full(len(found), own), found))
+        reached: list[int] = []
+        while len(rest) and not every:
+            if not reached:
+                reached, rest = [int(rest[0])], rest[1:]
+            own = reached.pop()
+            same = group[rest] == group[own]
+            found = same.copy()
+            found[~same] = alike(np.full(int((~same).sum()), own), rest[~same])
+            far = rest[found & ~same]
+            out.append((np.full(len(far), own), far))
+            reached += rest[found].tolist()
+            rest = rest[~found]
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def band_links(nodes: DataFrame, bands: list[str], witness: list[str], limit: int, every: bool, tile: int) -> DataFrame:
+    """(u, v), u < v: pairs of nodes (node, group, bands, witnesses) of different groups that share a band and differ in
+    no more than ``limit`` bits of the witnesses; ``every`` one, or as many as join the same sets.
+
+    A band value of more than ``tile`` nodes is cut into tiles, and each pair of tiles is a task of its own.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(name).alias("value"))
+                               for k, name in enumerate(bands)])).alias("x")
+    rows = nodes.select("node", "group", *witness, each).select("node", "group", *witness, "x.*")
+    sizes = rows.groupBy("band", "value").count().filter(F.col("count") > tile).select(
+        "band", "value", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    cut = rows.join(F.broadcast(sizes), ["band", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn(
+        "with", F.explode(F.expr("sequence(0, tiles - 1)"))).select(
+        "band", "value", F.least("own", "with").alias("t0"), F.greatest("own", "with").alias("t1"), "node", "group",
+        *witness)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = partition_table(batches)
+        if rows is None:
+            return
+        get = {n: rows.column(n).to_numpy() for n in rows.schema.names}
+        order = np.lexsort((get["t1"], get["t0"], get["value"], get["band"]))
+        new = np.zeros(len(order), bool)
+        for name in ("band", "value", "t0", "t1"):
+            own = get[name][order]
+            new[1:] |= own[1:] != own[:-1]
+        more = [get[c].view(np.uint64)[order] for c in witness]
+        u, v = bucket_links(np.cumsum(new), get["group"][order], lambda a, b: sum(
+            (np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in more), np.zeros(len(a), np.int64)) <= limit, every)
+        if len(u):
+            u, v = get["node"][order][u], get["node"][order][v]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    return dealt.repartition("band", "value", "t0", "t1").mapInArrow(apply, "u long, v long").distinct()
+
+
+def shingle_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, bands: int = 25, rows: int = 5,
+                       witnesses: int = 8, text: str = "text", key: str = "doc_id", tile: int = 50_000) -> DataFrame:
+    """(key, component): documents whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or
+    more, and what they reach through others.
+
+    Candidates share one of ``bands`` bands of ``rows`` min-hashes, whatever the edit is: an appended or trimmed copy is
+    found like a scattered one (a pair at 0.8 is missed with a probability of 0.00005).  Candidates whose min-hashes
+    differ in a last bit too often for the similarity (by four standard deviations) are passed over.  The others are
+    compared exactly, by their whole shingle sets, in a join.  At first only as many pairs are compared as join the
+    same sets; where some are less similar, all further pairs of different sets are compared too.  Equal texts are
+    one node, texts without words are alike.  Nulls, repeated rows, rows without a key and empty tables are as in
+    ``near_duplicates``.
+    """
+    small_batches(docs.sparkSession)
+    names, marks = [f"b{k}" for k in range(bands)], [f"w{k}" for k in range(witnesses)]
+    count = max(bands * rows, BITS * witnesses)
+    share = BITS * witnesses * (1 - similarity) / 2
+    limit = int(share + 4 * (share * (1 + similarity) / 2) ** 0.5)
+
+    def shingles(body: bytes) -> np.ndarray:
+        return np.unique(shingle_hashes(body.lower().split(), words))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = np.array([min_hashes(shingles(b), count) for b in text_bytes(batch.column(1))], np.uint64)
+            least = least.reshape(batch.num_rows, count)
+            codes = [np.zeros(batch.num_rows, np.uint64) for _ in names]
+            for k in range(bands):
+                for value in least[:, k * rows:(k + 1) * rows].T:
+                    codes[k] = mixed(codes[k] * np.uint64(31) + value)
+            bits = np.packbits((mixed(least[:, :BITS * witnesses]) & np.uint64(1)).astype(bool), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(c.view(np.int64)) for c in codes],
+                 *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(witnesses)]], ["node", *names, *marks])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(b).view(np.int64) for b in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    body = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("node"))
+    texts = docs.select(F.xxhash64(body).alias("node"), body.alias("text"))
+    codes = ", ".join(f"{n} long" for n in (*names, *marks))
+    pool = stored(texts.mapInArrow(prints, f"node long, {codes}").dropDuplicates(["node"]), "prints")
+    pool, good, known, every = pool.withColumn("group", F.col("node")), None, None, False
+    while True:
+        pairs = stored(band_links(pool, names, marks, limit, every, tile), "pairs")
+        if known is None:  # rows without any candidate end here: links name every node that has one
+            ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+            known = stored(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(
+                sets, "node long, shingles array<long>"), "shingles")
+            pool = pool.join(ends, "node", "left_semi")
+        a = known.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+        b = known.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+        both = F.size(F.array_intersect("a", "b"))
+        either = F.size("a") + F.size("b") - both
+        tested = stored(pairs.join(b, "v").join(a, "u").select(
+            "u", "v", ((either == 0) | (both / either >= similarity)).alias("linked")), "tested")
+        yes, no = (tested.agg(F.count_if("linked"), F.count_if(~F.col("linked"))).first())
+        own = tested.filter("linked").select("u", "v")
+        good = own if good is None else good.unionByName(own)
+        if every or not no:
+            break
+        every = no <= yes or no > 4 * yes  # few sets are left, or joining them goes slowly
+        parts = connected_components(good)
+        pool = stored(pool.drop("group").join(parts, "node", "left").withColumn(
+            "group", F.coalesce("component", "node")).drop("component"), "pool")
+    nodes = keyed.groupBy("node").agg(F.min("key").alias("least"))
+    return _labelled(keyed, nodes, good, "node", "key").select(F.col("key").alias(key), "component")

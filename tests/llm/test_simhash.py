@@ -4,7 +4,8 @@ import numpy as np
 import xxhash
 
 from parley.llm.graph import connected_components
-from parley.llm.simhash import differing_bits, fingerprint, links, near_duplicates, similar_documents
+from parley.llm.simhash import (bucket_links, differing_bits, fingerprint, links, near_duplicates, shingle_duplicates,
+                                similar_documents)
 
 
 def plain_components(pairs, nodes):
@@ -148,3 +149,52 @@ def test_no_rows(spark):
     assert similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_shingle_duplicates_whole_rule(spark):
+    """All pairs at 0.8 or more are linked, appended and trimmed copies too, and none below."""
+    rng = random.Random(13)
+    texts = [None, "", " \n", "One", "one", "a b c", "a b c d e f", "x" * 50_000]
+    for _ in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(80, 400))]
+        texts.append(" ".join(base))
+        for part in (0.02, 0.1, 0.2, 0.24, 0.27, 0.4):
+            more = int(part * len(base))
+            texts.append(" ".join(base + [f"n{rng.randrange(10_000)}" for _ in range(more)]))
+            texts.append(" ".join(base[:len(base) - int(more / (1 + part))]))
+        for edits in (1, 3, 6, 12):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"n{rng.randrange(9)}"
+            texts.append(" ".join(copy))
+    frame = [f"f{k}" for k in range(60)]  # a page template: more rows than a small bucket, most of them not alike
+    texts += [" ".join(frame + [f"p{rng.randrange(10**6)}" for _ in range(rng.choice([3, 9, 14, 18]))]) for _ in range(90)]
+    rows = list(enumerate(texts)) + [(3, "One"), (None, "a b c")]
+    sets = []
+    for _, t in rows:
+        own = plain_words(t)
+        sets.append({tuple(own[i:i + 5]) for i in range(max(1, len(own) - 4))} if own else set())
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    group = plain_components(pairs, range(len(rows)))
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[group[i]] = min(k, least.get(group[i], k))
+    want = sorted((str(k), least.get(group[i])) for i, (k, _) in enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (50_000, 20):
+        got = shingle_duplicates(docs, tile=tile).collect()
+        assert sorted((str(r.doc_id), r.component) for r in got) == want
+    assert shingle_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bucket_of_copies_is_not_all_pairs():
+    asked = []
+
+    def alike(a, b):
+        asked.append(len(a))
+        return np.ones(len(a), bool)
+
+    u, v = bucket_links(np.zeros(3000, np.int64), np.arange(3000), alike, False)
+    assert len(u) == 2999 == sum(asked)
