@@ -51,7 +51,7 @@ ORACLE["op6_source_mix"] = mixing.sql()
 
 @query
 def op7_trie_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.held_out_scores(table(spark, sf_dir, "documents"), order=2)
+    return lmscore.held_out_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 @query
