@@ -55,12 +55,13 @@ def map_file(uri: str) -> pa.Buffer:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound what a Python worker holds at once: rows here may be long texts.
+    """Bound the rows and bytes that a Python worker holds at once: rows here may be long texts.
 
     Workers on this machine also get the place of this package; a cluster has it installed or in its --py-files.
     """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

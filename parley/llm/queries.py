@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import html, lmscore, mixing, quality, secrets, simhash, suffixes, tokenfile, vectors, wordbpe
+from parley.llm import html, lmscore, mixing, packing, quality, secrets, simhash, suffixes, tokenfile, vectors, wordbpe
 from parley.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,11 +14,11 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def vocabulary() -> str:
-    """Place of the public tokenizer file that the token queries use."""
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer file; most token queries use the first."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def query(function: Query) -> Query:
@@ -82,3 +82,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op11_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))

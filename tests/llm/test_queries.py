@@ -24,9 +24,11 @@ COLUMNS = {
     "op8_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9_simhash_components": "doc_id fingerprint component_id",
     "op10_adaptive_scan": "query_id rank vec_id score",
+    "op11_harmonic_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
 }
 LONG = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "n_removed", "n_spans", "n_tokens",
-        "n_chars", "start", "ids_crc32", "n_known", "train_tokens", "n_assign", "n_access", "n_hex", "query_id", "vec_id"}
+        "n_chars", "start", "ids_crc32", "n_known", "train_tokens", "n_assign", "n_access", "n_hex", "query_id", "vec_id",
+        "length", "doc_tokens", "sequence_id", "offset"}
 
 
 def test_all_are_registered():
@@ -43,6 +45,8 @@ def test_columns_and_rows(spark, name):
     if name == "op10_adaptive_scan":
         vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
         assert rows == 10 * vectors.filter("vec_id % 100 = 0").count()
+    elif name == "op11_harmonic_packing":
+        assert df.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     else:
         assert rows == spark.read.parquet(f"{SF}/{'pages' if 'page_id' in kinds else 'documents'}.parquet").count()
 
