@@ -55,36 +55,3 @@ def numbered(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[byt
     coded = column.dictionary_encode()
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
 
-
-class Memory:
-    """What a worker has found out about chunks: any number of arrays with values for each chunk, up to ``limit`` chunks.
-
-    ``learn`` gets new chunks and returns one (values, lengths) for each name, the values of a chunk side by side.
-    """
-
-    def __init__(self, names: tuple[str, ...], learn, limit: int = 400_000, limit_bytes: int = 96 << 20):
-        self.names, self.learn, self.limit, self.limit_bytes = names, learn, limit, limit_bytes
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.size = 0
-        self.values: dict[str, np.ndarray] = {}
-        self.starts: dict[str, np.ndarray] = {}
-        self.lengths: dict[str, np.ndarray] = {}
-
-    def look_up(self, chunks: list[bytes]) -> np.ndarray:
-        """The row of each chunk in ``starts`` and ``lengths``; rows hold until the next call."""
-        if len(self.known) > self.limit or self.size > self.limit_bytes:
-            self.forget()
-        new = [c for c in chunks if c not in self.known]
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            for name, (values, lengths) in zip(self.names, self.learn(new)):
-                before = self.values.get(name, values[:0])
-                start = np.cumsum(lengths) - lengths + len(before)
-                self.values[name] = np.concatenate([before, values])
-                self.starts[name] = np.concatenate([self.starts.get(name, start[:0]), start])
-                self.lengths[name] = np.concatenate([self.lengths.get(name, lengths[:0]), lengths])
-            self.size = sum(map(len, new)) + self.size + sum(v.nbytes for v in self.values.values()) // 8
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))

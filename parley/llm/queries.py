@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import html, lmscore, mixing, packing, quality, secrets, simhash, suffixes, tokenfile, vectors, wordbpe
+from parley.llm import crossalign, html, lmscore, mixing, packing, quality, secrets, simhash, suffixes, tokenfile, vectors, wordbpe
 from parley.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,9 @@ def op10_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op12_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossalign.aligned(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                              vocabulary("piece_bpe_32k.model"))

@@ -25,10 +25,11 @@ COLUMNS = {
     "op9_simhash_components": "doc_id fingerprint component_id",
     "op10_adaptive_scan": "query_id rank vec_id score",
     "op11_harmonic_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op12_cross_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
 }
 LONG = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "n_removed", "n_spans", "n_tokens",
         "n_chars", "start", "ids_crc32", "n_known", "train_tokens", "n_assign", "n_access", "n_hex", "query_id", "vec_id",
-        "length", "doc_tokens", "sequence_id", "offset"}
+        "length", "doc_tokens", "sequence_id", "offset", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"}
 
 
 def test_all_are_registered():
