@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parley.llm import crossalign, html, lmscore, mixing, packing, quality, secrets, simhash, suffixes, tokenfile, vectors, wordbpe
+from parley.llm import crossalign, html, lmscore, mixing, packing, quality, secrets, simhash, suffixes, tokenfile, vectorcodes, vectors, wordbpe
 from parley.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,11 @@ def op11_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossalign.aligned(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
                               vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.encode(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op13_vector_codes"] = vectorcodes.sql()

@@ -26,10 +26,11 @@ COLUMNS = {
     "op10_adaptive_scan": "query_id rank vec_id score",
     "op11_harmonic_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op12_cross_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13_vector_codes": "vec_id code error label_error codebooks_sha256",
 }
 LONG = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bytes", "n_removed", "n_spans", "n_tokens",
         "n_chars", "start", "ids_crc32", "n_known", "train_tokens", "n_assign", "n_access", "n_hex", "query_id", "vec_id",
-        "length", "doc_tokens", "sequence_id", "offset", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"}
+        "length", "doc_tokens", "sequence_id", "offset", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "error", "label_error"}
 
 
 def test_all_are_registered():
@@ -48,6 +49,8 @@ def test_columns_and_rows(spark, name):
         assert rows == 10 * vectors.filter("vec_id % 100 = 0").count()
     elif name == "op11_harmonic_packing":
         assert df.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    elif name == "op13_vector_codes":
+        assert rows == spark.read.parquet(f"{SF}/embeddings.parquet").count()
     else:
         assert rows == spark.read.parquet(f"{SF}/{'pages' if 'page_id' in kinds else 'documents'}.parquet").count()
 
