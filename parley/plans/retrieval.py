@@ -1,5 +1,7 @@
 """Search and similarity queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from parley import adapters as ad
@@ -7,11 +9,14 @@ from parley.adapters import CONV_SQL, MSG_SQL
 from parley.functions import stemming as st
 from parley.functions import text as tx
 from parley.operators import filters as f
+from parley.operators import indexed as ix
 from parley.operators import search as s
 from parley.operators import windows as w
 from parley.plans.registry import query
 from parley.plans.sequences import _RUNS_SQL, _START_SQL
 from parley.scan import bucket_of, spread_join
+from parley.session import shared_dir
+from parley.sources.index import Index, Shape, write_batch
 
 # Search texts per tenant; the tables they run over are the whole ones.
 SEARCHES = [("q1", "o0", "chkeit ung-erlich 42"), ("q2", "o1", "Étion le"), ("q3", "o2", "thtion that"),
@@ -65,14 +70,23 @@ def _searches(spark):
     return spark.createDataFrame(SEARCHES, "query_id string, owner string, text string")
 
 
+SHAPE = Shape(buckets=16)
+_INDEXES: dict[tuple[str, str], Index] = {}
+
+
+def _index(spark, sf):
+    """The index of merged messages; written once in a session, then searched by many queries."""
+    named = (spark.sparkContext.applicationId, sf)
+    if named not in _INDEXES:
+        path = f"{shared_dir(spark)}/messages-{uuid.uuid4().hex}"
+        write_batch(_docs(spark, sf).select("conv_id", "idx", "owner", "content", "message_idxs"), path, SHAPE)
+        _INDEXES[named] = Index(spark, path, SHAPE)
+    return _INDEXES[named]
+
+
 def _search(spark, sf):
-    # the documents are read several times, so they are written once; their terms are found in each row
-    docs = ad.stored(_docs(spark, sf).select("conv_id", "idx", "owner", "content", "message_idxs"))
-    docs = ad.spread(docs, "conv_id", "idx")
-    terms = s.postings(docs, ["conv_id", "idx", "owner"])
-    sized = docs.select(F.size(F.filter(F.split("content", r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("len"))
-    hits = s.search(terms, sized, _searches(spark), ["conv_id", "idx"], ["owner"])
-    return docs, hits
+    index = _index(spark, sf)
+    return index.docs(), ix.search(index, _searches(spark))
 
 
 @query(f"{_HITS_SQL} SELECT query_id, conv_id, idx, score FROM hits")
@@ -87,7 +101,7 @@ def search_messages(spark, sf):
 def search_messages_page(spark, sf):
     """The second page of five, with the number of all hits."""
     _, hits = _search(spark, sf)
-    page, found = s.paged_hits(ad.stored(hits), [F.desc("score"), F.col("conv_id"), F.col("idx")], 1, 5)
+    page, found = s.paged_hits(hits, [F.desc("score"), F.col("conv_id"), F.col("idx")], 1, 5)
     return page.join(found, "query_id").select("query_id", "conv_id", "idx", "rank", "num_found")
 
 
@@ -105,6 +119,13 @@ def group_hits(spark, sf):
     return s.group_hits(hits, per_group=3).select("query_id", "conv_id", "idx", "score", "group_rank", "num_found")
 
 
+@query(f"{_HITS_SQL}{_GROUPED_SQL} SELECT query_id, conv_id, idx, score, CAST(group_rank AS INTEGER) AS group_rank FROM few")
+def top_groups(spark, sf):
+    """The same groups without their total number: blocks of documents that cannot reach them are not scored."""
+    found = ix.top_groups(_index(spark, sf), _searches(spark), 10, 3)
+    return found.select("query_id", "conv_id", "idx", "score", "group_rank")
+
+
 @query(f"""{_HITS_SQL}{_GROUPED_SQL},
 hit_msgs AS (SELECT query_id, k.conv_id, group_rank, num_found, unnest(idxs) AS idx, score
   FROM few k JOIN docs d ON d.conv_id = k.conv_id AND d.idx = k.idx),
@@ -119,15 +140,12 @@ SELECT query_id, conv_id, group_rank, num_found, start, "end", score,
 FROM found_runs r""")
 def search_conversations(spark, sf):
     docs, hits = _search(spark, sf)
-    kept = s.group_hits(ad.stored(hits), per_group=3)
+    kept = s.group_hits(hits, per_group=3)
     hit_msgs = s.hits_to_messages(kept, docs).select("query_id", "conv_id", "group_rank", "num_found", "idx", "score")
-    runs = ad.stored(w.hit_runs(ad.stored(hit_msgs)))
-    around = w.with_neighbours(runs, ad.messages(spark, sf)).groupBy("query_id", "conv_id", "start").agg(
-        *[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("idx")))),
-                                   lambda i: i.cast("string")), ",").alias(side) for side in ("before", "after")])
-    joined = runs.join(around, ["query_id", "conv_id", "start"], "left")
-    return joined.select("query_id", "conv_id", "group_rank", "num_found", "start", "end", "score",
-                         *[F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("before", "after")])
+    found = w.runs_with_neighbours(w.hit_runs(hit_msgs), ad.messages(spark, sf))
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda i: i.cast("string")), ","))
+    return found.select("query_id", "conv_id", "group_rank", "num_found", "start", "end", "score",
+                        *[listed(c).alias(c) for c in ("before", "after")])
 
 
 @query(f"""WITH {_DOCS_SQL}, {_SEARCHES_SQL},
@@ -137,17 +155,14 @@ SELECT clause, term, CASE WHEN term = clause THEN 7 WHEN starts_with(term, claus
 FROM toks JOIN vocab ON contains(term, clause)
 WHERE regexp_matches(clause, '^[\\p{{L}}\\p{{Nd}}]+$') AND NOT regexp_matches(clause, '^\\p{{Nd}}+$')""")
 def wildcard_match(spark, sf):
-    docs = _docs(spark, sf).select("conv_id", "idx", "content")
-    vocabulary = s.doc_terms(docs).select("term").distinct()
     clauses = s.query_clauses(_searches(spark).select("text")).filter(~F.col("clause").rlike(r"^\p{Nd}+$"))
-    found = s.wildcard_match(vocabulary, clauses)
+    found = ix.wildcard_match(_index(spark, sf), clauses)
     return found.groupBy("clause", "term").agg(F.sum("boost").cast("int").alias("boost"))
 
 
 @query(f"WITH {_DOCS_SQL} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY term")
 def term_stats(spark, sf):
-    tf = s.postings(_docs(spark, sf), ["conv_id", "idx"])
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    return _index(spark, sf).frequencies().groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
 _CORPUS_SQL = """ct AS (SELECT doc_id, lower(unnest(list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'),

@@ -10,7 +10,7 @@ from parley.plans.annotation import _tokens, _TOKENS_SQL
 from parley.plans.registry import query
 from parley.plans.sequences import HOURS6, LONG_GAP, _MERGED_SQL, _RUNS_SQL
 from parley.plans.tables import scratch
-from parley.sources import readers, writers
+from parley.sources import index, readers
 from parley.streaming import sync
 
 
@@ -40,20 +40,35 @@ def sync_stream(spark, sf):
     path = scratch(spark, "index")
     stream = _stream(spark, _conversation_changes(spark, sf), "changes")
     _finish(spark, stream, sync.index_sink(spark, path, lambda updates: updates.drop("deleted")))
-    docs = sync.live_docs(writers.read_search_docs(spark, path))
+    docs = sync.live_docs(index.read_search_docs(spark, path))
     return docs.select("conv_id", "owner", "label", F.unix_millis("sync_date").alias("synced"))
 
 
+@query(f"""WITH {CONV_SQL}, w AS (SELECT owner, conv_id, unnest(list_distinct([lower(status), '2', owner])) AS term FROM conv
+  WHERE deleted IS NULL)
+SELECT owner, term, count(*) AS df FROM w GROUP BY owner, term""")
+def sync_stream_frequencies(spark, sf):
+    """Document frequencies kept by the stream: each of the three changes takes the one before it back."""
+    path, shape = scratch(spark, "index"), index.Shape(doc=("conv_id",), text="content", buckets=4)
+    changed = _conversation_changes(spark, sf).withColumn("content", F.concat_ws(" ", "label", "owner"))
+    _finish(spark, _stream(spark, changed, "changes"), sync.index_sink(
+        spark, path, lambda updates: updates.drop("deleted"), shape=shape))
+    return index.Index(spark, path, shape).frequencies().select("owner", "term", "df")
+
+
 @query(f"""WITH {CONV_SQL}, {MSG_SQL}, {_RUNS_SQL.format(now='t', limit=30000)}
 SELECT conv_id, -1 AS idx, 'conversation' AS type, (SELECT count(*) FROM msg m WHERE m.conv_id = conv.conv_id
   AND NOT private AND NOT skip) > 0 AS filled FROM conv WHERE deleted IS NULL
 UNION ALL SELECT r.conv_id, min(r.idx), 'message', true FROM runs r JOIN conv USING (conv_id) WHERE deleted IS NULL
   GROUP BY r.conv_id, run""")
 def rebuild_docs(spark, sf):
+    """The table of all conversations, deleted ones too, rebuilt: only the living ones are left."""
     path = scratch(spark, "rebuild")
-    assert sync.needs_rebuild(writers.read_search_docs(spark, path))
-    sync.rebuild_docs(ad.conversations(spark, sf), ad.messages(spark, sf), path)
-    docs = writers.read_search_docs(spark, path)
+    assert sync.needs_rebuild(index.read_search_docs(spark, path))
+    conv, msg = ad.conversations(spark, sf), ad.messages(spark, sf)
+    sync.rebuild_docs(conv.withColumn("deleted", F.lit(None).cast("timestamp")), msg, path)
+    sync.rebuild_docs(conv, msg, path)
+    docs = index.read_search_docs(spark, path)
     return docs.select("conv_id", "idx", "type", F.coalesce(F.col("content") != "", F.lit(False)).alias("filled"))
 
 
@@ -116,7 +131,7 @@ def latest_state(spark, sf):
     path = scratch(spark, "state")
     stream = _stream(spark, _conversation_changes(spark, sf), "versions")
     _finish(spark, stream, sync.index_sink(spark, path, lambda updates: updates.drop("deleted")))
-    return writers.read_search_docs(spark, path).select("conv_id", "label", "tombstone")
+    return index.read_search_docs(spark, path).select("conv_id", "label", "tombstone")
 
 
 @query("""SELECT lang AS client, concat(lang, '-', doc_id) AS id, CASE WHEN quality IS NOT NULL THEN concat('q', quality)
@@ -132,7 +147,7 @@ def chat_docs_sync(spark, sf):
     path = scratch(spark, "chat-index")
     _finish(spark, _stream(spark, changed, "chat-changes"), sync.index_sink(
         spark, path, lambda updates: updates.drop("deleted"), "id", "modified"))
-    return sync.live_docs(writers.read_search_docs(spark, path)).select("client", "id", "data")
+    return sync.live_docs(index.read_search_docs(spark, path)).select("client", "id", "data")
 
 
 @query(f"""{_TOKENS_SQL}, {CONV_SQL} SELECT conv_id, modified + 2000 AS date, count(*) AS tokens,
@@ -151,7 +166,7 @@ def analysis_stream(spark, sf):
             F.count(F.lit(1)).alias("tokens"), F.md5(F.array_join(F.transform(listed, lambda t: t["t"]), " ")).alias("listed"))
 
     _finish(spark, stream, sync.analysis_sink(spark, path, analyse))
-    return writers.read_search_docs(spark, path).select("conv_id", F.unix_millis("date").alias("date"), "tokens", "listed")
+    return index.read_search_docs(spark, path).select("conv_id", F.unix_millis("date").alias("date"), "tokens", "listed")
 
 
 @query(f"WITH {EVM_SQL} SELECT conv_id, concat('m', idx) AS msg_id, CAST(votes + votes % 7 - 10 AS INTEGER) AS votes FROM msg")

@@ -10,7 +10,7 @@ from parley.operators import search as s
 from parley.plans.registry import query
 from parley.plans.retrieval import _CORPUS_SQL, _IT_SQL
 from parley.session import shared_dir
-from parley.sources import readers, writers
+from parley.sources import index, readers, writers
 
 
 def scratch(spark, name):
@@ -116,11 +116,50 @@ def write_search_docs(spark, sf):
     """Write, replace a third of the conversations, delete a quarter, and read what is left."""
     path = scratch(spark, "docs")
     docs = ad.messages(spark, sf).select("conv_id", "idx", F.col("msg_id").alias("label"))
-    writers.write_search_docs(docs, path, buckets=8)
+    index.write_search_docs(docs, path, buckets=8)
     changed = docs.filter("conv_id % 3 = 1 and idx <= 2").withColumn("label", F.concat(F.lit("new "), "label"))
-    writers.write_search_docs(changed, path, buckets=8)
-    writers.delete_search_docs(spark, path, docs.filter("conv_id % 4 = 2").select("conv_id").distinct(), buckets=8)
-    return writers.read_search_docs(spark, path).drop("bucket")
+    index.write_search_docs(changed, path, buckets=8)
+    index.delete_search_docs(spark, path, docs.filter("conv_id % 4 = 2").select("conv_id").distinct(), buckets=8)
+    return index.read_search_docs(spark, path)
+
+
+# Of every third conversation the first three messages are left, with a word more; every fourth is gone.
+_CHANGED_SQL = f"""{MSG_SQL}, {CONV_SQL},
+now AS (SELECT conv_id, idx, owner, CASE WHEN conv_id % 3 = 1 THEN concat(content, ' again') ELSE content END AS content
+  FROM msg JOIN conv USING (conv_id) WHERE conv_id % 4 <> 2 AND NOT (conv_id % 3 = 1 AND idx > 2)),
+nw AS (SELECT *, list_filter(regexp_split_to_array(content, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM now),
+nt AS (SELECT conv_id, idx, owner, len(ws) AS len, lower(unnest(ws)) AS term FROM nw),
+ntf AS (SELECT conv_id, idx, owner, term, any_value(len) AS len, count(*) AS tf FROM nt GROUP BY conv_id, idx, owner, term)"""
+
+
+def _changed_index(spark, sf):
+    """An index after three batches: all messages, the changed conversations, the removed ones (these twice)."""
+    path, shape = scratch(spark, "deltas"), index.Shape(buckets=4)
+    conv = ad.conversations(spark, sf).select("conv_id", "owner")
+    docs = ad.stored(ad.messages(spark, sf).select("conv_id", "idx", "content").join(conv, "conv_id"))
+    index.write_batch(docs, path, shape)
+    index.write_batch(docs.filter("conv_id % 3 = 1 and idx <= 2").withColumn("content", F.concat(
+        "content", F.lit(" again"))), path, shape)
+    for _ in range(2):
+        index.write_batch(None, path, shape, docs.filter("conv_id % 4 = 2").select("conv_id"), spark)
+    return index.Index(spark, path, shape)
+
+
+@query(f"""WITH {_CHANGED_SQL} SELECT owner, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total, CAST(NULL AS BIGINT) AS words
+FROM ntf GROUP BY owner, term
+UNION ALL SELECT owner, NULL, count(*), NULL, CAST(sum(len(ws)) AS BIGINT) FROM nw GROUP BY owner""")
+def index_frequencies_after_changes(spark, sf):
+    """Document frequencies and sizes are sums of the signed changes of all batches."""
+    found = _changed_index(spark, sf)
+    none = F.lit(None).cast("bigint")
+    sizes = found.sizes().select("owner", F.lit(None).cast("string").alias("term"), F.col("n").alias("df"),
+                                 none.alias("total"), "words")
+    return found.frequencies().select("owner", "term", "df", "total", none.alias("words")).unionByName(sizes)
+
+
+@query(f"WITH {_CHANGED_SQL} SELECT conv_id, idx, owner, term, tf, len FROM ntf")
+def index_postings_after_changes(spark, sf):
+    return _changed_index(spark, sf).postings()
 
 
 @query(f"""WITH {CONV_SQL}, {MSG_SQL} SELECT 'c' AS part, owner, CAST(count(*) AS BIGINT) AS n FROM conv
@@ -146,7 +185,7 @@ SELECT doc_id, term, CAST(rank AS INTEGER) AS rank, weight FROM it WHERE rank <=
 def interesting_terms_of_a_stored_corpus(spark, sf):
     """The texts are read once, when the corpus is stored."""
     path = scratch(spark, "corpus")
-    writers.write_corpus(ad.documents(spark, sf), path, ["doc_id"], "text")
-    tf, stats, sizes = writers.read_corpus(spark, path)
-    best = s.interesting_terms(tf.drop("len"), stats, sizes.select("n").scalar(), ["doc_id"])
+    shape = writers.write_corpus(ad.documents(spark, sf), path, ["doc_id"], "text")
+    tf, stats, sizes = writers.read_corpus(spark, path, shape)
+    best = s.interesting_terms(tf.drop("len"), stats.drop("total"), sizes.select("n").scalar(), ["doc_id"])
     return best.select("doc_id", "term", "rank", "weight")

@@ -1,19 +1,14 @@
-"""Writers: exports and the search document table."""
+"""Writers: exports, imported conversations and stored corpora."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import MapType
 
 from parley.operators.filters import not_deleted
-from parley.operators.search import postings, term_stats
 from parley.scan import bucket_of, spread_join
 from parley.session import cut_lineage
+from parley.sources.index import BUCKETS, Index, Shape, read_if_there, write_batch
 
-BUCKETS = 64
 # The columns of the flat export.
 FLAT_COLUMNS = ["ID", "Status", "User", "Channel", "Domain", "Date", "Msg Idx", "Msg Id", "Sender", "Sent", "Content"]
 
@@ -104,42 +99,18 @@ def write_flat(flat: DataFrame, path: str) -> None:
 
 
 def write_corpus(docs: DataFrame, path: str, keys: list[str], text: str, scope: tuple[str, ...] = (),
-                 buckets: int = BUCKETS) -> None:
-    """Store postings, document frequencies and sizes of a corpus, so that queries need not read its texts again.
-
-    The texts are read once; frequencies and sizes come from the stored postings and the documents' lengths.  Postings
-    are partitioned by a hash bucket of the term, a hot term's rows go to several files of its bucket.
-    """
-    spark = docs.sparkSession
-    every = [*keys, *scope]
-    found = postings(docs.select(*every, text), every, text).withColumn(
-        "bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    (found.repartition(F.col("bucket"), F.pmod(F.xxhash64(*keys), F.lit(4)))
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings"))
-    stored = spark.read.parquet(f"{path}/postings")
-    term_stats(stored, scope).write.mode("overwrite").parquet(f"{path}/terms")
-    docs.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/sizes")
-
-
-def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings, document frequencies and sizes of a stored corpus."""
-    return (spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/terms"),
-            spark.read.parquet(f"{path}/sizes"))
-
-
-def read_if_there(spark: SparkSession, path: str, merge: bool = False) -> DataFrame | None:
-    """A Parquet table, None before its first write."""
-    try:
-        return spark.read.option("mergeSchema", merge).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+                 buckets: int = BUCKETS) -> Shape:
+    """Store a corpus as an index (postings, document frequencies, word pieces, sizes) in place of what is there, so that
+    queries need not read its texts again; returns its shape."""
+    shape = Shape(keys[0], tuple(keys), tuple(scope), text, buckets)
+    write_batch(docs.select(*dict.fromkeys([*keys, *scope, text])), path, shape, whole=True)
+    return shape
 
 
-# The search document table is a folder of versions.  A version holds the new documents of the keys it names, or only
-# the mark that a key is gone; the newest version that names a key has all its documents.  A version is written aside
-# and then moved to its place, so a table holds whole versions only, and writing the same changes again changes nothing.
+def read_corpus(spark: SparkSession, path: str, shape: Shape) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, document frequencies and sizes of a stored corpus."""
+    index = Index(spark, path, shape)
+    return index.postings(), index.frequencies(), index.sizes()
 
 
 def _folder(spark: SparkSession, path: str):
@@ -147,87 +118,6 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the versions, oldest first; a listing of one folder."""
-    system, place = _folder(spark, f"{path}/docs")
-    if not system.exists(place):
-        return []
-    names = [entry.getPath().getName() for entry in system.listStatus(place)]
-    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
-
-
-def _publish(spark: SparkSession, staged: str, path: str) -> None:
-    """Move a written version to the first free place."""
-    number = (_versions(spark, path) or [0])[-1] + 1
-    system, place = _folder(spark, f"{path}/docs/version={number}")
-    system.mkdirs(place.getParent())
-    if not system.rename(_folder(spark, staged)[1], place):
-        raise RuntimeError(f"version {number} of {path} could not be put in place")
-
-
-def _write_version(rows: DataFrame, path: str, key: str, buckets: int) -> None:
-    spark = rows.sparkSession
-    staged = f"{path}/staged-{uuid.uuid4().hex}"
-    named = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")))
-    spread = named.withColumn("bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)).cast("int"))
-    # the rows of one key may be very many, so they go to several tasks of their bucket
-    plain = [f.name for f in rows.schema.fields if not isinstance(f.dataType, MapType)]
-    (spread.repartition(F.col("bucket"), F.pmod(F.xxhash64(*plain), F.lit(8)))
-     .write.partitionBy("bucket").parquet(staged))
-    _publish(spark, staged, path)
-
-
-def _merged(spark: SparkSession, path: str) -> DataFrame | None:
-    """Live rows with their version, bucket and key."""
-    rows = read_if_there(spark, f"{path}/docs", merge=True)
-    if rows is None:
-        return None
-    newest = rows.groupBy("_key").agg(F.max("version").alias("_newest"))
-    return rows.join(newest, "_key").filter((F.col("version") == F.col("_newest")) & ~F.col("_gone")).drop("_newest")
-
-
-def read_search_docs(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored documents, None before the first write."""
-    rows = _merged(spark, path)
-    return None if rows is None else rows.drop("_key", "_gone", "version")
-
-
-def write_search_docs(docs: DataFrame, path: str, removed: DataFrame | None = None, key: str = "conv_id",
-                      buckets: int = BUCKETS) -> None:
-    """Replace all documents of the keys in ``docs``, drop those of ``removed``.
-
-    Only the changes are written, as a new version; ``compact_search_docs`` folds versions together.
-    """
-    rows = docs.drop("bucket").withColumn("_gone", F.lit(False))
-    if removed is not None:
-        marks = removed.select(key).distinct().join(docs.select(key).distinct(), key, "left_anti")
-        rows = rows.unionByName(marks.withColumn("_gone", F.lit(True)), allowMissingColumns=True)
-    _write_version(rows, path, key, buckets)
-
-
-def delete_search_docs(spark: SparkSession, path: str, removed: DataFrame, key: str = "conv_id",
-                       buckets: int = BUCKETS) -> None:
-    """Drop all documents of the given keys."""
-    if _versions(spark, path):
-        _write_version(removed.select(key).distinct().withColumn("_gone", F.lit(True)), path, key, buckets)
-
-
-def compact_search_docs(spark: SparkSession, path: str) -> None:
-    """Fold all versions into one.  Stopped at any point the table reads the same: the new version repeats what the old
-    ones say, and those go oldest first."""
-    old = _versions(spark, path)
-    rows = _merged(spark, path)
-    if rows is None or len(old) < 2:
-        return
-    staged = f"{path}/staged-{uuid.uuid4().hex}"
-    rows.drop("version").repartition(F.col("bucket"), F.pmod(F.xxhash64("_key"), F.lit(8))).write.partitionBy(
-        "bucket").parquet(staged)
-    _publish(spark, staged, path)
-    for number in old:
-        system, place = _folder(spark, f"{path}/docs/version={number}")
-        system.delete(place, True)
-
-
 def _drop_folders(spark: SparkSession, path: str, column: str, values: set) -> None:
     """Partitions left without a row are not touched by a dynamic overwrite."""
     for value in values:

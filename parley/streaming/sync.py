@@ -18,7 +18,8 @@ from parley.operators.filters import (
     INDEX_VERSION, conversation_docs, last_sync, message_docs, outdated_count, split_changes)
 from parley.operators.merge import adjust_votes, newest
 from parley.operators.windows import indexable_messages
-from parley.sources.writers import read_if_there, read_search_docs, write_search_docs
+from parley.session import cut_lineage
+from parley.sources.index import Index, Shape, read_if_there, write_batch
 
 SYNC_SECONDS, CHAT_SYNC_SECONDS, COMMIT_SECONDS, MIN_COMMIT_SECONDS = 15, 30, 10, 1
 EPOCH_FILES = 1000
@@ -47,47 +48,52 @@ def latest_state(batch: DataFrame, keys: list[str], order: str) -> DataFrame:
     return newest(batch, keys, order)
 
 
-def newer_than_stored(batch: DataFrame, stored: DataFrame | None, keys: list[str], order: str) -> DataFrame:
-    """Rows of the batch that are not older than what is stored for their key."""
-    if stored is None:
+def newer_than_stored(batch: DataFrame, index: Index, key: str, order: str) -> DataFrame:
+    """Rows of the batch that are not older than what is stored for their key; only the buckets of its keys are read."""
+    if not index.batches:
         return batch
-    known = stored.groupBy(*keys).agg(F.max(order).alias("_stored"))
-    joined = batch.join(known, keys, "left")
+    known = index.changes(batch.select(key)).groupBy(key).agg(F.max(order).alias("_stored"))
+    joined = batch.join(known, key, "left")
     return joined.filter(F.col("_stored").isNull() | (F.col(order) >= F.col("_stored"))).drop("_stored")
 
 
 def index_sink(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], key: str = "conv_id",
-               modified: str = "last_modified") -> BatchFunction:
-    """Batch function that keeps the document table at ``path`` current.
+               modified: str = "last_modified", shape: Shape | None = None) -> BatchFunction:
+    """Batch function that keeps the index at ``path`` current: its documents, and with a ``shape`` that names a text its
+    postings and frequencies too.
 
     A batch is reduced to the newest row per key.  Removals (``deleted`` set) stay as tombstones, so that an older change
-    arriving late cannot bring a removed entry back; a tombstone keeps the columns of the change that documents have too.
+    arriving late cannot bring a removed entry back; a tombstone keeps the columns of the change that documents have too,
+    but no text.
     """
+    shape = shape or Shape(key, text=None)
 
     def each(batch: DataFrame, _: int) -> None:
-        state = newer_than_stored(latest_state(batch, [key], modified), read_search_docs(spark, path), [key], modified)
+        state = cut_lineage(newer_than_stored(latest_state(batch, [key], modified), Index(spark, path, shape), key, modified))
         updates, removals = split_changes(state)
         docs = build(updates).withColumn("tombstone", F.lit(False))
-        marks = removals.select(*[c for c in removals.columns if c in docs.columns]).withColumn("tombstone", F.lit(True))
-        stamped = docs.unionByName(marks, allowMissingColumns=True).withColumn("sync_date", F.col(modified))
-        write_search_docs(stamped, path, state.select(key), key)
+        kept = [c for c in removals.columns if c in docs.columns and c != shape.text]
+        stamped = docs.unionByName(removals.select(*kept).withColumn("tombstone", F.lit(True)),
+                                   allowMissingColumns=True).withColumn("sync_date", F.col(modified))
+        # a changed conversation without documents takes its old ones away
+        write_batch(stamped, path, shape, state.select(key))
 
     return each
 
 
 def live_docs(docs: DataFrame) -> DataFrame:
-    return docs.filter(~F.col("tombstone")).drop("tombstone", "bucket")
+    return docs.filter(~F.col("tombstone")).drop("tombstone")
 
 
-def rebuild_docs(conv: DataFrame, msg: DataFrame, path: str) -> None:
-    """Write the whole document table again: conversation documents and message documents."""
+def rebuild_docs(conv: DataFrame, msg: DataFrame, path: str, shape: Shape = Shape(text=None)) -> None:
+    """Write the whole index again, in place of all that is there: conversation documents and message documents."""
     live = conv.filter(F.col("deleted").isNull())
     whole = conversation_docs(live, msg).select("conv_id", F.lit(-1).alias("idx"), "type", "version", "owner",
                                                 "completed", F.array_join("messages", "\n").alias("content"))
     single = message_docs(live, msg).select("conv_id", "idx", "type", "version", "owner", "completed",
                                             "content")
     docs = whole.unionByName(single).withColumn("sync_date", F.lit(None).cast("timestamp"))
-    write_search_docs(docs, path)
+    write_batch(docs, path, shape, whole=True)
 
 
 def needs_rebuild(docs: DataFrame | None, version: int = INDEX_VERSION) -> bool:
@@ -184,10 +190,11 @@ def analysis_sink(spark: SparkSession, path: str, analyse: Callable[[DataFrame],
                   ) -> BatchFunction:
     """Re-analyse the conversations changed in a batch, each once, and store the result (columns ``key``, ``date``)
     unless a newer analysis is stored already."""
+    shape = Shape(key, text=None)
 
     def each(batch: DataFrame, _: int) -> None:
         keys = batch.groupBy(key).agg(F.max("date").alias("date"))
-        fresh = newer_than_stored(keys, read_search_docs(spark, path), [key], "date")
-        write_search_docs(analyse(fresh), path, None, key)
+        fresh = newer_than_stored(keys, Index(spark, path, shape), key, "date")
+        write_batch(analyse(cut_lineage(fresh)), path, shape)
 
     return each

@@ -1,81 +1,154 @@
-"""The search document table: whole versions only, whatever is interrupted."""
+"""The search index: whole batches only, whatever is interrupted, and derived statistics that follow every change."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from parley import schema
+from parley.operators import indexed, search
 from parley.plans.tables import scratch
-from parley.sources import writers
+from parley.sources import index
 
 
 def rows(spark, path):
-    return sorted((r.conv_id, r.label) for r in writers.read_search_docs(spark, path).collect())
+    return sorted((r.conv_id, r.label) for r in index.read_search_docs(spark, path).collect())
 
 
 def table(spark, *pairs):
     return spark.createDataFrame(pairs, "conv_id long, label string")
 
 
-def test_replace_remove_compact(spark):
-    path = scratch(spark, "versions")
-    assert writers.read_search_docs(spark, path) is None
-    writers.write_search_docs(table(spark, (1, "a"), (1, "b"), (2, "c"), (3, "d")), path, buckets=4)
-    writers.write_search_docs(table(spark, (1, "new")), path, table(spark, (2, "x")).select("conv_id"), buckets=4)
-    assert rows(spark, path) == [(1, "new"), (3, "d")]
-    writers.write_search_docs(table(spark, (2, "back")), path, buckets=4)
-    writers.delete_search_docs(spark, path, table(spark, (3, "")).select("conv_id"), buckets=4)
-    want = [(1, "new"), (2, "back")]
-    assert rows(spark, path) == want
-    writers.compact_search_docs(spark, path)
-    assert rows(spark, path) == want and len(writers._versions(spark, path)) == 1
+def texts(spark, *given):
+    return spark.createDataFrame(given, "conv_id long, idx int, owner string, content string")
 
 
-def test_an_interrupted_write_shows_nothing_and_is_repeated(spark, monkeypatch):
-    path = scratch(spark, "versions")
-    writers.write_search_docs(table(spark, (1, "a"), (2, "b")), path)
-    before, publish = rows(spark, path), writers._publish
+SHAPE = index.Shape(buckets=4, blocks=8)
 
-    def stop(*_):
-        raise KeyboardInterrupt
 
-    monkeypatch.setattr(writers, "_publish", stop)  # all files are written, none is in place
-    with pytest.raises(KeyboardInterrupt):
-        writers.write_search_docs(table(spark, (1, "x"), (3, "y")), path)
-    assert rows(spark, path) == before
-    monkeypatch.setattr(writers, "_publish", publish)
-    for _ in range(2):  # the replayed batch may come twice
-        writers.write_search_docs(table(spark, (1, "x"), (3, "y")), path)
-        assert rows(spark, path) == [(1, "x"), (2, "b"), (3, "y")]
-
-
-def test_an_interrupted_compaction_reads_the_same(spark, monkeypatch):
-    path = scratch(spark, "versions")
-    writers.write_search_docs(table(spark, (1, "a"), (2, "b")), path)
-    writers.delete_search_docs(spark, path, table(spark, (2, "")).select("conv_id"))
-    writers.write_search_docs(table(spark, (3, "c")), path)
-    before, folder, left = rows(spark, path), writers._folder, []
-
-    class Stops:
-        def __init__(self, system):
-            self.system = system
-
-        def __getattr__(self, name):
-            return getattr(self.system, name)
-
-        def delete(self, place, deep):
-            if left:
-                raise KeyboardInterrupt
-            left.append(place)
-            return self.system.delete(place, deep)
-
-    monkeypatch.setattr(writers, "_folder", lambda s, p: (Stops(folder(s, p)[0]), folder(s, p)[1]))
-    with pytest.raises(KeyboardInterrupt):
-        writers.compact_search_docs(spark, path)
-    monkeypatch.setattr(writers, "_folder", folder)
-    assert rows(spark, path) == before == [(1, "a"), (3, "c")]
+def state(spark, path):
+    """All that readers can see of an index."""
+    own = index.Index(spark, path, SHAPE)
+    return tuple(sorted(map(tuple, df.collect())) for df in (
+        own.docs().select("conv_id", "idx", "owner", "content"), own.postings(), own.frequencies(), own.sizes(),
+        own.gram_terms(own.frequencies().select(F.explode(index.grams(F.col("term"), 2)).alias("gram")).distinct())))
 
 
-def test_a_change_of_one_key_writes_one_bucket(spark):
-    path = scratch(spark, "versions")
-    writers.write_search_docs(table(spark, *[(i, "x") for i in range(200)]), path)
-    writers.write_search_docs(table(spark, (7, "y")), path)
-    system, place = writers._folder(spark, f"{path}/docs/version=2")
-    assert len([f for f in system.listStatus(place) if f.getPath().getName().startswith("bucket=")]) == 1
+def test_replace_and_remove(spark):
+    path = scratch(spark, "docs")
+    assert index.read_search_docs(spark, path) is None
+    index.delete_search_docs(spark, path, table(spark, (1, "x")).select("conv_id"))
+    index.write_search_docs(table(spark, (1, "a"), (1, "b"), (2, "c"), (3, "d")), path, buckets=4)
+    index.write_search_docs(table(spark, (1, "new")), path, table(spark, (2, "x")).select("conv_id"), buckets=4)
+    assert rows(spark, path) == [(1, "new"), (3, "d")]
+    index.write_search_docs(table(spark, (2, "back"), (None, "nobody")), path, buckets=4)
+    index.delete_search_docs(spark, path, table(spark, (3, "")).select("conv_id"), buckets=4)
+    want = [(1, "new"), (2, "back")]
+    found = index.read_search_docs(spark, path)
+    assert sorted(map(tuple, found.filter("conv_id is not null").collect())) == want
+    assert [r.label for r in found.filter("conv_id is null").collect()] == ["nobody"]
+    index.write_search_docs(table(spark, (9, "z")), path, whole=True)
+    assert rows(spark, path) == [(9, "z")]
+
+
+def test_statistics_after_batches_equal_those_of_a_rebuild(spark):
+    path, again = scratch(spark, "index"), scratch(spark, "index")
+    index.write_batch(texts(spark, (1, 0, "o", "one two two"), (1, 3, "o", "three"), (2, 0, "p", "two four"),
+                            (3, 0, "o", None), (4, 0, "o", "gone soon")), path, SHAPE)
+    index.write_batch(texts(spark, (1, 0, "o", "one two five"), (5, 0, "p", "Two, two!")), path, SHAPE,
+                      texts(spark, (4, 0, "", "")).select("conv_id"))
+    for _ in range(2):  # a batch that comes twice changes nothing
+        index.write_batch(texts(spark, (2, 0, "q", "two four")), path, SHAPE)
+    live = texts(spark, (1, 0, "o", "one two five"), (2, 0, "q", "two four"), (3, 0, "o", None), (5, 0, "p", "Two, two!"))
+    index.write_batch(live, again, SHAPE, whole=True)
+    assert state(spark, path) == state(spark, again)
+    index.copied(index.Index(spark, path, SHAPE), again)
+    assert state(spark, path) == state(spark, again)
+    assert index.Index(spark, again, SHAPE).batches == [2]
+
+
+@pytest.mark.parametrize("table_name", ["postings", "sizes"])
+def test_an_interrupted_batch_shows_nothing_and_is_repeated(spark, monkeypatch, table_name):
+    path, put = scratch(spark, "index"), index._put
+    index.write_batch(texts(spark, (1, 0, "o", "one two"), (2, 0, "o", "two")), path, SHAPE)
+    before = state(spark, path)
+
+    def stop(rows, place, *rest):
+        if place.endswith(table_name):
+            raise KeyboardInterrupt
+        put(rows, place, *rest)
+
+    change = texts(spark, (1, 0, "o", "three two two"))
+    monkeypatch.setattr(index, "_put", stop)
+    with pytest.raises(KeyboardInterrupt):
+        index.write_batch(change, path, SHAPE)
+    assert state(spark, path) == before
+    monkeypatch.setattr(index, "_put", put)
+    index.write_batch(change, path, SHAPE)
+    assert state(spark, path)[2] == [("o", "three", 1, 1), ("o", "two", 2, 3)]
+
+
+def test_a_reader_keeps_its_batches(spark):
+    path = scratch(spark, "index")
+    index.write_batch(texts(spark, (1, 0, "o", "one")), path, SHAPE)
+    own = index.Index(spark, path, SHAPE)
+    index.write_batch(texts(spark, (1, 0, "o", "two")), path, SHAPE)
+    assert [r.term for r in own.postings().collect()] == ["one"]
+
+
+def searched(spark):
+    docs = [(c, i, f"o{c % 2}", f"alpha word{c * i % 17} beta{'b' * (i % 3)} {'gamma ' * (c % 5)}tail{c}") for c in range(60)
+            for i in range(4)]
+    queries = spark.createDataFrame([("q1", "o0", "gamma wor tail3"), ("q2", "o1", "beta alpha"), ("q3", "o1", "zz"),
+                                     ("q4", "o0", "al")], "query_id string, owner string, text string")
+    return texts(spark, *docs), queries
+
+
+def test_search_equals_search_over_texts(spark):
+    docs, queries = searched(spark)
+    path = scratch(spark, "index")
+    index.write_batch(docs.filter("conv_id < 50"), path, SHAPE)
+    index.write_batch(docs.filter("conv_id >= 45").withColumn("idx", F.col("idx")), path, SHAPE, docs.filter(
+        "conv_id = 7").select("conv_id"))
+    live = docs.filter("conv_id <> 7")
+    terms = search.postings(live, ["conv_id", "idx", "owner"])
+    want = search.search(terms, live.select(index.word_count("content").alias("len")), queries, ["conv_id", "idx"], ["owner"])
+    own = index.Index(spark, path, SHAPE)
+    columns = ["query_id", "owner", "conv_id", "idx", "score"]
+    assert sorted(map(tuple, indexed.search(own, queries).select(*columns).collect())) == sorted(
+        map(tuple, want.select(*columns).collect()))
+    grouped = search.group_hits(want, per_group=2, groups=5)
+    for blocks in (1, 100):
+        top = indexed.top_groups(own, queries, 5, 2, first_blocks=blocks)
+        kept = [*columns, "group_rank"]
+        assert sorted(map(tuple, top.select(*kept).collect())) == sorted(map(tuple, grouped.select(*kept).collect()))
+
+
+def test_only_the_buckets_asked_for_are_read(spark):
+    docs, queries = searched(spark)
+    path, shape = scratch(spark, "index"), index.Shape(buckets=16)
+    index.write_batch(docs, path, shape)
+    own = index.Index(spark, path, shape)
+    asked = spark.createDataFrame([("gamma",)], "term string")
+    assert own.buckets_of(asked) == [r.bucket for r in own.frequencies().filter("term = 'gamma'").select(
+        index.bucket("term", 16).alias("bucket")).distinct().collect()]
+    one = queries.filter("query_id = 'q1'").withColumn("text", F.lit("gamma"))
+    hits = indexed.search(own, one, wildcards=False)
+    read = [line for line in hits._jdf.queryExecution().toString().splitlines()
+            if "PartitionFilters" in line and "postings" in line]
+    assert read and all("bucket#" in line for line in read)
+    assert hits.count() > 0
+
+
+def test_rebuild_replaces_the_whole_table(spark, messages):
+    from parley.streaming import sync
+
+    path = scratch(spark, "rebuild")
+    msg = messages([(f"c{c}", i, {"content": f"text {c}"}) for c in range(8) for i in range(2)])
+    conv = spark.createDataFrame([(f"c{c}", "o", "New", None) for c in range(8)],
+                                 "conv_id string, owner string, status string, deleted timestamp")
+    full = conv.withColumns({
+        "user": F.lit(None).cast(schema.USER), "context": F.lit(None).cast(schema.CONTEXT),
+        "last_modified": F.current_timestamp(), "properties": F.expr("cast(map() as map<string, array<string>>)")})
+    sync.rebuild_docs(full, msg, path)
+    gone = full.withColumn("deleted", F.when(F.col("conv_id") >= "c4", F.current_timestamp()))
+    sync.rebuild_docs(gone, msg, path)
+    assert {r.conv_id for r in index.read_search_docs(spark, path).collect()} == {"c0", "c1", "c2", "c3"}
