@@ -21,7 +21,7 @@ from parley.operators.search import interesting_terms
 from parley.operators.windows import skips
 from parley.scan import bucket_of, ordinal, running_max_before
 from parley.schema import TOKEN_TYPES
-from parley.session import cut_lineage
+from parley.session import cut_lineage, written
 
 MESSAGE = ("conv_id", "msg_idx")
 NOUNS = ("NOUN", "PROPN", "NN", "NE")
@@ -53,26 +53,74 @@ def url_entities(msg: DataFrame) -> DataFrame:
                       F.inline(extract_urls(F.col("content"))))
 
 
+TRIE_DEPTH = 4
+
+
+def label_trie(entries: DataFrame) -> DataFrame:
+    """(parent, word, child, more, ends): the first words of all keys as edges of a trie, each once.
+
+    ``more``: keys go on below the child; ``ends``: a key ends there.  A node is a hash of the words that lead to it, the
+    root is 0.  ``entries``: ``_key``, words parted by spaces.
+    """
+    words = F.split("_key", " ")
+
+    def step(state: Column, word: Column) -> Column:
+        child = F.xxhash64(state["node"], word)
+        edge = F.struct(state["node"].alias("parent"), word.alias("word"), child.alias("child"))
+        return F.struct(child.alias("node"), F.concat(state["path"], F.array(edge)).alias("path"))
+
+    none = F.array().cast("array<struct<parent:bigint,word:string,child:bigint>>")
+    path = F.aggregate(F.slice(words, 1, TRIE_DEPTH), F.struct(F.lit(0).cast("bigint").alias("node"), none.alias("path")),
+                       step)["path"]
+    steps = entries.select(F.size(words).alias("_size"), F.posexplode(path).alias("_n", "_edge"))
+    return steps.groupBy("_edge.parent", "_edge.word", "_edge.child").agg(
+        F.max(F.col("_n") + 1 < F.col("_size")).alias("more"), F.max(F.col("_n") + 1 == F.col("_size")).alias("ends"))
+
+
+def _trie_node(key: str) -> Column:
+    """The deepest node that a key reaches."""
+    return F.aggregate(F.slice(F.split(key, " "), 1, TRIE_DEPTH), F.lit(0).cast("bigint"), lambda node, word: F.xxhash64(node, word))
+
+
 def vocabulary_entities(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Dictionary matches as Term tokens with the label of the entry as value.
 
-    ``vocabulary``: label, surface.  Surfaces written all upper case must match exactly, others without case.  Word
-    sequences are formed in the lengths that entries have, however long they are.
+    ``vocabulary``: label, surface.  Surfaces written all upper case must match exactly, others without case.  The first
+    words of all labels are a trie: a round takes the places that still match one word further, so a long label costs
+    nothing to words that do not begin it.  The rest of a label longer than the trie is compared where its beginning is.
     """
     entries = vocabulary.select("label", F.trim(F.regexp_replace("surface", r"[^\p{L}\p{N}]+", " ")).alias("_entry"))
     entries = entries.filter(F.col("_entry") != "").withColumn("_key", F.lower("_entry")).distinct()
-    lengths = sorted(r.n for r in entries.select(F.size(F.split("_entry", " ")).alias("n")).distinct().collect())
-    if not lengths:
-        lengths = [1]
-    joined = Window.partitionBy(*MESSAGE).orderBy("start").rowsBetween(0, lengths[-1] - 1)
-    ahead = F.collect_list(F.struct("text", "end")).over(joined)
-    shingles = words.select(*MESSAGE, "start", ahead.alias("_next")).select(
-        *MESSAGE, "start", F.explode(F.transform(
-            F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.size("_next")),
-            lambda n: F.struct(F.get(F.col("_next"), n - 1)["end"].alias("end"), F.array_join(F.transform(
-                F.slice(F.col("_next"), F.lit(1), n), lambda w: w["text"]), " ").alias("surface")))).alias("_s"))
-    shingles = shingles.select(*MESSAGE, "start", "_s.*").withColumn("_key", F.lower("surface"))
-    hits = lookup_join(shingles, entries, ["_key"])
+    entries = written(entries.withColumn("_words", F.size(F.split("_key", " "))), "labels")
+    depth = entries.agg(F.max("_words")).first()[0] or 0
+    edges = written(label_trie(entries), "trie")
+    numbered = written(words.select(*MESSAGE, "start", "end", "text", F.row_number().over(
+        Window.partitionBy(*MESSAGE).orderBy("start")).alias("_at"), F.lower("text").alias("word")), "words")
+    place = numbered.select(*MESSAGE, "start", "end", "_at", "word", F.col("text").alias("surface"),
+                            F.lit(0).cast("bigint").alias("parent"))
+    following = numbered.select(*MESSAGE, (F.col("_at") - 1).alias("_at"), F.col("end").alias("_end"), "text", "word")
+    reached = []
+    for _ in range(min(depth, TRIE_DEPTH)):
+        reached.append(written(lookup_join(place, edges, ["parent", "word"]).drop("parent", "word"), "places"))
+        place = reached[-1].filter("more").join(following, [*MESSAGE, "_at"]).select(
+            *MESSAGE, "start", F.col("_end").alias("end"), (F.col("_at") + 1).alias("_at"), "word",
+            F.concat_ws(" ", "surface", "text").alias("surface"), F.col("child").alias("parent"))
+    columns = [*MESSAGE, "start", "end", "surface", F.lower("surface").alias("_key")]
+    matched = place.limit(0).select(*columns)
+    for step in reached:
+        matched = matched.unionByName(step.filter("ends").select(*columns))
+    # nodes are hashes: the text itself decides
+    hits = lookup_join(matched, entries, ["_key"]).select(*MESSAGE, "start", "end", "surface", "label", "_entry")
+    if depth > TRIE_DEPTH:
+        longer = entries.filter(F.col("_words") > TRIE_DEPTH).withColumn("child", _trie_node("_key"))
+        begun = lookup_join(reached[-1].filter("more").select(*MESSAGE, "start", (F.col("_at") - TRIE_DEPTH + 1).alias("_at"),
+                                                              "child"), longer, ["child"])
+        whole = numbered.join(begun.select(*MESSAGE).distinct(), list(MESSAGE), "left_semi").groupBy(*MESSAGE).agg(
+            F.array_sort(F.collect_list(F.struct("_at", "text", "end"))).alias("_all"))
+        told = begun.join(whole, list(MESSAGE)).withColumn("_own", F.slice("_all", F.col("_at"), F.col("_words"))).withColumn(
+            "surface", F.array_join(F.transform("_own", lambda w: w["text"]), " "))
+        hits = hits.unionByName(told.filter(F.lower("surface") == F.col("_key")).select(
+            *MESSAGE, "start", F.element_at("_own", -1)["end"].alias("end"), "surface", "label", "_entry"))
     exact = ~is_all_upper(F.col("_entry")) | (F.col("_entry") == F.col("surface"))
     return hits.filter(exact).select(
         "conv_id", F.col("msg_idx").alias("message_idx"), "start", "end", F.col("label").alias("value"),
@@ -323,10 +371,7 @@ def index_tokens(tokens: DataFrame) -> DataFrame:
     return placed.withColumn("token_idx", F.col("_n") - 1).drop("_n", "_bucket")
 
 
-def by_confidence(df: DataFrame) -> DataFrame:
-    return df.orderBy(F.desc("confidence"), "conv_id", "token_idx")
-
-
+# Roles of the latch template.
 _LATCH_ROLES = {"Place": "location", "Date": "time", "Topic": "category", "Entity": "alphabet", "Other": "alphabet",
                 "Person": "alphabet", "Product": "alphabet", "Organization": "alphabet", "Keyword": "alphabet"}
 

@@ -19,6 +19,7 @@ from parley.scan import BUCKET_ROWS, before, bucket_of, carry, ordinal
 from parley.schema import STATUSES
 
 MESSAGE_CAP = 5000
+# Fixed value: what a client name may look like.
 CLIENT_NAME = r"^[a-z0-9-_\.:]+$"
 
 
@@ -84,15 +85,22 @@ def append_messages(conv: DataFrame, msg: DataFrame, new: DataFrame, now: Column
     return shifted.filter("idx >= 0").select(*msg.columns), rejected
 
 
-def update_message(msg: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Replace messages by id (``changes``: message columns without ``idx``); unmatched changes come back."""
-    stored = msg.select("conv_id", "msg_id", "idx").join(changes.select("conv_id", "msg_id"), ["conv_id", "msg_id"],
-                                                         "left_semi")
-    matched = changes.join(stored, ["conv_id", "msg_id"])
+def update_message(msg: DataFrame, changes: DataFrame, order: str | Column = "time") -> tuple[DataFrame, DataFrame]:
+    """Replace messages by id (``changes``: message columns without ``idx``).
+
+    Of several changes of one message the last by ``order`` counts, of equal ones the one with the largest hash.  Changes
+    of no stored message and those that a later one overtakes come back with a reason.
+    """
+    key = ["conv_id", "msg_id"]
+    place = Window.partitionBy(*key).orderBy(F.desc(order), F.desc(F.xxhash64("content", "time", "user_id", "votes")))
+    ranked = changes.withColumn("_place", F.row_number().over(place))
+    last = ranked.filter("_place = 1").drop("_place")
+    stored = msg.select(*key, "idx").join(last.select(*key), key, "left_semi")
+    matched = last.join(stored, key)
     kept = msg.join(stored.select("conv_id", "idx"), ["conv_id", "idx"], "left_anti")
-    unmatched = changes.join(stored, ["conv_id", "msg_id"], "left_anti").withColumn(
-        "reason", F.lit("no such message"))
-    return kept.unionByName(matched.select(*msg.columns)), unmatched
+    unmatched = last.join(stored.select(*key), key, "left_anti").withColumn("reason", F.lit("no such message"))
+    overtaken = ranked.filter("_place > 1").drop("_place").withColumn("reason", F.lit("a later change of the message"))
+    return kept.unionByName(matched.select(*msg.columns)), unmatched.unionByName(overtaken)
 
 
 def delete_message(msg: DataFrame, ids: DataFrame) -> DataFrame:

@@ -59,10 +59,15 @@ def append_messages_rejected(spark, sf):
 @query(f"""WITH {EVM_SQL}, {_NEW_SQL}
 SELECT 'stored' AS part, m.conv_id, m.msg_id, coalesce(n.content, m.content) AS content
   FROM msg m LEFT JOIN new n ON n.conv_id = m.conv_id AND n.msg_id = m.msg_id
-UNION ALL SELECT 'rejected', conv_id, msg_id, content FROM new WHERE seq % 5 <> 0""")
+UNION ALL SELECT 'rejected', conv_id, msg_id, content FROM new WHERE seq % 5 <> 0
+UNION ALL SELECT 'rejected', conv_id, msg_id, concat('first ', content) FROM new WHERE seq % 2 = 0""")
 def update_message(spark, sf):
+    """Half of the messages are changed twice; the later change counts."""
     msg = ad.stored(ad.event_messages(spark, sf))
-    stored, unmatched = m.update_message(msg, _new_messages(msg).drop("seq"))
+    new = _new_messages(msg)
+    twice = new.filter("seq % 2 = 0").withColumn("content", F.concat(F.lit("first "), "content")).withColumn(
+        "seq", F.col("seq") - 1_000_000_000)
+    stored, unmatched = m.update_message(msg, new.unionByName(twice), "seq")
     columns = ["conv_id", "msg_id", "content"]
     return _tagged(stored=stored.select(*columns), rejected=unmatched.select(*columns))
 

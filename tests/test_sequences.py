@@ -224,3 +224,14 @@ def test_append_generates_id_and_time(spark, messages):
     row = merged.first()
     assert len(row.msg_id) == 24 and row.time.year == 2024 and row.time.month == 5
     assert [r.conv_id for r in rejected.collect()] == ["d"]
+
+
+def test_two_changes_of_one_message(spark, messages):
+    stored = messages([("c", 0, {}), ("c", 1, {})])
+    changes = messages([("c", 0, {"content": "first", "at": 10}), ("c", 0, {"content": "second", "at": 20}),
+                        ("c", 7, {"content": "nobody"}), ("c", 1, {"content": "same", "at": 5}),
+                        ("c", 1, {"content": "same", "at": 5})]).drop("idx")
+    now, back = m.update_message(stored, changes)
+    assert sorted((r.idx, r.content) for r in now.collect()) == [(0, "second"), (1, "same")]
+    assert sorted((r.content, r.reason) for r in back.collect()) == [
+        ("first", "a later change of the message"), ("nobody", "no such message"), ("same", "a later change of the message")]
