@@ -54,12 +54,12 @@ def unpack(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
 
 def token_table(docs: DataFrame, path: str, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids): ids of every whole text and the end id, as little-endian 32-bit numbers in one binary value."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids, counts = bpe.encode(text_bytes(batch.column(1)))
+            ids, counts = bpe.encode_column(batch.column(1))
             ends = np.cumsum(counts)
             flat = np.insert(ids, ends, end_id).astype("<u2" if bpe.size <= 1 << 16 else "<u4")
             offsets = np.r_[0, ends + np.arange(1, len(ends) + 1)] * flat.itemsize

@@ -18,8 +18,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from parley.llm.common import ranges, small_batches, text_bytes
+from parley.llm.chunks import numbered
+from parley.llm.common import flat_bytes, ranges, small_batches
 
+#: The bytes that bytes.split() parts words at.
+ASCII_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 CACHE = 600_000  # distinct words a worker remembers before it starts afresh
 
 # White space as the tokenizer's pattern engine has it.
@@ -168,24 +171,37 @@ class WordBpe:
         self.starts = np.cumsum(self.lengths[0]) - self.lengths[0]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts (UTF-8) and the number of ids of each.
+        """Flat ids of all texts (UTF-8) and the number of ids of each."""
+        offsets = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)].astype(np.int64)
+        return self.encode_flat(np.frombuffer(b"".join(texts), np.uint8), offsets)
 
-        No piece spans ASCII white space and nothing composes across it, so words between it are encoded alone.
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for a column of texts; null counts as empty."""
+        return self.encode_flat(*flat_bytes(column))
+
+    def encode_flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts side by side in one array, with the n + 1 offsets between them.
+
+        No piece spans ASCII white space and nothing composes across it, so words between it are encoded alone.  Arrow
+        numbers the different words (each with the white space after it), and only these become Python objects.
         """
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            own = text.split()
-            counts[k] = len(own)
-            words += own
+        solid = ~ASCII_SPACE[data]
+        begin = solid.copy()
+        begin[1:] &= ~solid[:-1]
+        first = offsets[:-1][offsets[1:] > offsets[:-1]]
+        begin[first] = solid[first]
+        starts = np.flatnonzero(begin)
+        counts = np.diff(np.searchsorted(starts, offsets))
         if len(self.known) > CACHE:
             self._forget()
-        if not words:
+        if not len(starts):
             return np.zeros(0, np.int64), counts
-        new = list(set(words).difference(self.known))
+        place, found = numbered(data, starts)
+        words = [w.strip() for w in found]
+        new = list(dict.fromkeys(w for w in words if w not in self.known))
         if new:
             self._learn(new)
-        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[place]
         of_word = self.lengths[0][which]
         ends = np.r_[0, np.cumsum(of_word)][np.r_[0, np.cumsum(counts)]]
         return self.flat[0][ranges(self.starts[which], of_word)], np.diff(ends)
@@ -208,14 +224,14 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     Null and empty texts have no ids and decode to the empty text; columns of these names are replaced.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000)
     docs = docs.drop("ids", "n_tokens", "decoded")
     at = docs.columns.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids, counts = bpe.encode(text_bytes(batch.column(at)))
+            ids, counts = bpe.encode_column(batch.column(at))
             offsets = np.r_[0, np.cumsum(counts)]
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
             texts = [bpe.decode(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
@@ -233,12 +249,12 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     Null texts count as empty, and empty or blank ones have no ids and decode to the empty text.  Rows without a key
     and repeated rows come back like any other.  Columns besides key and text are not looked at.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids, counts = bpe.encode(text_bytes(batch.column(1)))
+            ids, counts = bpe.encode_column(batch.column(1))
             ends = np.cumsum(counts)
             own = [ids[e - n:e] for e, n in zip(ends, counts)]
             yield pa.RecordBatch.from_arrays([
