@@ -23,6 +23,9 @@ from parley.llm.common import flat_bytes, ranges, small_batches
 
 #: The bytes that bytes.split() parts words at.
 ASCII_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: A mark after a plain letter or digit begins a piece of its own, so words are numbered without the marks behind them.
+MARK, PLAIN = np.isin(np.arange(256), list(b".,;:!?")), np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"
+                                                                                    b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
 CACHE = 600_000  # distinct words a worker remembers before it starts afresh
 
 # White space as the tokenizer's pattern engine has it.
@@ -182,23 +185,24 @@ class WordBpe:
     def encode_flat(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same for texts side by side in one array, with the n + 1 offsets between them.
 
-        No piece spans ASCII white space and nothing composes across it, so words between it are encoded alone.  Arrow
-        numbers the different words (each with the white space after it), and only these become Python objects.
+        No piece spans ASCII white space or goes from a plain letter to a mark, and nothing composes across these places,
+        so what lies between them is encoded alone.  Arrow numbers the different ones, and only these become Python
+        objects.
         """
         solid = ~ASCII_SPACE[data]
         begin = solid.copy()
         begin[1:] &= ~solid[:-1]
         first = offsets[:-1][offsets[1:] > offsets[:-1]]
         begin[first] = solid[first]
+        begin[1:] |= MARK[data[1:]] & PLAIN[data[:-1]]
         starts = np.flatnonzero(begin)
         counts = np.diff(np.searchsorted(starts, offsets))
         if len(self.known) > CACHE:
             self._forget()
         if not len(starts):
             return np.zeros(0, np.int64), counts
-        place, found = numbered(data, starts)
-        words = [w.strip() for w in found]
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
+        place, words = numbered(data[solid], (np.cumsum(solid) - 1)[starts])
+        new = [w for w in words if w not in self.known]
         if new:
             self._learn(new)
         which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[place]
