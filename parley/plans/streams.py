@@ -11,7 +11,7 @@ from parley.plans.registry import query
 from parley.plans.sequences import HOURS6, LONG_GAP, _MERGED_SQL, _RUNS_SQL
 from parley.plans.tables import scratch
 from parley.sources import index, readers
-from parley.streaming import sync
+from parley.streaming import runs, sync
 
 
 def _stream(spark, df, name, files=4):
@@ -97,33 +97,46 @@ def on_change(spark, sf):
 @query(f"""WITH {EVM_SQL}, {_RUNS_SQL.format(now='us', limit=HOURS6 * 1000000)}
 SELECT conv_id, idx, content, message_ids, votes FROM ({_MERGED_SQL})""")
 def merge_consecutive_stream(spark, sf):
-    return _streamed_runs(spark, ad.event_messages(spark, sf), HOURS6)
+    return _streamed_runs(spark, ad.event_messages(spark, sf), HOURS6)[0]
 
 
 @query(f"""WITH {LONG_SQL}, {_RUNS_SQL.format(now='us', limit=LONG_GAP * 1000000)}
 SELECT conv_id, idx, content, message_ids, votes FROM ({_MERGED_SQL})""")
 def merge_consecutive_stream_long(spark, sf):
-    return _streamed_runs(spark, ad.long_messages(spark, sf), LONG_GAP)
+    """Two conversations hold all messages."""
+    return _streamed_runs(spark, ad.long_messages(spark, sf), LONG_GAP)[0]
 
 
-def _streamed_runs(spark, msg, gap_s):
-    # one late message of nobody moves the watermark beyond every run; its own run stays open
-    last = msg.agg(F.max("time").alias("time")).select(
+@query(f"""WITH {EVM_SQL} SELECT conv_id, idx, content, msg_id AS message_ids, CAST(votes AS BIGINT) AS votes FROM msg
+WHERE idx % 9 = 4 AND NOT private AND NOT skip""")
+def late_messages(spark, sf):
+    """Every ninth message comes after the watermark has passed all; they are a table of their own."""
+    return _streamed_runs(spark, ad.event_messages(spark, sf), HOURS6, "idx % 9 = 4")[1]
+
+
+def _streamed_runs(spark, msg, gap_s, held_back="false"):
+    """Runs and late messages of a stream that brings a week after the other, each in files of any order.
+
+    At last come messages of nobody that move the watermark beyond every run, and after it what was held back."""
+    msg = ad.stored(msg)
+    end = msg.agg(F.max("time").alias("time")).select(
         F.lit(-1).cast("bigint").alias("conv_id"), F.lit(0).alias("idx"), F.lit("end").alias("msg_id"),
         (F.col("time") + F.expr("interval 30 days")).alias("time"), F.lit("User").alias("origin"),
         F.lit("").alias("content"), F.lit(None).cast("string").alias("user_id"),
         F.lit(None).cast("string").alias("user_name"), F.lit(False).alias("private"), F.lit(0).alias("votes"),
         F.expr("cast(map() as map<string,string>)").alias("metadata"))
-    path, out = scratch(spark, "messages"), scratch(spark, "runs")
-    msg.withColumn("day", F.date_trunc("week", "time")).repartitionByRange(4, "day").sortWithinPartitions("day").drop(
-        "day").coalesce(1).write.parquet(path)
-    last.write.mode("append").parquet(path)
-    stream = sync.changes(spark, path, spark.read.parquet(path).schema, max_files=1)
-    runs = sync.merge_consecutive_stream(stream, gap_s)
-    (runs.writeStream.format("parquet").option("checkpointLocation", scratch(spark, "cursor"))
-     .trigger(availableNow=True).start(out).awaitTermination())
-    return spark.read.parquet(out).select("conv_id", "idx", "content", F.array_join("message_ids", ",").alias(
-        "message_ids"), "votes")
+    path, out, late = (scratch(spark, name) for name in ("messages", "runs", "late"))
+    week = F.date_trunc("week", "time")
+    for row in msg.select(week.alias("week")).distinct().orderBy("week").collect():
+        msg.filter(week == F.lit(row.week)).filter(f"not ({held_back})").repartition(2).write.mode("append").parquet(path)
+    for nobody in (-1, -2):  # two files are a batch
+        end.withColumn("conv_id", F.lit(nobody).cast("bigint")).write.mode("append").parquet(path)
+    msg.filter(held_back).repartition(2).write.mode("append").parquet(path)
+    stream = sync.changes(spark, path, msg.schema, max_files=2)
+    merged = runs.merge_consecutive_stream(stream, gap_s, "9 days")
+    _finish(spark, merged, runs.split_late(out, late))
+    return tuple(spark.read.schema(merged.drop("late").schema).parquet(place).select(
+        "conv_id", "idx", "content", F.array_join("message_ids", ",").alias("message_ids"), "votes") for place in (out, late))
 
 
 @query(f"WITH {CONV_SQL} SELECT conv_id, concat(status, '-2') AS label, deleted IS NOT NULL AS tombstone FROM conv")
