@@ -85,16 +85,16 @@ def fit(vectors: DataFrame, rows: int, dimension: int, sample_rows: int = 16_384
 
 
 def scan(query: np.ndarray, turned: np.ndarray, rows: np.ndarray, blocks: list[np.ndarray], bound: float, k: int,
-         significance: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that may be among the k nearest, and their exact distances.
+         candidates: np.ndarray, significance: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """Of the ``candidates`` (row numbers) those that may be among the k nearest, and their exact distances.
 
     ``blocks`` are the rotated rows in column blocks.  A candidate goes on if its partial distance, scaled to all
     dimensions, is within ``bound`` by a test of the given significance.
     """
     dimension = rows.shape[1]
     slack = 1e-9 * (1 + float(query @ query))
-    alive = np.arange(len(rows))
-    partial = np.zeros(len(rows))
+    alive = candidates
+    partial = np.zeros(len(alive))
     done = 0
     for block in blocks:
         width = block.shape[1]
@@ -127,9 +127,7 @@ def _scan_group(index: Index, k: int):
             blocks = [np.ascontiguousarray(spun[:, c:c + COLUMNS]) for c in range(0, index.dimension, COLUMNS)]
             turned = q @ index.rotation
             for i in range(len(q)):
-                at, exact = scan(q[i], turned[i], x, blocks, bound[i], k + 1)
-                other = of[at] != who[i]
-                at, exact = at[other], exact[other]
+                at, exact = scan(q[i], turned[i], x, blocks, bound[i], k, np.flatnonzero(of != who[i]))
                 best = np.lexsort((of[at], exact))[:k]
                 ids.append(of[at[best]])
                 near.append(exact[best])
@@ -193,18 +191,32 @@ def nearest(table: DataFrame, queries: Column, k: int = 10, key: str = "vec_id",
                 ["query_id", "vector", "bound", "list"])
 
     probes = asked.mapInArrow(probe, "query_id long, vector array<double>, bound double, list int")
-    per_query = asked.count() * index.probes / max(1, len(index.centroids))
     count = dealt.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    # Queries of a list are at most all queries; every list has as many query blocks as the largest could need.
-    q_blocks = max(1, int(np.ceil(per_query / block_queries)))
-    left = (dealt.join(F.broadcast(count), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-            .select("list", "block", "part", "vec_id", "vector"))
-    right = (probes.join(F.broadcast(count), "list").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-             .withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-             .select("list", "block", "part", "query_id", "vector", "bound"))
-    found = left.groupBy("list", "block", "part").cogroup(right.groupBy("list", "block", "part")).applyInArrow(
-        _scan_group(index, k), "query_id long, vec_id long, score double")
-    by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+
+    def scanned(probes: DataFrame, per_list: float) -> DataFrame:
+        # Queries of a list are at most all queries; every list has as many query blocks as the largest could need.
+        q_blocks = max(1, int(np.ceil(per_list / block_queries)))
+        left = (dealt.join(F.broadcast(count), "list")
+                .withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+                .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+                .select("list", "block", "part", "vec_id", "vector"))
+        right = (probes.join(F.broadcast(count), "list").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+                 .withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
+                 .select("list", "block", "part", "query_id", "vector", "bound"))
+        found = left.groupBy("list", "block", "part").cogroup(right.groupBy("list", "block", "part")).applyInArrow(
+            _scan_group(index, k), "query_id long, vec_id long, score double")
+        by_query = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select(
+            "query_id", "rank", "vec_id", "score")
+
+    asked_rows = asked.count()
+    found = stored(scanned(probes, asked_rows * index.probes / max(1, len(index.centroids))), "found")
+    # a query whose lists hold fewer than k candidates within its bound is asked again, of all lists and without a bound
+    full = found.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"))
+    short = stored(asked.join(full, "vec_id", "left_anti"), "short")
+    again = short.count()
+    if not again or sizes["count"] <= 1:
+        return found
+    lists = F.explode(F.sequence(F.lit(0), F.lit(len(index.centroids) - 1))).alias("list")
+    whole = short.select(F.col("vec_id").alias("query_id"), "vector", F.lit(1e150).alias("bound"), lists)
+    return found.join(short, found["query_id"] == short["vec_id"], "left_anti").unionByName(scanned(whole, again))

@@ -67,3 +67,14 @@ def test_recall(spark, sf):
         for v, s in got[q].items():
             assert np.isclose(s, far[ids == v][0], rtol=1e-12)
     assert hits / total >= 0.95
+
+
+def test_queries_whose_id_or_list_is_crowded(spark):
+    """An id on 15 near-equal rows, and lists that hold fewer rows than are asked for."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=4) + 40 * (i % 37))]) for i in range(0, 2000, 5)]
+    rows += [(100, [float(np.float32(x + 1e-3 * j)) for x in rows[20][1]]) for j in range(15)]
+    got = {}
+    for r in vectors.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, target=0.5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(range(0, 2000, 50)) and all(len(v) == 10 and q not in v for q, v in got.items())
