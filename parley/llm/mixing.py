@@ -8,11 +8,15 @@ no probability exceeds one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parley.llm.common import stored
+from parley.llm.common import small_batches, stored
 from parley.lookup import lookup_join
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -58,21 +62,102 @@ def _celled(docs: DataFrame, text: str) -> DataFrame:
                           topic_of(body, F.col("_tokens")).alias("_topic"))
 
 
-def rake(cells: DataFrame, mix: Mix) -> DataFrame:
+def rake(cells: DataFrame, mix: Mix, most_pairs: int = 1 << 16) -> DataFrame:
     """(_source, _lang, _topic, factor) of cells with ``tokens``: the marginals of tokens * factor have their targets.
 
-    Every step is one aggregation, combined before the shuffle, and one join of cells; nothing goes through the
-    driver.  Cells without tokens have factor one.
+    Sources may be very many, pairs of language and topic hardly are.  So a source is one row with the tokens of its
+    pairs, its own factor follows inside the row, and a sweep is one job that adds the sources up by pair; the factors of
+    languages and topics follow on the driver from these sums, one number a pair.  With more than ``most_pairs`` pairs
+    every step is an aggregation and a join of cells instead.  Cells without tokens have factor one.
     """
+    pairs = cells.select("_lang", "_topic").distinct().orderBy("_lang", "_topic").limit(most_pairs + 1).collect()
+    if len(pairs) > most_pairs:
+        return _rake_by_joins(cells, mix)
+    names = {name: sorted({r[f"_{name}"] for r in pairs}) for name in ("lang", "topic")}
+    of = {name: np.array([names[name].index(r[f"_{name}"]) for r in pairs], np.int64) for name in names}
+    spark = cells.sparkSession
+    numbers = spark.createDataFrame([(r._lang, r._topic, k) for k, r in enumerate(pairs)] or [("", "", 0)],
+                                    "_lang string, _topic string, pair int")
+    numbered = cells.join(F.broadcast(numbers), ["_lang", "_topic"])
+    by_source = stored(numbered.groupBy("_source").agg(
+        F.collect_list(F.struct("pair", F.col("tokens").cast("double").alias("tokens"))).alias("cells")).select(
+            "_source", F.col("cells.pair").alias("pairs"), F.col("cells.tokens").alias("tokens")), "sources")
+
+    def goals(sums: np.ndarray, power: float) -> np.ndarray:
+        shares = np.where(sums > 0, sums ** power, 0)
+        return shares / max(shares.sum(), 1e-300) * sums.sum()
+
+    def add_up(factor: np.ndarray, goal_of_power: float | None) -> np.ndarray:
+        """Sum over sources of tokens times the source's factor by pair."""
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(pairs))
+            for batch in batches:
+                pair, tokens, row = _flat_cells(batch)
+                scale = _source_factors(pair, tokens, row, batch.num_rows, factor, goal_of_power, mix.source)
+                total += np.bincount(pair, tokens * scale[row], len(pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs), dtype=np.int32)), pa.array(total)], ["pair", "n"])
+
+        found = np.zeros(len(pairs))
+        for r in by_source.mapInArrow(apply, "pair int, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+            found[r.pair] = r.n
+        return found
+
+    def by(name: str, values: np.ndarray) -> np.ndarray:
+        return np.bincount(of[name], values, len(names[name]))
+
+    whole = add_up(np.ones(len(pairs)), None)
+    goal = {name: goals(by(name, whole), getattr(mix, name)) for name in names}
+    own = F.aggregate("tokens", F.lit(0.0), lambda a, x: a + x)
+    powers = by_source.select(own.alias("t")).filter("t > 0").agg(F.sum(F.pow("t", F.lit(mix.source)))).first()[0]
+    unit = whole.sum() / powers if powers else 0.0
+    factor, before = {name: np.ones(len(names[name])) for name in names}, None
+    for _ in range(mix.sweeps):
+        before = factor["lang"][of["lang"]] * factor["topic"][of["topic"]]
+        sums = add_up(before, unit)
+        for name, other in (("lang", "topic"), ("topic", "lang")):
+            now = by(name, sums * factor[other][of[other]])
+            factor[name] = np.where(now > 0, goal[name] / np.where(now > 0, now, 1), factor[name])
+    before = np.ones(len(pairs)) if before is None else before
+    last = factor["lang"][of["lang"]] * factor["topic"][of["topic"]]
+
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, tokens, row = _flat_cells(batch)
+            scale = _source_factors(pair, tokens, row, batch.num_rows, before, unit if mix.sweeps else None, mix.source)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(pair.astype(np.int32)), pa.array(tokens.astype(np.int64)),
+                 pa.array(np.where(tokens > 0, scale[row] * last[pair], 1.0))], ["_source", "pair", "tokens", "factor"])
+
+    return by_source.mapInArrow(scaled, "_source string, pair int, tokens long, factor double").join(
+        F.broadcast(numbers), "pair").select("_source", "_lang", "_topic", "tokens", "factor")
+
+
+def _flat_cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pair, tokens and row of every cell of a batch of sources."""
+    pairs, tokens = batch.column(1), batch.column(2)
+    sizes = pc.list_value_length(pairs).to_numpy(zero_copy_only=False).astype(np.int64)
+    return (pairs.flatten().to_numpy().astype(np.int64), tokens.flatten().to_numpy().astype(np.float64),
+            np.repeat(np.arange(len(sizes)), sizes))
+
+
+def _source_factors(pair, tokens, row, rows: int, factor: np.ndarray, unit: float | None, power: float) -> np.ndarray:
+    """The factor that brings every source to its goal, its tokens to the power times ``unit``; ones without a unit."""
+    if unit is None:
+        return np.ones(rows)
+    own, now = np.bincount(row, tokens, rows), np.bincount(row, tokens * factor[pair], rows)
+    return np.where(now > 0, unit * np.where(own > 0, own, 1.0) ** power / np.where(now > 0, now, 1), 1.0)
+
+
+def _rake_by_joins(cells: DataFrame, mix: Mix) -> DataFrame:
+    """Every step is one aggregation, combined before the shuffle, and one join of cells."""
     now = cells.withColumn("w", F.col("tokens").cast("double"))
     total = cells.agg(F.sum("tokens").cast("double").alias("all"))
     targets = {}
     for name in DIMENSIONS:
         own = cells.groupBy(f"_{name}").agg(F.sum("tokens").cast("double").alias("t")).filter("t > 0").withColumn(
             "p", F.pow("t", F.lit(getattr(mix, name))))
-        whole = own.agg(F.sum("p").alias("ps")).crossJoin(F.broadcast(total))  # one row each
-        targets[name] = stored(own.join(F.broadcast(whole)).select(
-            f"_{name}", (F.col("p") / F.col("ps") * F.col("all")).alias("goal")), "goals")
+        targets[name] = stored(own.select(f"_{name}", (F.col("p") / own.agg(F.sum("p")).scalar() * total.scalar()).alias(
+            "goal")), "goals")
     for _ in range(mix.sweeps):
         for name in DIMENSIONS:
             scale = now.groupBy(f"_{name}").agg(F.sum("w").alias("sum")).join(targets[name], f"_{name}").select(
@@ -109,6 +194,7 @@ def weighed(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str =
     the chance of their cell.  The draw depends on the key alone, so repeated rows stay or go together; rows without
     a key share one draw.  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     rows = _celled(docs, text)
     cells = stored(rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")), "cells")
     found = stored(calibrate(rake(cells, mix), mix), "weights").select(

@@ -67,3 +67,15 @@ def test_sample_keeps_columns_and_is_fair(spark):
 def test_no_rows_and_no_tokens(spark):
     assert mixing.sample(frame(spark, []), mixing.Mix(sweeps=1)).count() == 0
     assert mixing.report(frame(spark, [(1, None, "en", "s"), (2, "", "en", "s")]), mixing.Mix(sweeps=1)).count() == 2
+
+
+def test_both_ways_of_raking_agree(spark):
+    cells = spark.createDataFrame([(f"s{i % 7}", f"l{i % 3}", f"t{i % 4}", 0 if i == 5 else 13 * i % 101 + 1) for i in range(50)]
+                                  + [("empty", "l0", "t0", 0), ("s1", "none", "t1", 0)],
+                                  "_source string, _lang string, _topic string, tokens long").groupBy(
+        "_source", "_lang", "_topic").agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "tokens")
+    one, other = (sorted(map(tuple, mixing.rake(cells, mixing.Mix(), most).collect())) for most in (1 << 16, 2))
+    assert [r[:4] for r in one] == [r[:4] for r in other]
+    for a, b in zip(one, other):
+        assert abs(a[4] - b[4]) < 1e-9 * max(1.0, b[4])
+    assert mixing.rake(cells.limit(0), mixing.Mix()).count() == 0
