@@ -26,7 +26,7 @@ ASCII_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 #: A mark after a plain letter or digit begins a piece of its own, so words are numbered without the marks behind them.
 MARK, PLAIN = np.isin(np.arange(256), list(b".,;:!?")), np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz"
                                                                                     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
-CACHE = 600_000  # distinct words a worker remembers before it starts afresh
+CACHE = 1_200_000  # distinct words a worker remembers before it starts afresh
 
 # White space as the tokenizer's pattern engine has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
