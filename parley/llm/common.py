@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
@@ -116,6 +117,21 @@ def partition_table(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(kept).combine_chunks() if kept else None
 
 
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that passes its rows' columns on: columns that begin with an underscore, as the operators' own do, bear
+    other names while it runs."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        cover = "shielded"
+        while any(c.startswith(cover) for c in docs.columns):
+            cover += "_"
+        names = {c: f"{cover}{k}" for k, c in enumerate(docs.columns) if c.startswith("_")}
+        return operator(docs.withColumnsRenamed(names), *args, **options).withColumnsRenamed({v: c for c, v in names.items()})
+
+    return run
+
+
 ROW = "_row"
 
 

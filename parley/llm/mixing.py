@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parley.llm.common import small_batches, stored
+from parley.llm.common import shielded, small_batches, stored
 from parley.lookup import lookup_join
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -246,6 +246,7 @@ def report(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         F.col("_sampled").alias("sampled"))
 
 
+@shielded
 def sample(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The drawn rows with the columns of ``docs``."""
     return weighed(docs, mix).filter("_sampled").select(*docs.columns)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from parley.llm.common import shielded
+
 SCOPE = 300
 
 # Kinds in the order of the report, their patterns (valid for Java and RE2), and the group that must
@@ -113,6 +115,7 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int
         F.coalesce(_joined(F.col("_all")), F.lit("")).alias("spans"))
 
 
+@shielded
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[secret]",
            scope: int = SCOPE) -> DataFrame:
     """``docs`` with every reported span of the text replaced by ``mark``; overlapping spans become one mark.
