@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from parley.functions.stemming import analyze_text
 from parley.functions.text import bind, escape_query, search_word_terms
 from parley.lookup import frequency_join, is_small
+from parley.scan import ordinal
 from parley.session import cut_lineage
 
 K1, B = 1.2, 0.75
@@ -338,9 +339,10 @@ def related_answers(questions: DataFrame, docs: DataFrame, limit: int | None = N
     later = docs.filter(F.exists("message_idxs", lambda i: i >= 1)).select(
         "conv_id", F.col("idx").alias("answer_idx"), F.col("time").alias("answer_time"),
         F.col("content").alias("answer"))
-    # the order within a conversation is the same for every question, so it is found before the join
-    order = Window.partitionBy("conv_id").orderBy("answer_time", "answer_idx")
-    later = later.withColumn("answer_rank", F.row_number().over(order))
+    # the order within a conversation is the same for every question, so it is found before the join, hour by hour
+    hour = F.coalesce(F.floor(F.unix_seconds("answer_time") / 3600).cast("long"), F.lit(-1 << 62))
+    later = ordinal(later.withColumn("_hour", hour), ["conv_id"], [F.col("answer_time"), F.col("answer_idx")], "_hour",
+                    "answer_rank").withColumn("answer_rank", F.col("answer_rank").cast("int")).drop("_hour")
     if limit is not None:
         later = later.filter(F.col("answer_rank") <= limit)
     return questions.join(later, "conv_id")

@@ -50,22 +50,23 @@ def store_imported(conv: DataFrame, msg: DataFrame, path: str, replace: bool = F
     before = read_if_there(spark, f"{path}/conversations")
     if before is not None:  # an id may have moved from another owner, whose partition is then written again too
         owners = owners.unionByName(before.join(ids, "conv_id", "left_semi").select("owner")).distinct()
-    touched = [r.owner for r in cut_lineage(owners).collect()]
+    touched = cut_lineage(owners)
     for name, df in (("conversations", conv), ("messages", owned)):
         stored = read_if_there(spark, f"{path}/{name}")
         if stored is not None and not replace:
-            kept = stored.filter(F.col("owner").isin(touched)).join(ids, "conv_id", "left_anti")
+            kept = stored.join(touched, "owner", "left_semi").join(ids, "conv_id", "left_anti")
             df = kept.select(*df.columns).unionByName(df)
         elif stored is not None:
             given = conv.select("owner").distinct()
-            kept = stored.filter(F.col("owner").isin(touched)).join(ids, "conv_id", "left_anti").join(
+            kept = stored.join(touched, "owner", "left_semi").join(ids, "conv_id", "left_anti").join(
                 given, "owner", "left_anti")
             df = kept.select(*df.columns).unionByName(df)
         df = cut_lineage(df)
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("owner").parquet(
             f"{path}/{name}")
-        emptied = set(touched) - {r.owner for r in df.select("owner").distinct().collect()} if stored is not None else set()
-        _drop_folders(spark, path + "/" + name, "owner", emptied)
+        if stored is not None:  # owners that have lost all they had, as a rule none
+            emptied = touched.join(df.select("owner").distinct(), "owner", "left_anti")
+            _drop_folders(spark, path + "/" + name, "owner", {r.owner for r in emptied.collect()})
 
 
 def conversations_to_flat(conv: DataFrame, msg: DataFrame, include_invalid: bool = False, include_open: bool = False
