@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from parley.functions.text import extract_urls, is_all_upper, is_blank
+from parley.functions.text import extract_urls, is_all_upper, is_blank, strip_code_blocks
 from parley.functions.values import (
     DEFAULT_ENTITY_CONFIDENCE, entity_hint, entity_type, fold_probability, sum_probability, topic_hierarchy)
 from parley.lookup import lookup_join
@@ -20,7 +20,7 @@ from parley.operators.filters import adjective_tokens
 from parley.operators.search import interesting_terms
 from parley.operators.windows import skips
 from parley.scan import bucket_of, ordinal, running_max_before
-from parley.schema import TOKEN_TYPES
+from parley.schema import TOKEN, TOKEN_TYPES
 from parley.session import cut_lineage, written
 
 MESSAGE = ("conv_id", "msg_idx")
@@ -618,33 +618,55 @@ def keyword_terms(tf: DataFrame, corpora: Mapping[str, tuple[DataFrame, Column]]
 def analyze(msg: DataFrame, spans: DataFrame, stop: DataFrame, vocabulary: DataFrame, lang: str = "de",
             terms: DataFrame | None = None, rulesets: Sequence[Mapping] = (),
             extractors: Sequence[Callable[[DataFrame, DataFrame], DataFrame]] = (),
-            filters: Sequence[Column] = (), problems: list[tuple[str, str]] | None = None) -> DataFrame:
+            filters: Sequence[Column] = (), problems: list[tuple[str, str]] | None = None,
+            processors: Sequence[Callable[[Column], Column]] = (strip_code_blocks,)) -> DataFrame:
     """All extraction and clean-up stages; the result is the token table of each conversation with ``token_idx``.
 
-    ``msg`` are the messages of the analysis window, ``spans`` their span annotations, ``terms`` the interesting terms of
+    ``msg`` are the messages of the analysis window; their content goes through the ``processors`` first, by default
+    without fenced code.  ``spans`` are the annotations of the processed texts, ``terms`` the interesting terms of
     each conversation (conv_id, term, source, prob).  ``extractors`` are further stages (messages, spans) -> tokens,
-    see ``run_extractors``; ``filters`` are further conditions that drop a token.
+    see ``run_extractors``; ``filters`` are further conditions that drop a token.  With ``problems`` every stage runs by
+    itself, the ones of this module too: one that fails is noted there and left out.
     """
+    for process in processors:
+        msg = msg.withColumn("content", process(F.col("content")))
     by_users = msg.filter((F.col("origin") == "User") & ~skips() & ~is_blank(F.col("content"))).select(
         "conv_id", F.col("idx").alias("msg_idx"), F.col("content").alias("text"))
     own = spans.join(by_users.select(*MESSAGE), list(MESSAGE), "left_semi")
     words, chunks = own.filter(F.col("kind") == "word"), own.filter(F.col("kind") == "chunk")
     shape = [*MESSAGE, "start", "end", "text", "ner_type", "ner_tag", "prob", "lemma"]
-    urls = url_entities(msg.filter(F.col("origin") == "User")).withColumn("prob", F.lit(None).cast("double")).withColumn(
-        "lemma", F.lit(None).cast("string"))
-    named = chunks.select(*shape).unionByName(urls.select(*shape)).unionByName(
-        adjective_locations(words, chunks, by_users).select(*shape)).unionByName(
-        append_location_type(words, chunks, by_users).select(*shape))
-    entities = entities_with_content_word(entity_tokens(named, by_users), words)
-    parts = [entities, adjective_tokens(words), vocabulary_entities(words, vocabulary)]
-    if terms is not None:
+
+    def entities(_msg: DataFrame, _spans: DataFrame) -> DataFrame:
+        urls = url_entities(msg.filter(F.col("origin") == "User")).withColumn("prob", F.lit(None).cast("double")).withColumn(
+            "lemma", F.lit(None).cast("string"))
+        named = chunks.select(*shape).unionByName(urls.select(*shape)).unionByName(
+            adjective_locations(words, chunks, by_users).select(*shape)).unionByName(
+            append_location_type(words, chunks, by_users).select(*shape))
+        return entities_with_content_word(entity_tokens(named, by_users), words)
+
+    def adjectives(_msg: DataFrame, _spans: DataFrame) -> DataFrame:
+        return adjective_tokens(words)
+
+    def labels(_msg: DataFrame, _spans: DataFrame) -> DataFrame:
+        return vocabulary_entities(words, vocabulary)
+
+    def phrases(_msg: DataFrame, _spans: DataFrame) -> DataFrame:
         matched = (match_terms_to_words(terms.withColumnRenamed("prob", "_prob"), words)
                    .select(*MESSAGE, "start", "source", F.col("_prob").alias("prob")).distinct())
         sections = own.filter((F.col("kind") == "sentence") | ((F.col("kind") == "chunk") & (F.col("phrase") == "NP")))
         whole = by_users.select(*MESSAGE, F.length("text").alias("end"))
-        parts.append(keyword_phrases(words, sections.select(*MESSAGE, "end").unionByName(whole), matched, by_users))
+        return keyword_phrases(words, sections.select(*MESSAGE, "end").unionByName(whole), matched, by_users)
+
+    stages = [entities, adjectives, labels, *([phrases] if terms is not None else [])]
+    if problems is None:
+        parts = [stage(msg, own) for stage in stages]
+    else:
+        parts = run_extractors(stages, msg, own, problems)
     parts += run_extractors(extractors, msg, own, problems)
     # every stage up to here reads the spans, every stage from here on the tokens: written once in between
+    if not parts:  # every stage has failed
+        parts = [by_users.limit(0).select("conv_id", F.col("msg_idx").alias("message_idx"), *[F.lit(None).cast(
+            TOKEN[c].dataType).alias(c) for c in TOKEN_COLUMNS[2:]])]
     tokens = cut_lineage(union_tokens(*parts))
     tokens = apply_rulesets(tokens, by_users, rulesets, lang)
     tokens = filter_tokens(remove_stopwords(tokens, stop, lang), filters)

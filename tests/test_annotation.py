@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import stemming as st
 from parley.functions import text as tx
+from parley.functions.text import strip_code_blocks
 from parley.operators import annotate as a
 from parley.operators import filters as f
 from parley.operators import queries as q
@@ -80,6 +81,31 @@ def test_agent_messages_give_no_tokens(spark, messages, spans):
     assert [(r.message_idx, r.value) for r in tokens.orderBy("token_idx").collect()] == [(0, "Ilmenau"), (2, "Darmstadt")]
 
 
+def test_fenced_code_gives_no_tokens_and_stages_fail_alone(spark, messages, spans):
+    text = "Look at this\n```\nget http://code.example.org/x\n```\nand http://text.example.org/y please"
+    msg = messages([("c", 0, {"content": text, "origin": "User"})])
+    stop = spark.createDataFrame([], "lang string, key string, variants array<string>")
+    vocabulary = spark.createDataFrame([("look", "Look")], "label string, surface string")
+    words = a.message_words(msg.withColumn("content", strip_code_blocks(F.col("content"))))
+    own = words.select("*", F.lit("word").alias("kind"), F.lit("NE").alias("pos"))
+    shaped = spans([]).unionByName(own, allowMissingColumns=True)
+
+    def broken(_msg, _spans):
+        raise ValueError("no model")
+
+    for problems in (None, []):
+        found = a.analyze(msg, shaped, stop, vocabulary, problems=problems).collect()
+        values = {r.value for r in found}
+        assert "look" in values and any("text.example.org" in v for v in values)
+        assert not any("code.example.org" in v for v in values) and not problems
+    problems = []
+    found = a.analyze(msg, shaped, stop, vocabulary.drop("surface"), problems=problems, extractors=[broken]).collect()
+    assert sorted(name for name, _ in problems) == ["broken", "labels"]
+    assert any("text.example.org" in r.value for r in found) and not any(r.value == "look" for r in found)
+    raw = a.analyze(msg, shaped, stop, vocabulary, processors=()).collect()
+    assert any("code.example.org" in r.value for r in raw)
+
+
 def test_location_append(spark, spans):
     text = "Der Zug von München Hbf ist da"
     table = spans(word_spans(0, text) + [chunk(0, text, "München", "location"),
