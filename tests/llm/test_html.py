@@ -27,6 +27,47 @@ def test_article_alone(page):
     assert main_text(page) == TEXT
 
 
+SENTENCE = "The council of the harbour town met and spoke for a long while about nets, boats and quotas that nobody wanted. "
+BODY = "".join(f"<p>{SENTENCE * (1 + i % 2)}</p>" for i in range(4))
+PLAIN = " ".join((SENTENCE * (1 + i % 2)).strip() for i in range(4))
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>entry {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize("page, text", [
+    # Ends that a page may leave out.
+    (f"<html><head><title>T</title><meta name=x>{BODY}", PLAIN),
+    (f"<head><title>T</title>{PLAIN}", PLAIN),
+    (f"<body><p class=ad>Buy{BODY}", PLAIN),
+    (f"<ul><li class=share>Share<li>{PLAIN}</ul>", PLAIN),
+    (f"<dl><dt class=ad>Buy<dd>{PLAIN}</dl>", PLAIN),
+    (f"<table><tr><td class=sidebar>{LINKS}<td>{BODY}</table>", PLAIN),
+    (f"<nav>{LINKS}<main>{BODY}</main>", PLAIN),
+    (f"<article><b><p>{PLAIN}</b> more</p></article>", PLAIN + " more"),
+    # Forms and class words.
+    (f"<body><form action=x><input name=q>{BODY}<label>Name</label><select><option>a<option>b</select></form>", PLAIN),
+    (f"<body><form><div class='ad'>Buy this</div>{BODY}</form>", PLAIN),
+    (f"<body><h1>Short</h1><div class='legal-analysis'>{BODY}</div>", PLAIN),
+    (f"<body><div class='notice'>{BODY}</div>", PLAIN),
+    (f"<body><div>{BODY}</div><div class='legal-notes'><p>Short words.</p></div>", PLAIN),
+    (f"<body><div>{BODY}</div><div id=comments>{BODY * 3}</div>", PLAIN),
+    (f"<div class=comments>{BODY}</div>", ""),
+    ("<div class=cookie-notice>We use cookies.</div>", ""),
+    # Text beside an article, and pages without one.
+    (f"<article><p>A teaser.</p></article><div>{BODY}<p>End.</p></div>", f"A teaser. {PLAIN} End."),
+    (f"<p>Made in 2020.</p><article>{BODY}</article><p>All rights reserved.</p>", PLAIN),
+    (f"<body>{LINKS}<div>{BODY}<p>End.</p></div>{LINKS}", PLAIN + " End."),
+    # Links and formulas of an article.
+    (f"<article>{BODY}<p>See: <a href=x>The whole report of the council</a></p></article>",
+     PLAIN + " See: The whole report of the council"),
+    (f"<article>{BODY}<ul><li><a>Source one</a><li><a>Source two</a><li><a>Source three</a></ul></article>",
+     PLAIN + " Source one Source two Source three"),
+    (f"<article>{BODY}<div>{LINKS}</div></article>", PLAIN),
+    (f"<article>{BODY}<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", PLAIN + " So x=1 holds."),
+])
+def test_pages_without_the_usual_marks(page, text):
+    assert main_text(page) == text
+
+
 def test_odd_pages():
     assert main_text("") == "" and main_text("<nav>menu</nav>") == "" and main_text("just words") == "just words"
     assert main_text("<p>a < b &lt;i&gt; &#233;&#x4f60; &bogus; <") == "a < b <i> é你 &bogus; <"
