@@ -217,3 +217,35 @@ def highlight(text: Column, terms: Column, opening: str = "<em>", closing: str =
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])("), F.array_join(escaped, "|"), F.lit(r")(?![\p{L}\p{N}])"))
     return F.when(F.size(terms) > 0, F.regexp_replace(
         text, pattern, F.lit(f"{opening}$1{closing}"))).otherwise(text)
+
+
+def words(text: Column) -> Column:
+    """Runs of letters and digits, in order; none of a null text."""
+    return F.coalesce(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def shortest_window(tokens: Column, terms: Column) -> Column:
+    """Struct (first, last): positions from 0 of the shortest run of ``tokens`` that holds every one of ``terms`` which
+    occurs at all; of equally short runs the first.  Null where no term occurs.
+
+    One pass over the places of the terms: each term's last place is kept, and the least of them begins the run.
+    """
+    def walk(own: Column, asked: Column) -> Column:
+        places = F.filter(F.transform(own, lambda t, i: F.struct(
+            i.alias("at"), F.array_position(asked, t).cast("int").alias("of"))), lambda p: p["of"] > 0)
+        none = F.lit(None).cast("int")
+        start = F.struct(F.transform(asked, lambda _: F.lit(-1)).alias("seen"), none.alias("first"), none.alias("last"))
+
+        def step(state: Column, place: Column) -> Column:
+            seen = F.transform(state["seen"], lambda x, i: F.when(i + 1 == place["of"], place["at"]).otherwise(x))
+            low = F.array_min(seen)
+            better = (low >= 0) & (state["last"].isNull() | (place["at"] - low < state["last"] - state["first"]))
+            return F.struct(seen.alias("seen"), F.when(better, low).otherwise(state["first"]).alias("first"),
+                            F.when(better, place["at"]).otherwise(state["last"]).alias("last"))
+
+        best = F.aggregate(places, start, step, lambda state: F.struct(state["first"].alias("first"), state["last"].alias("last")))
+        return F.transform(F.array(best), lambda b: F.when(b["last"].isNotNull(), b))[0]
+
+    # The terms that occur are found once, not for every token.
+    asked = F.array_intersect(terms, tokens)
+    return F.transform(F.array(F.struct(tokens.alias("own"), asked.alias("asked"))), lambda x: walk(x["own"], x["asked"]))[0]

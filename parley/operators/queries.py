@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parley.functions.text import highlight
+from parley.functions.text import highlight, shortest_window, words
 from parley.functions.values import TITLE_BOOST, phrase_query
 from parley.lookup import lookup_join
 from parley.operators import search as s
@@ -186,3 +186,21 @@ def search_chat_docs(docs: DataFrame, queries: DataFrame, text: str = "text") ->
             .withColumn("highlight", highlight(F.col("text"), F.col("_words"))).drop("_words", "text"))
 
 
+def passages(hits: DataFrame, docs: DataFrame, queries: DataFrame, keys: Sequence[str] = ("client", "id"),
+             text: str = "text") -> DataFrame:
+    """``hits`` with the passage of their document that shows best why they match.
+
+    The passage is the shortest run of words with every word of the query that the document has: ``first_word``,
+    ``last_word`` (positions from 0) and ``passage``, its words with one space between and the query's words marked.  All
+    three are null where only parts of words match.  Whole texts are read, each in its own row.
+    """
+    asked = s.query_clauses(queries).filter("mode = 'exact'").groupBy("query_id").agg(
+        F.array_sort(F.collect_set("clause")).alias("_asked"))
+    found = hits.join(asked, "query_id", "left").join(docs.select(*keys, words(F.col(text)).alias("_words")), list(keys))
+    none = F.array().cast("array<string>")
+    found = found.withColumn("_asked", F.coalesce("_asked", none)).withColumn(
+        "_best", shortest_window(F.transform("_words", F.lower), F.col("_asked")))
+    first, last = F.col("_best.first"), F.col("_best.last")
+    shown = F.when(F.col("_best").isNotNull(), highlight(F.array_join(
+        F.slice("_words", first + 1, last - first + 1), " "), F.col("_asked")))
+    return found.select(*hits.columns, first.alias("first_word"), last.alias("last_word"), shown.alias("passage"))

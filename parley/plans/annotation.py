@@ -656,6 +656,15 @@ def reapply_tokens(spark, sf):
 _CHAT_TEXTS = [("c1", "en", "thtion that"), ("c2", "fr", "Étion la"), ("c3", "de", "und chkeit")]
 
 
+def _chat_docs(spark, sf):
+    toxic = ad.table(spark, sf, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("removed"))
+    docs = ad.documents(spark, sf).join(toxic, "doc_id", "left").select(
+        F.col("lang").alias("client"), F.concat(F.lit("d"), "doc_id").alias("id"), "text",
+        F.coalesce("removed", F.lit(False)).alias("removed"))
+    queries = spark.createDataFrame(_CHAT_TEXTS, "query_id string, client string, text string")
+    return docs, queries
+
+
 @query(f"""WITH q(query_id, client, text) AS (VALUES {', '.join(str(t) for t in _CHAT_TEXTS)}),
 live AS (SELECT doc_id, lang AS client, concat('d', doc_id) AS id, text, list_filter(regexp_split_to_array(text,
   '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents LEFT JOIN labels USING (doc_id)
@@ -667,14 +676,33 @@ c AS (SELECT DISTINCT query_id, client, lower(unnest(regexp_split_to_array(text,
 SELECT query_id, id, round(sum(4 * (1 + ln((n + 1) / (df + 1))) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / al))), 6)
   AS score FROM c JOIN tf USING (client, term) JOIN df USING (term), n GROUP BY query_id, id""")
 def search_chat_docs(spark, sf):
-    toxic = ad.table(spark, sf, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("removed"))
-    docs = ad.documents(spark, sf).join(toxic, "doc_id", "left").select(
-        F.col("lang").alias("client"), F.concat(F.lit("d"), "doc_id").alias("id"), "text",
-        F.coalesce("removed", F.lit(False)).alias("removed"))
-    queries = spark.createDataFrame(_CHAT_TEXTS, "query_id string, client string, text string")
+    docs, queries = _chat_docs(spark, sf)
     return q.search_chat_docs(docs, queries).select("query_id", "id", "score")
 
 
+@query(f"""WITH q(query_id, client, text) AS (VALUES {', '.join(str(t) for t in _CHAT_TEXTS)}),
+c AS (SELECT query_id, client, list_distinct(list_transform(regexp_split_to_array(text, '\\s+'), lambda x: lower(x))) AS asked FROM q),
+live AS (SELECT lang AS client, concat('d', doc_id) AS id, list_filter(regexp_split_to_array(text,
+  '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents LEFT JOIN labels USING (doc_id)
+  WHERE coalesce(toxic, 0) = 0),
+m AS (SELECT query_id, id, i - 1 AS pos, lower(ws[i]) AS term FROM (SELECT query_id, id, asked, ws,
+  unnest(range(1, len(ws) + 1)) AS i FROM live JOIN c USING (client)) WHERE list_contains(asked, lower(ws[i]))),
+k AS (SELECT query_id, id, count(DISTINCT term) AS k FROM m GROUP BY ALL),
+near AS (SELECT e.query_id, e.id, e.pos AS hi, b.term, max(b.pos) AS pos FROM m e JOIN m b
+  ON b.query_id = e.query_id AND b.id = e.id AND b.pos <= e.pos GROUP BY ALL),
+runs AS (SELECT query_id, id, hi, min(pos) AS lo, count(*) AS held FROM near GROUP BY ALL),
+best AS (SELECT query_id, id, lo, hi FROM runs JOIN k USING (query_id, id) WHERE held = k
+  QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY hi - lo, hi) = 1)
+SELECT query_id, id, lo::INT AS first_word, hi::INT AS last_word, array_to_string(list_transform(
+  ws[lo + 1:hi + 1], lambda x: CASE WHEN list_contains(asked, lower(x)) THEN '<em>' || x || '</em>' ELSE x END), ' ')
+  AS passage FROM best JOIN c USING (query_id) JOIN live USING (client, id)""")
+def chat_passages(spark, sf):
+    """The shortest passage of every found document with all words of the query that it has."""
+    docs, queries = _chat_docs(spark, sf)
+    hits = q.search_chat_docs(docs, queries).select("query_id", "client", "id")
+    return q.passages(hits, docs, queries).drop("client")
+
+
 @query(f"""{_LATCH_SQL}, t AS (SELECT conv_id, 'token' AS part, token_idx AS n, concat(type, ':', value) AS label FROM indexed
   UNION ALL SELECT conv_id, 'template', template_idx, role FROM (SELECT DISTINCT conv_id, template_idx, role FROM rel))
 SELECT * FROM t""")

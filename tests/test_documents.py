@@ -152,3 +152,37 @@ def test_rebuild_replaces_the_whole_table(spark, messages):
     gone = full.withColumn("deleted", F.when(F.col("conv_id") >= "c4", F.current_timestamp()))
     sync.rebuild_docs(gone, msg, path)
     assert {r.conv_id for r in index.read_search_docs(spark, path).collect()} == {"c0", "c1", "c2", "c3"}
+
+
+def test_shortest_window_holds_all_found_terms(spark):
+    import random
+
+    from parley.functions.text import shortest_window
+
+    rng = random.Random(7)
+    cases = [([], ["a"]), (["x", "y"], ["a"]), (["q", "a"], ["a", "n"]), (["a", "b"], []), (None, ["a"]), (["a"], None),
+             (["x"] * 5000 + ["b"] + ["x"] * 5000 + ["a"], ["a", "b"])]
+    cases += [([rng.choice("abcdxyz") for _ in range(rng.randint(1, 30))], rng.sample("abcd", rng.randint(1, 4)))
+              for _ in range(200)]
+
+    def plain(tokens, terms):
+        found = set(tokens or ()) & set(terms or ())
+        places = [i for i, t in enumerate(tokens or ()) if t in found]
+        ends = [(b - a, b, a) for k, a in enumerate(places) for b in places[k:k + 60] if found <= set(tokens[a:b + 1])]
+        return (min(ends)[2], min(ends)[1]) if found and ends else None
+
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, tokens array<string>, terms array<string>")
+    got = {r.i: r.w and tuple(r.w) for r in df.select("i", shortest_window(F.col("tokens"), F.col("terms")).alias("w")).collect()}
+    assert got == {i: plain(*c) for i, c in enumerate(cases)}
+
+
+def test_passages_of_hits(spark):
+    from parley.operators.queries import passages
+
+    docs = spark.createDataFrame([("t", 1, "Red, green! and BLUE; then red."), ("t", 2, None), ("t", 3, "redder")],
+                                 "client string, id int, text string")
+    hits = docs.select(F.lit("q").alias("query_id"), "client", "id")
+    queries = spark.createDataFrame([("q", "t", "red blue")], "query_id string, client string, text string")
+    got = {r.id: tuple(r)[3:] for r in passages(hits, docs, queries).collect()}
+    assert got == {1: (3, 5, "<em>BLUE</em> then <em>red</em>"), 2: (None,) * 3, 3: (None,) * 3}
+    assert passages(hits.limit(0), docs, queries).count() == 0
