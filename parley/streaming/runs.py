@@ -4,102 +4,253 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from parley.operators.windows import indexable_messages
 
-_WAITING = "idx int, msg_id string, content string, user_id string, origin string, votes long, micros long"
-_WAITING_COLUMNS = ["idx", "msg_id", "content", "user_id", "origin", "votes", "micros"]
-_OPEN = "user_id string, origin string, micros long, idx int, last_idx int, votes long"
-_PART = "msg_id string, content string"
-_OUT = "conv_id {key}, idx int, message_ids array<string>, content string, votes long, late boolean"
+_WAITING = pa.schema([("conv_id", pa.string()), ("idx", pa.int64()), ("msg_id", pa.string()), ("content", pa.string()),
+                      ("user_id", pa.string()), ("origin", pa.string()), ("votes", pa.int64()), ("voted", pa.int64()),
+                      ("micros", pa.int64())])
+_OPEN = pa.schema([("conv_id", pa.string()), ("user_id", pa.string()), ("origin", pa.string()), ("micros", pa.int64()),
+                   ("idx", pa.int64()), ("last_idx", pa.int64()), ("votes", pa.int64()), ("voted", pa.int64()),
+                   ("kept", pa.int64())])
+_PART = pa.schema([("conv_id", pa.string()), ("msg_id", pa.string()), ("content", pa.string())])
+_OUT = "conv_id string, idx int, message_ids array<string>, content string, votes long, late boolean"
 _OUT_COLUMNS = ["conv_id", "idx", "message_ids", "content", "votes", "late"]
+_FOREVER = np.iinfo(np.int64).max // 2
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(block)).read_all()
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _codes(*columns: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each value of the columns, null being one, and the values."""
+    coded = pa.chunked_array([c for x in columns for c in x.chunks], pa.string()).combine_chunks().dictionary_encode(
+        null_encoding="encode")
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
 class RunMerger(StatefulProcessor):
-    """One conversation: messages wait until the watermark has passed them, then join the open run or close it.
+    """A bucket of conversations: messages wait until the watermark has passed them, then join their conversation's open
+    run or close it, all conversations of the bucket at once.
 
-    State: the waiting messages; of the open run who wrote it, its last message and its votes; and its parts, to which a
-    message is appended without reading them.  A timer stands at the next moment at which something can happen.
+    State, in Arrow blocks: the waiting messages; for each conversation who wrote its open run, that run's last message
+    and its votes; and the parts of open runs, to which messages are appended without reading them unless a run that has
+    some is closed.  A timer stands at the next moment at which something can happen.
     """
 
-    def __init__(self, timeout_s: int):
+    def __init__(self, timeout_s: int, block: int = 50_000):
         self.step = timeout_s * 1_000_000
+        self.block = block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _WAITING)
-        self.open = handle.getValueState("open", _OPEN)
-        self.parts = handle.getListState("parts", _PART)
+        self.waiting = handle.getListState("waiting", "low long, high long, block binary")
+        self.open = handle.getValueState("open", "block binary")
+        self.parts = handle.getListState("parts", "block binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        given = pd.concat(list(rows), ignore_index=True)
-        late = given["micros"] < watermark
-        out = [(key[0], int(r.idx), [r.msg_id], r.content, int(r.votes), True) for r in given[late].itertuples()]
-        in_time = given[~late]
-        if len(in_time):
-            self.waiting.appendList([self._tuple(r) for r in in_time[_WAITING_COLUMNS].itertuples(index=False)])
-        out += self._advance(key[0], watermark)
-        yield pd.DataFrame(out, columns=_OUT_COLUMNS)
+        in_time = []
+        for given in rows:
+            given = pa.Table.from_pandas(given[_WAITING.names], _WAITING, preserve_index=False)
+            if given.column("idx").null_count:
+                raise ValueError("a message has no place in its list")
+            # a message without a time has no place that a watermark could reach
+            late = pc.fill_null(pc.less(given.column("micros"), watermark), True)
+            yield from self._alone(given.filter(late))
+            given = given.filter(pc.invert(late))
+            if given.num_rows:
+                in_time.append(given)
+        if in_time:
+            self.waiting.appendList(self._blocks(pa.concat_tables(in_time)))
+        yield from self._advance(watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._advance(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
-        yield pd.DataFrame(out, columns=_OUT_COLUMNS)
+        yield from self._advance(timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def _blocks(self, table: pa.Table) -> list[tuple]:
+        pieces = (table.slice(at, self.block) for at in range(0, table.num_rows, self.block))
+        return [(int(_numbers(x, "micros").min()), int(_numbers(x, "micros").max()), _packed(x)) for x in pieces]
 
-    @staticmethod
-    def _tuple(row) -> tuple:
-        text = lambda x: x if isinstance(x, str) else None
-        return (int(row[0]), text(row[1]), text(row[2]), text(row[3]), text(row[4]), int(row[5]), int(row[6]))
+    def _alone(self, late: pa.Table) -> Iterator[pd.DataFrame]:
+        for at in range(0, late.num_rows, self.block):
+            rows = late.slice(at, self.block)
+            yield pd.DataFrame({
+                "conv_id": rows.column("conv_id").to_pylist(), "idx": _numbers(rows, "idx").astype(np.int32),
+                "message_ids": [[m] for m in rows.column("msg_id").to_pylist()],
+                "content": rows.column("content").to_pylist(),
+                "votes": pd.array(_numbers(rows, "votes"), "Int64").copy(), "late": True}).assign(
+                votes=lambda x: x["votes"].where(_numbers(rows, "voted") > 0))[_OUT_COLUMNS]
 
-    def _advance(self, conv, watermark: int) -> list[tuple]:
+    def _advance(self, watermark: int) -> Iterator[pd.DataFrame]:
         """Work off what the watermark has passed; rows of closed runs, and of messages whose place has been passed."""
-        waiting = sorted(self.waiting.get())
-        ready = [w for w in waiting if w[6] < watermark]
-        rest = [w for w in waiting if w[6] >= watermark]
-        run = self.open.get() if self.open.exists() else None
-        out: list[tuple] = []
-        added: list[tuple] = []
-        for idx, msg_id, content, user, origin, votes, micros in ready:
-            if run is not None and idx <= run[4]:
-                out.append((conv, idx, [msg_id], content, votes, True))
-            elif run is not None and (run[0], run[1]) == (user, origin) and micros < run[2] + self.step:
-                run = (user, origin, micros, run[3], idx, run[5] + votes)
-                added.append((msg_id, content))
+        ready, rest = [], []
+        for low, high, block in self.waiting.get():
+            if low >= watermark:
+                rest.append((low, high, block))
             else:
-                if run is not None and run[3] >= 0:
-                    out.append(self._closed(conv, run, added))
-                run, added = (user, origin, micros, idx, idx, votes), [(msg_id, content)]
+                table = _unpacked(block)
+                passed = pc.less(table.column("micros"), watermark)
+                ready.append(table.filter(passed))
+                if high >= watermark:
+                    rest += self._blocks(table.filter(pc.invert(passed)))
+        opened = _unpacked(self.open.get()[0]) if self.open.exists() else _OPEN.empty_table()
+        least = int((_numbers(opened, "micros")[_numbers(opened, "idx") >= 0]).min(initial=_FOREVER))
+        if ready or least + self.step <= watermark:
+            if ready:
+                self.waiting.put(rest) if rest else self.waiting.clear()
+            ready = pa.concat_tables(ready) if ready else _WAITING.empty_table()
+            opened, late, closed = self._merged(ready.combine_chunks(), rest, opened, watermark)
+            yield from self._alone(late)
+            yield from closed
+        self._wake(watermark, opened, rest)
+
+    def _merged(self, ready: pa.Table, rest: list[tuple], opened: pa.Table, watermark: int):
+        """The open runs afterwards, the messages whose place has been passed, and the closed runs as tables."""
+        n = opened.num_rows
+        conv, names = _codes(opened.column("conv_id"), ready.column("conv_id"))
+        user, _ = _codes(opened.column("user_id"), ready.column("user_id"))
+        origin, kinds = _codes(opened.column("origin"), ready.column("origin"))
+        author = user * (len(kinds) + 1) + origin
+        place = np.r_[_numbers(opened, "last_idx"), _numbers(ready, "idx")]
+        micros = np.r_[_numbers(opened, "micros"), _numbers(ready, "micros")]
+        known = np.arange(n + ready.num_rows) < n
+        order = np.lexsort((place, ~known, conv))
+        tied = ~known[order][1:] & (conv[order][1:] == conv[order][:-1]) & (place[order][1:] == place[order][:-1])
+        if tied.any():  # the first in the order of all columns has the place
+            ranks = pc.sort_indices(ready, [(c, "ascending") for c in _WAITING.names]).to_numpy().astype(np.int64)
+            rank = np.zeros(len(place), np.int64)
+            rank[n + ranks] = np.arange(len(ranks))
+            order = np.lexsort((rank, place, ~known, conv))
+        last = np.full(len(names), -1)
+        last[conv[:n]] = place[:n]
+        passed = ~known & (place <= last[conv])
+        passed[order[1:]] |= (~known[order][1:] & ~known[order][:-1] & (conv[order][1:] == conv[order][:-1])
+                              & (place[order][1:] == place[order][:-1]))
+        late = ready.take(order[passed[order]] - n)
+        order = order[~passed[order]]
+        own, at, who = conv[order], micros[order], author[order]
+        over = np.r_[_numbers(opened, "idx") < 0, np.zeros(ready.num_rows, bool)][order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = ((own[1:] != own[:-1]) | (who[1:] != who[:-1]) | (at[1:] >= at[:-1] + self.step) | over[:-1])
+        begin = np.flatnonzero(fresh)
+        end = np.r_[begin[1:], len(order)].astype(np.int64) - 1
+        run = np.cumsum(fresh) - 1
+        go_on = order[begin] < n
+        state = np.where(go_on, order[begin], 0)
+        value = lambda name: (_numbers(opened, name)[state] if n else np.zeros(len(begin), np.int64))
+        first = np.where(go_on, value("idx"), place[order[begin]])
+        sums = []
+        for name in ("votes", "voted"):
+            sums.append(np.add.reduceat(np.r_[_numbers(opened, name), _numbers(ready, name)][order], begin)
+                        if len(begin) else np.zeros(0, np.int64))
+        votes, voted = sums
         # a message that goes on would have to be earlier than the watermark
-        over = run is not None and run[2] + self.step <= watermark and not any(w[6] < run[2] + self.step for w in rest)
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if over and run[3] >= 0:
-            out.append(self._closed(conv, run, added))
-            # the place in the list stays known, so that a straggler is told from a new run
-            run, added = (None, None, run[2], -1, run[4], 0), []
-        if added:
-            self.parts.appendList(added)
-        if run is not None and (ready or over):
-            self.open.update(run)
-        self._wake(watermark, run, rest)
+        final = np.r_[own[begin][1:] != own[begin][:-1], True] if len(begin) else np.zeros(0, bool)
+        limit = at[end] + self.step
+        done = final & (limit <= watermark)
+        if done.any():
+            done &= self._earliest(rest, names, int(limit[done].max()))[own[begin]] >= limit
+        closes = (~final | done) & (first >= 0)
+        held = np.where(go_on, value("kept"), 0)
+        # messages of closed runs, those that the state holds first
+        fits = order >= n
+        told = fits & closes[run]
+        pieces, group = [], []
+        if (closes & (held > 0)).any():
+            kept = pa.concat_tables([_unpacked(b) for (b,) in self.parts.get()]).combine_chunks()
+            of = np.full(len(names) + 1, -1)
+            of[own[begin[closes & (held > 0)]]] = np.flatnonzero(closes & (held > 0))
+            code = pc.fill_null(pc.index_in(kept.column("conv_id"), names), len(names)).to_numpy().astype(np.int64)
+            leaves = of[code] >= 0
+            pieces.append(kept.filter(pa.array(leaves)))
+            group.append(of[code][leaves])
+            self._keep(kept.filter(pa.array(~leaves)), True)
+        pieces.append(ready.take(order[told] - n).select(_PART.names))
+        group.append(run[told])
+        closed = self._closed(pa.concat_tables(pieces), np.concatenate(group), names, own[begin], first, votes, voted)
+        stays = fits & ~closes[run]
+        added = np.bincount(run[stays], minlength=len(begin)).astype(np.int64) if len(begin) else np.zeros(0, np.int64)
+        self._keep(ready.take(order[stays] - n).select(_PART.names), False)
+        # the place in the list stays known, so that a straggler is told from a new run
+        gone = (done | (first < 0))[final]
+        stop = order[end][final]
+        text = lambda name: pc.if_else(pa.array(gone), pa.scalar(None, pa.string()), pa.chunked_array(
+            opened.column(name).chunks + ready.column(name).chunks, pa.string()).take(pa.array(stop)))
+        table = pa.table([
+            names.take(pa.array(own[end][final])), text("user_id"), text("origin"), at[end][final],
+            np.where(gone, -1, first[final]), place[stop], np.where(gone, 0, votes[final]),
+            np.where(gone, 0, voted[final]), np.where(gone, 0, (held + added)[final])], _OPEN)
+        self.open.update((_packed(table),))
+        return table, late, closed
+
+    def _earliest(self, rest: list[tuple], names: pa.Array, limit: int) -> np.ndarray:
+        """The first waiting moment of each conversation, as far as it is before ``limit``."""
+        out = np.full(len(names), _FOREVER)
+        for low, _, block in rest:
+            if low < limit:
+                table = _unpacked(block)
+                code = pc.index_in(table.column("conv_id"), names)
+                here = pc.is_valid(code)
+                np.minimum.at(out, code.filter(here).to_numpy().astype(np.int64),
+                              table.column("micros").filter(here).to_numpy())
         return out
 
-    def _closed(self, conv, run: tuple, added: list[tuple]) -> tuple:
-        """The row of a run; what the state holds of it goes."""
-        parts = [*self.parts.get(), *added] if self.parts.exists() else added
-        self.parts.clear()
-        return (conv, run[3], [p[0] for p in parts], "\n".join(p[1] or "" for p in parts), int(run[5]), False)
+    def _keep(self, parts: pa.Table, instead: bool) -> None:
+        blocks = [(_packed(parts.slice(at, self.block)),) for at in range(0, parts.num_rows, self.block)]
+        if instead:
+            self.parts.put(blocks) if blocks else self.parts.clear()
+        elif blocks:
+            self.parts.appendList(blocks)
+
+    def _closed(self, parts: pa.Table, group: np.ndarray, names: pa.Array, conv: np.ndarray, first: np.ndarray,
+                votes: np.ndarray, voted: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The rows of runs, a block of messages at a time but each run whole."""
+        parts = parts.combine_chunks()
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+        stop = np.r_[begin[1:], len(group)].astype(np.int64)
+        k = 0
+        while k < len(begin):
+            to = max(k + 1, int(np.searchsorted(stop, begin[k] + self.block, "right")))
+            rows = parts.take(order[begin[k]:stop[to - 1]])
+            runs, ends = group[begin[k:to]], np.r_[begin[k:to], stop[to - 1]] - begin[k]
+            listed = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), column.combine_chunks()) for column in (
+                rows.column("msg_id"), pc.fill_null(rows.column("content"), ""))]
+            yield pd.DataFrame({
+                "conv_id": names.take(pa.array(conv[runs])).to_pylist(), "idx": first[runs].astype(np.int32),
+                "message_ids": listed[0].to_pandas(), "content": pc.binary_join(listed[1], "\n").to_pylist(),
+                "votes": pd.array(votes[runs], "Int64"), "late": False}).assign(
+                votes=lambda x: x["votes"].where(voted[runs] > 0))[_OUT_COLUMNS]
+            k = to
 
-    def _wake(self, watermark: int, run: tuple | None, rest: list[tuple]) -> None:
+    def _wake(self, watermark: int, opened: pa.Table, rest: list[tuple]) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        moments = [min(w[6] for w in rest) // 1000 + 1] if rest else []
-        if run is not None and run[3] >= 0:
-            moments.append((run[2] + self.step) // 1000 + 1)
+        moments = [min(low for low, _, _ in rest) // 1000 + 1] if rest else []
+        runs = _numbers(opened, "micros")[_numbers(opened, "idx") >= 0]
+        if len(runs):
+            moments.append((int(runs.min()) + self.step) // 1000 + 1)
         if moments:
             self.handle.registerTimer(max(min(moments), watermark // 1000 + 1))
 
@@ -107,22 +258,26 @@ class RunMerger(StatefulProcessor):
         pass
 
 
-def merge_consecutive_stream(msg: DataFrame, timeout_s: int = 30, watermark: str = "1 hour", key_type: str = "bigint"
-                             ) -> DataFrame:
+def merge_consecutive_stream(msg: DataFrame, timeout_s: int = 30, watermark: str = "1 hour", key_type: str = "bigint",
+                             buckets: int = 256) -> DataFrame:
     """Runs of messages as in ``merge_consecutive``, on a stream, and the messages that came too late for them.
 
     The messages of a conversation may arrive in any order within ``watermark``: they wait until it has passed them and
     are taken in list order.  Rows with ``late``: a single message behind the watermark when it came, or behind a place of
-    the list that has been worked off; nothing vanishes.  A run comes out when a message does not continue it, or when
-    the watermark has passed its last message by ``timeout_s``.  ``split_late`` parts the two.
+    the list that has been worked off, or without a time; nothing vanishes.  A run comes out when a message does not
+    continue it, or when the watermark has passed its last message by ``timeout_s``.  ``split_late`` parts the two.
+
+    The conversations are dealt out to ``buckets``, each of which is one key of the state; a stream keeps that number.
     """
     # without its event time column the processor gets late rows too, and tells them itself
     source = (indexable_messages(msg).withWatermark("time", watermark)
-              .select("conv_id", "idx", "msg_id", "content", "user_id", "origin", F.col("votes").cast("long").alias("votes"),
-                      F.unix_micros("time").alias("micros")))
+              .select(F.pmod(F.xxhash64("conv_id"), F.lit(buckets)).cast("int").alias("bucket"),
+                      F.col("conv_id").cast("string").alias("conv_id"), "idx", "msg_id", "content", "user_id", "origin",
+                      F.coalesce(F.col("votes").cast("long"), F.lit(0).cast("long")).alias("votes"),
+                      F.col("votes").isNotNull().cast("long").alias("voted"), F.unix_micros("time").alias("micros")))
     source.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    return source.groupBy("conv_id").transformWithStateInPandas(
-        RunMerger(timeout_s), _OUT.format(key=key_type), "append", "EventTime")
+    return source.groupBy("bucket").transformWithStateInPandas(RunMerger(timeout_s), _OUT, "append", "EventTime").withColumn(
+        "conv_id", F.col("conv_id").cast(key_type))
 
 
 def split_late(runs: str, late: str):
