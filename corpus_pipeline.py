@@ -28,14 +28,15 @@ def _well_written(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the row with the smallest id."""
+    """Of each group of near duplicates (fingerprints within four bits, or five-word shingles at a similarity of 0.8 or
+    more) the row with the smallest id."""
     return _one_of_each(docs)
 
 
 @shielded
 def _one_of_each(docs: DataFrame) -> DataFrame:
     rows = with_row(docs)
-    return only(rows, simhash.shingle_duplicates(rows, key=ROW).filter(F.col(ROW) == F.col("component")), once=True)
+    return only(rows, simhash.all_duplicates(rows, key=ROW).filter(F.col(ROW) == F.col("component")), once=True)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

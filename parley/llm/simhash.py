@@ -412,7 +412,8 @@ def band_links(nodes: DataFrame, bands: list[str], witness: list[str], limit: in
 
 
 def shingle_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, bands: int = 25, rows: int = 5,
-                       witnesses: int = 8, text: str = "text", key: str = "doc_id", tile: int = 50_000) -> DataFrame:
+                       witnesses: int = 8, text: str = "text", key: str = "doc_id", tile: int = 50_000,
+                       linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(key, component): documents whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or
     more, and what they reach through others.
 
@@ -422,7 +423,7 @@ def shingle_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     compared exactly, by their whole shingle sets, in a join.  At first only as many pairs are compared as join the
     same sets; where some are less similar, all further pairs of different sets are compared too.  Equal texts are
     one node, texts without words are alike.  Nulls, repeated rows, rows without a key and empty tables are as in
-    ``near_duplicates``.
+    ``near_duplicates``.  ``linked`` may give further links (u, v) between the nodes of a table (node, text).
     """
     small_batches(docs.sparkSession)
     names, marks = [f"b{k}" for k in range(bands)], [f"w{k}" for k in range(witnesses)]
@@ -479,5 +480,19 @@ def shingle_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5,
         parts = connected_components(good)
         pool = stored(pool.drop("group").join(parts, "node", "left").withColumn(
             "group", F.coalesce("component", "node")).drop("component"), "pool")
+    if linked is not None:
+        good = good.unionByName(linked(texts).select("u", "v"))
     nodes = keyed.groupBy("node").agg(F.min("key").alias("least"))
     return _labelled(keyed, nodes, good, "node", "key").select(F.col("key").alias(key), "component")
+
+
+def all_duplicates(docs: DataFrame, words: int = 4, budget: int = 4, text: str = "text", key: str = "doc_id",
+                   tile: int = 50_000, **shingles) -> DataFrame:
+    """(key, component): documents linked by their fingerprints, as in ``near_duplicates``, or by their shingle sets, as in
+    ``shingle_duplicates``, and what they reach through either."""
+
+    def linked(texts: DataFrame) -> DataFrame:
+        found = near_duplicates(texts, words, budget, "text", "node", tile)
+        return found.filter("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v"))
+
+    return shingle_duplicates(docs, text=text, key=key, tile=tile, linked=linked, **shingles)

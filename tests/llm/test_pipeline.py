@@ -126,3 +126,14 @@ def test_columns_named_like_the_operators_own(spark):
         number = r["_row"].removeprefix("_row")
         assert all(r[c] == c + number for c in names)
         assert given[int(number)][0] == r.doc_id
+
+
+def test_near_dedup_links_fingerprints_too(spark):
+    """Texts of one fingerprint whose shingle sets are less alike are near duplicates; so is what either side links."""
+    rng = random.Random(3)
+    line, words = "the quick brown fox jumps over it " * 60, [f"w{k}" for k in range(100)]
+    a, b = (line + " ".join(rng.sample(words, 6)) for _ in range(2))
+    long = " ".join(rng.choice(words) for _ in range(300))
+    texts = [b + " end", long, a, "alone " + " ".join(words), long + " more", b, None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), True, 3) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 1, 3, 6]
