@@ -27,8 +27,9 @@ def before(keys: Sequence[str], bucket: str) -> WindowSpec:
 
 
 def after(keys: Sequence[str], bucket: str) -> WindowSpec:
-    """All summary rows of the group in later buckets."""
-    return Window.partitionBy(*keys).orderBy(bucket).rowsBetween(1, Window.unboundedFollowing)
+    """All summary rows of the group in later buckets, as a frame that only grows: one that ends at the last row is added
+    up anew for each row.  The latest comes first."""
+    return Window.partitionBy(*keys).orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def whole(keys: Sequence[str]) -> WindowSpec:

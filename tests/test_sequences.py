@@ -235,3 +235,16 @@ def test_two_changes_of_one_message(spark, messages):
     assert sorted((r.idx, r.content) for r in now.collect()) == [(0, "second"), (1, "same")]
     assert sorted((r.content, r.reason) for r in back.collect()) == [
         ("first", "a later change of the message"), ("nobody", "no such message"), ("same", "a later change of the message")]
+
+
+def test_later_buckets_are_a_growing_frame(spark):
+    """A frame that ends at the last row is summed anew for each row, in the square of a long conversation's buckets."""
+    from parley.scan import after
+
+    rows = spark.createDataFrame([(c, b, 10 ** b) for c in (1, 2) for b in range(5)] + [(1, None, 7)],
+                                 "conv_id long, bucket long, n long")
+    later = rows.withColumn("later", F.sum("n").over(after(["conv_id"], "bucket")))
+    got = {(r.conv_id, r.bucket): r.later for r in later.collect()}
+    assert all(got[c, b] == (sum(10 ** k for k in range(b + 1, 5)) or None) for c in (1, 2) for b in range(5))
+    assert got[1, None] == 11111
+    assert "unboundedfollowing" not in later._jdf.queryExecution().toString().lower()
