@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parley.llm.common import mixed, partition_table, small_batches, stored, text_bytes
+from parley.llm.common import mixed, partition_table, ranges, small_batches, stored, text_bytes
 from parley.llm.graph import connected_components
 
 BITS = 64
@@ -374,22 +374,21 @@ def bucket_links(bucket: np.ndarray, group: np.ndarray, alike: Callable[[np.ndar
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def band_links(nodes: DataFrame, bands: list[str], witness: list[str], limit: int, every: bool, tile: int) -> DataFrame:
-    """(u, v), u < v: pairs of nodes (node, group, bands, witnesses) of different groups that share a band and differ in
-    no more than ``limit`` bits of the witnesses; ``every`` one, or as many as join the same sets.
+def band_links(nodes: DataFrame, bands: list[str], witness: list[str], limit: int, tile: int) -> DataFrame:
+    """(u, v), u < v: of the pairs of nodes (node, bands, witnesses) that share a band and differ in no more than ``limit``
+    bits of the witnesses, as many as join the same sets.
 
     A band value of more than ``tile`` nodes is cut into tiles, and each pair of tiles is a task of its own.
     """
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(name).alias("value"))
                                for k, name in enumerate(bands)])).alias("x")
-    rows = nodes.select("node", "group", *witness, each).select("node", "group", *witness, "x.*")
+    rows = nodes.select("node", *witness, each).select("node", *witness, "x.*")
     sizes = rows.groupBy("band", "value").count().filter(F.col("count") > tile).select(
         "band", "value", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     cut = rows.join(F.broadcast(sizes), ["band", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn(
         "with", F.explode(F.expr("sequence(0, tiles - 1)"))).select(
-        "band", "value", F.least("own", "with").alias("t0"), F.greatest("own", "with").alias("t1"), "node", "group",
-        *witness)
+        "band", "value", F.least("own", "with").alias("t0"), F.greatest("own", "with").alias("t1"), "node", *witness)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = partition_table(batches)
@@ -402,8 +401,8 @@ def band_links(nodes: DataFrame, bands: list[str], witness: list[str], limit: in
             own = get[name][order]
             new[1:] |= own[1:] != own[:-1]
         more = [get[c].view(np.uint64)[order] for c in witness]
-        u, v = bucket_links(np.cumsum(new), get["group"][order], lambda a, b: sum(
-            (np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in more), np.zeros(len(a), np.int64)) <= limit, every)
+        u, v = bucket_links(np.cumsum(new), get["node"][order], lambda a, b: sum(
+            (np.bitwise_count(x[a] ^ x[b]).astype(np.int64) for x in more), np.zeros(len(a), np.int64)) <= limit, False)
         if len(u):
             u, v = get["node"][order][u], get["node"][order][v]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
@@ -411,18 +410,89 @@ def band_links(nodes: DataFrame, bands: list[str], witness: list[str], limit: in
     return dealt.repartition("band", "value", "t0", "t1").mapInArrow(apply, "u long, v long").distinct()
 
 
+def similarities(values: np.ndarray, starts: np.ndarray, size: np.ndarray, block: int = 1 << 20
+                 ) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The Jaccard similarity of sets a[i] and b[i], 1 for two empty ones; set k is the ``size[k]`` distinct values from
+    ``starts[k]`` on."""
+    known, ids = np.unique(values, return_inverse=True)
+    have = np.sort(np.repeat(np.arange(len(size)), size) * len(known) + ids[ranges(starts, size)])
+
+    def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        less = size[a] <= size[b]
+        small, large = np.where(less, a, b), np.where(less, b, a)
+        both = np.zeros(len(a), np.int64)
+        until = np.cumsum(size[small])
+        cuts = np.unique(np.r_[0, np.searchsorted(until, np.arange(block, until[-1], block)), len(a)]) if len(a) else [0]
+        for k, stop in zip(cuts[:-1], cuts[1:]):
+            own = size[small[k:stop]]
+            asked = np.repeat(large[k:stop], own) * len(known) + ids[ranges(starts[small[k:stop]], own)]
+            hit = np.zeros(len(asked), bool)
+            if len(asked):
+                hit = have[np.minimum(np.searchsorted(have, asked), len(have) - 1)] == asked
+            both[k:stop] = np.bincount(np.repeat(np.arange(stop - k), own)[hit], minlength=stop - k)
+        either = size[a] + size[b] - both
+        return np.where(either == 0, 1.0, both / np.maximum(either, 1))
+
+    return of
+
+
+def set_links(nodes: DataFrame, bands: list[str], witness: list[str], limit: int, similarity: float, weight: int
+              ) -> DataFrame:
+    """(u, v): of the pairs of nodes (part, node, bands, witnesses, shingles) of one part that share a band, differ in no
+    more than ``limit`` bits of the witnesses and whose shingle sets have the similarity, as many as join the same sets.
+
+    A part's nodes come with their sets and are compared where they meet, so that only links leave a task: fewer than
+    it has nodes.  A part of more than ``weight`` shingles is cut into tiles, and each pair of tiles is a task of its own.
+    """
+    sizes = nodes.groupBy("part").agg(F.sum(F.size("shingles") + F.lit(1)).alias("weight")).filter(
+        F.col("weight") > weight).select("part", F.ceil(F.col("weight") / weight).cast("int").alias("tiles"))
+    cut = nodes.join(F.broadcast(sizes), "part", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn(
+        "with", F.explode(F.expr("sequence(0, tiles - 1)"))).filter("tiles = 1 OR own <> with").select(
+        "part", F.least("own", "with").alias("t0"), F.greatest("own", "with").alias("t1"), "node", *bands, *witness,
+        "shingles")
+
+    def apply(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        get = {n: rows.column(n).to_numpy() for n in ("node", *bands, *witness)}
+        sets = rows.column("shingles").combine_chunks()
+        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+        ends = sets.offsets.to_numpy().astype(np.int64)
+        marks, met = (np.stack([get[c] for c in names], 1) for names in (witness, bands))
+        likeness = similarities(sets.flatten().to_numpy(), ends[:-1] - ends[0], np.diff(ends))
+
+        def alike(a: np.ndarray, b: np.ndarray, before: int) -> np.ndarray:
+            ok = np.bitwise_count((marks[a] ^ marks[b]).view(np.uint64)).sum(1, dtype=np.int64) <= limit
+            # those that met in an earlier band are in different sets still
+            ok[ok] = (met[a[ok], :before] != met[b[ok], :before]).all(1)
+            ok[ok] = likeness(a[ok], b[ok]) >= similarity
+            return ok
+
+        parent, found = np.arange(len(ends) - 1), []
+        for k, name in enumerate(bands):
+            order = np.argsort(get[name], kind="stable")
+            value = get[name][order]
+            a, b = bucket_links(np.cumsum(np.r_[False, value[1:] != value[:-1]]), _roots(parent, order),
+                                lambda i, j: alike(order[i], order[j], k), False)
+            found += unite(parent, order[a], order[b])
+        u, v = (get["node"][np.concatenate([f[k] for f in found] or [parent[:0]])] for k in (0, 1))
+        return pa.table({"u": pa.array(u), "v": pa.array(v)})
+
+    return dealt.groupBy("part", "t0", "t1").applyInArrow(apply, "u long, v long")
+
+
 def shingle_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, bands: int = 25, rows: int = 5,
                        witnesses: int = 8, text: str = "text", key: str = "doc_id", tile: int = 50_000,
-                       linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                       linked: Callable[[DataFrame], DataFrame] | None = None, weight: int = 1 << 21) -> DataFrame:
     """(key, component): documents whose sets of ``words``-word shingles have a Jaccard similarity of ``similarity`` or
     more, and what they reach through others.
 
     Candidates share one of ``bands`` bands of ``rows`` min-hashes, whatever the edit is: an appended or trimmed copy is
     found like a scattered one (a pair at 0.8 is missed with a probability of 0.00005).  Candidates whose min-hashes
     differ in a last bit too often for the similarity (by four standard deviations) are passed over.  The others are
-    compared exactly, by their whole shingle sets, in a join.  At first only as many pairs are compared as join the
-    same sets; where some are less similar, all further pairs of different sets are compared too.  Equal texts are
-    one node, texts without words are alike.  Nulls, repeated rows, rows without a key and empty tables are as in
+    compared exactly, by their whole shingle sets.  At first, in a join, only as many pairs are compared as join the
+    same sets of candidates; a set where some are less similar then goes through ``set_links`` as a whole.  Equal texts
+    are one node, texts without words are alike.  Nulls, repeated rows, rows without a key and empty tables are as in
     ``near_duplicates``.  ``linked`` may give further links (u, v) between the nodes of a table (node, text).
     """
     small_batches(docs.sparkSession)
@@ -457,29 +527,23 @@ def shingle_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     texts = docs.select(F.xxhash64(body).alias("node"), body.alias("text"))
     codes = ", ".join(f"{n} long" for n in (*names, *marks))
     pool = stored(texts.mapInArrow(prints, f"node long, {codes}").dropDuplicates(["node"]), "prints")
-    pool, good, known, every = pool.withColumn("group", F.col("node")), None, None, False
-    while True:
-        pairs = stored(band_links(pool, names, marks, limit, every, tile), "pairs")
-        if known is None:  # rows without any candidate end here: links name every node that has one
-            ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-            known = stored(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(
-                sets, "node long, shingles array<long>"), "shingles")
-            pool = pool.join(ends, "node", "left_semi")
-        a = known.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-        b = known.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-        both = F.size(F.array_intersect("a", "b"))
-        either = F.size("a") + F.size("b") - both
-        tested = stored(pairs.join(b, "v").join(a, "u").select(
-            "u", "v", ((either == 0) | (both / either >= similarity)).alias("linked")), "tested")
-        yes, no = (tested.agg(F.count_if("linked"), F.count_if(~F.col("linked"))).first())
-        own = tested.filter("linked").select("u", "v")
-        good = own if good is None else good.unionByName(own)
-        if every or not no:
-            break
-        every = no <= yes or no > 4 * yes  # few sets are left, or joining them goes slowly
-        parts = connected_components(good)
-        pool = stored(pool.drop("group").join(parts, "node", "left").withColumn(
-            "group", F.coalesce("component", "node")).drop("component"), "pool")
+    pairs = stored(band_links(pool, names, marks, limit, tile), "pairs")
+    # rows without any candidate end here: links name every node that has one
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    known = stored(texts.join(ends, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(
+        sets, "node long, shingles array<long>"), "shingles")
+    a = known.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+    b = known.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    either = F.size("a") + F.size("b") - both
+    tested = stored(pairs.join(b, "v").join(a, "u").select(
+        "u", "v", ((either == 0) | (both / either >= similarity)).alias("linked")), "tested")
+    good, less = tested.filter("linked").select("u", "v"), tested.filter(~F.col("linked"))
+    if not less.isEmpty():
+        parts = stored(connected_components(pairs).withColumnRenamed("component", "part"), "parts")
+        mixed_parts = less.select(F.col("u").alias("node")).join(parts, "node").select("part").distinct()
+        rest = pool.join(parts.join(mixed_parts, "part", "left_semi"), "node").join(known, "node")
+        good = good.unionByName(stored(set_links(rest, names, marks, limit, similarity, weight), "links"))
     if linked is not None:
         good = good.unionByName(linked(texts).select("u", "v"))
     nodes = keyed.groupBy("node").agg(F.min("key").alias("least"))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from parley.llm import simhash
 from parley.llm.graph import connected_components
 from parley.llm.simhash import (bucket_links, differing_bits, fingerprint, links, near_duplicates, shingle_duplicates,
                                 similar_documents)
@@ -198,3 +199,41 @@ def test_bucket_of_copies_is_not_all_pairs():
 
     u, v = bucket_links(np.zeros(3000, np.int64), np.arange(3000), alike, False)
     assert len(u) == 2999 == sum(asked)
+
+
+def test_all_pairs_of_sets_just_below_stay_in_their_task(spark):
+    """Of texts that are candidates of each other, but few of them alike enough, only links come back: no more than nodes."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        for _ in range(rng.choice([2, 3, 4])):
+            copy[rng.randrange(len(copy))] = f"n{rng.randrange(10**6)}"
+        texts.append(copy)
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group = plain_components(pairs, range(len(sets)))
+    near = [[xxhash.xxh64_intdigest(" ".join(s), 42) for s in sorted(own)] for own in sets]
+    rows = [(7, i, 0, 0, 0, np.array(own, np.uint64).view(np.int64).tolist()) for i, own in enumerate(near)]
+    nodes = spark.createDataFrame(rows, "part long, node long, b0 long, b1 long, w0 long, shingles array<long>")
+    for weight in (1 << 21, 6000):
+        links = [(r.u, r.v) for r in simhash.set_links(nodes, ["b0", "b1"], ["w0"], 0, 0.8, weight).collect()]
+        assert plain_components(links, range(len(sets))) == group
+        assert len(links) < 120 or weight == 6000
+    assert len(pairs) > 100 and len(set(group.values())) > 3
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component for r in shingle_duplicates(docs, weight=6000).collect()} == {
+        i: group[i] for i in range(len(texts))}
+
+
+def test_similarities():
+    sets = [[], [3, 5, 8], [5, 8], [], [1, 2], [3, 5, 8]]
+    size = np.array([len(s) for s in sets])
+    of = simhash.similarities(np.array(sum(sets, [])), np.cumsum(size) - size, size, block=2)
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(6) for j in range(6)]))
+    want = [len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) if sets[i] or sets[j] else 1 for i, j in zip(a, b)]
+    assert of(a, b).tolist() == want
+    assert len(of(a[:0], b[:0])) == 0
+    empty = simhash.similarities(np.zeros(0, np.int64), np.zeros(2, np.int64), np.zeros(2, np.int64))
+    assert empty(np.array([0]), np.array([1])).tolist() == [1]
