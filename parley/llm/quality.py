@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parley.llm.common import (flat_bytes, map_file, mixed, new_folder, partition_table, small_batches, stored,
-                               text_bytes, write_file)
+from parley.llm.common import (flat_bytes, map_file, mixed, new_folder, partition_table, pieces, runs,
+                               small_batches, stored, text_bytes, write_file)
 
 ORDER = 4
 WIDTH = 6
@@ -77,18 +77,21 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = batch.column(0).to_numpy(zero_copy_only=False)
-            data, ends = flat_bytes(batch.column(1))
-            grams, count = packed_grams(data, ends)
-            of = np.repeat(names, count)
-            for name in np.unique(names):
-                own = np.sort(grams[of == name])
-                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for piece in pieces(batch, 1):
+                names = piece.column(0).to_numpy(zero_copy_only=False)
+                grams, count = packed_grams(*flat_bytes(piece.column(1)))
+                for name in np.unique(names):
+                    own = np.sort(grams[np.repeat(names == name, count)])
+                    first = runs(own)
+                    found.setdefault(name, []).append((own[first], np.diff(np.r_[first, len(own)])))
+            for name, parts in found.items():
+                grams, n = (np.concatenate([p[k] for p in parts]) for k in range(2))
+                order = np.argsort(grams)
+                first = runs(grams[order])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(name, len(first)), pa.string()), pa.array(own[first].astype(np.int32)),
-                    pa.array(np.diff(np.r_[first, len(own)]))], ["lang", "gram", "n"])
+                    pa.array(np.repeat(name, len(first)), pa.string()), pa.array(grams[order][first].astype(np.int32)),
+                    pa.array(np.add.reduceat(n[order], first))], ["lang", "gram", "n"])
 
     return docs.mapInArrow(apply, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -213,32 +216,32 @@ def train(docs: DataFrame) -> dict[str, str]:
     return {r.lang: r.uri for r in files.collect()}
 
 
-def log_probabilities(names: list[str], data: np.ndarray, ends: np.ndarray, models: dict[str, str]
+def log_probabilities(batch: pa.RecordBatch, names: int, texts: int, models: dict[str, str]
                       ) -> tuple[np.ndarray, np.ndarray]:
-    """Log10 probability and number of symbols of each text."""
-    grams, count = packed_grams(data, ends)
-    out = np.zeros(len(names))
-    names = np.array(names, object)
-    begin = np.cumsum(count) - count
-    of = np.repeat(np.arange(len(names)), count)
-    score = np.zeros(len(grams))
+    """Log10 probability and number of symbols of each text.
+
+    Only the n-grams of the whole batch are held, so that each different one is looked up once.
+    """
+    parts = [packed_grams(*flat_bytes(piece.column(texts))) for piece in pieces(batch, texts)]
+    if not parts:
+        return np.zeros(0), np.zeros(0, np.int64)
+    of = batch.column(names).to_numpy(zero_copy_only=False)
+    rows = np.cumsum([0, *(len(count) for _, count in parts)])
+    out = np.zeros(len(of))
     seen = np.zeros(1 << WIDTH * ORDER, bool)
-    value = np.empty(1 << WIDTH * ORDER, np.float64) if len(grams) > 1 << 20 else None
-    for name in np.unique(names):
-        own = np.flatnonzero((names == name)[of])
-        g = grams[own]
-        seen[g] = True
-        distinct = np.flatnonzero(seen)
+    for name in np.unique(of):
+        same = [of[a:b] == name for a, b in zip(rows[:-1], rows[1:])]
+        for (grams, count), own in zip(parts, same):
+            seen[grams[np.repeat(own, count)]] = True
+        distinct = np.flatnonzero(seen).astype(np.uint32)
         seen[distinct] = False
         p = _model(models[name]).log10(distinct.astype(np.uint64))
-        if value is None:
-            score[own] = p[np.searchsorted(distinct, g)]
-        else:
-            value[distinct] = p
-            score[own] = value[g]
-    if len(names):
-        out = np.add.reduceat(score, begin)
-    return out, count
+        for (grams, count), own, start in zip(parts, same, rows):
+            if own.any():
+                size = count[own]
+                score = p[np.searchsorted(distinct, grams[np.repeat(own, count)])]
+                out[start + np.flatnonzero(own)] = np.add.reduceat(score, np.cumsum(size) - size)
+    return out, np.concatenate([count for _, count in parts])
 
 
 def repeated_words(words: list[list[bytes]], window: int = 5) -> np.ndarray:
@@ -278,19 +281,20 @@ def measures(docs: DataFrame, models: dict[str, str], key: str = "doc_id") -> Da
     small_batches(docs.sparkSession, 1000)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = text_bytes(batch.column(2))
-            words = [t.split() for t in texts]
-            data, ends = flat_bytes(batch.column(2))
-            lines = [[x for x in t.split(b"\n") if x.strip()] if b"\n" in t else () for t in texts]
-            score, count = log_probabilities(batch.column(1).to_pylist(), data, ends, models)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()),
-                pa.array(_sums(((data & 0xC0) != 0x80) & ~SPACES[data], ends)), pa.array(_sums(MARKS[data], ends)),
-                pa.array([len(x) - len(set(x)) for x in lines], pa.int64()),
-                pa.array(repeated_words(words)), pa.array(count), pa.array(score)], NAMES)
+        for whole in batches:
+            score, count = log_probabilities(whole, 1, 2, models)
+            at = 0
+            for batch in pieces(whole, 2):
+                texts = text_bytes(batch.column(2))
+                words = [t.split() for t in texts]
+                data, ends = flat_bytes(batch.column(2))
+                lines = [[x for x in t.split(b"\n") if x.strip()] if b"\n" in t else () for t in texts]
+                own = slice(at, at := at + batch.num_rows)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()),
+                    pa.array(_sums(((data & 0xC0) != 0x80) & ~SPACES[data], ends)), pa.array(_sums(MARKS[data], ends)),
+                    pa.array([len(x) - len(set(x)) for x in lines], pa.int64()),
+                    pa.array(repeated_words(words)), pa.array(count[own]), pa.array(score[own])], NAMES)
 
     NAMES = ["key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "log10p"]
     kind = docs.schema["key"].dataType.simpleString()

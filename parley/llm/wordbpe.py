@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from parley.llm.chunks import numbered
-from parley.llm.common import flat_bytes, ranges, small_batches
+from parley.llm.common import flat_bytes, pieces, ranges, small_batches
 
 #: The bytes that bytes.split() parts words at.
 ASCII_SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
@@ -234,7 +234,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, at)):
             ids, counts = bpe.encode_column(batch.column(at))
             offsets = np.r_[0, np.cumsum(counts)]
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -257,7 +257,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, 1)):
             ids, counts = bpe.encode_column(batch.column(1))
             ends = np.cumsum(counts)
             own = [ids[e - n:e] for e, n in zip(ends, counts)]

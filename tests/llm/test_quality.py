@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parley.llm import quality
@@ -135,3 +137,57 @@ def test_probabilities_sum_to_one():
 
 def test_no_rows(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+class Taken(Exception):
+    pass
+
+
+class Texts:
+    """Stands for rows (key, lang, text) and gives the function that a step runs over their batches."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.schema = spark, spark.createDataFrame([], "key long, lang string, text string").schema
+
+    def mapInArrow(self, function, _schema):
+        raise Taken(function)
+
+    def function(self, step, *args):
+        with pytest.raises(Taken) as taken:
+            step(self, *args)
+        return taken.value.args[0]
+
+
+def test_workers_hold_pieces_of_a_batch(spark, tmp_path):
+    """A batch of many bytes is worked on in pieces: a worker needs far less than tens of times its size."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=700)) for _ in range(2000)] + [None, ""]
+    langs = [("en", "de")[k % 2] for k in range(len(texts))]
+    size = sum(len(t or "") for t in texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts)], ["lang", "text"])
+
+    def peak(run):
+        tracemalloc.start()
+        out = list(run())
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    counted, most = peak(lambda: Texts(spark).function(quality.gram_counts)(iter([batch])))
+    assert size > 7e6 and most < 12 * size
+    want = Counter()
+    for lang, text in zip(langs[:50], texts[:50]):
+        s = [0] * 3 + symbols(text) + [0]
+        want.update((lang, s[i] << 18 | s[i + 1] << 12 | s[i + 2] << 6 | s[i + 3]) for i in range(len(s) - 3))
+    few = Texts(spark).function(quality.gram_counts)(iter([batch.slice(0, 50)]))
+    assert {(r["lang"], r["gram"]): r["n"] for b in few for r in b.to_pylist()} == want
+    models = {}
+    for part in counted:
+        uri = f"file://{tmp_path}/{part['lang'][0]}.bin"
+        quality.GramModel.write(uri, quality.smoothed(part["gram"].to_numpy(), part["n"].to_numpy()))
+        models[part["lang"][0].as_py()] = uri
+    keyed = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), *batch.columns], ["key", *batch.schema.names])
+    measured, most = peak(lambda: Texts(spark).function(quality.measures, models)(iter([keyed])))
+    assert most < 25 * size
+    assert [k for b in measured for k in b["key"].to_pylist()] == list(range(len(texts)))
