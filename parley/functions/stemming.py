@@ -1,12 +1,13 @@
 """Stemmers and the term analysis of texts.
 
 The suffix strippers that are a few alternatives long are regular expressions evaluated in the JVM.  The two published
-multi-step stemmers run in Arrow batches over the term column and stem each distinct term of a batch once.
+multi-step stemmers run in Arrow batches over the term column; a worker remembers the stems of the words it met last.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -42,6 +43,7 @@ def possessive_en(term: Column) -> Column:
 
 
 _VOWEL_DE = "aeiouyäöü"
+STEMS = 1 << 18  # words whose stem a worker remembers from batch to batch
 
 
 def _regions_de(word: str) -> tuple[int, int]:
@@ -53,6 +55,7 @@ def _regions_de(word: str) -> tuple[int, int]:
     return max(first, 3), after(first)
 
 
+@lru_cache(maxsize=STEMS)
 def _snowball_de(word: str) -> str:
     """Snowball stemmer for German, in the variant that reads ae, oe, ue as umlauts."""
     word = re.sub(rf"(?<=[{_VOWEL_DE}])([uy])(?=[{_VOWEL_DE}])", lambda m: m[1].upper(), word.replace("ß", "ss"))
@@ -116,6 +119,7 @@ def _replace_longest(word: str, suffixes: dict[str, str], condition: re.Pattern)
     return word
 
 
+@lru_cache(maxsize=STEMS)
 def _porter_en(word: str) -> str:
     """Porter stemmer."""
     if len(word) < 3 or not word.isascii():
@@ -174,7 +178,7 @@ def _after(prepare, stem):
 
 
 # Per chain: how text is split, what is removed, and the final form of a term.
-_GERMAN = lambda c: tx.ascii_fold(german_normalize(light_stem_de(c)))
+_GERMAN = lambda c: tx.bind(german_normalize(light_stem_de(c)), tx.ascii_fold)
 CHAINS = {
     "standard": {},
     "text_ws_lower": {"split": "space", "html": True, "finish": tx.ascii_fold},
@@ -209,25 +213,24 @@ def analyze_text(df: DataFrame, text: str, chain: str = "standard", stop: list[s
     words = split.select(*keep, F.posexplode("_words").alias("pos", "word")).filter(F.col("word") != "")
     stopped = [w.lower() for w in stop] if stop and spec.get("stop") else []
 
-    def form(value: Column) -> Column:
-        plain = F.lower(tx.strip_punct(value) if spec.get("punct") else value)
-        return spec["finish"](plain) if "finish" in spec else plain
+    def plain(value: Column) -> Column:
+        return F.lower(tx.strip_punct(value) if spec.get("punct") else value)
 
+    finish = spec.get("finish", lambda value: value)
     if not spec.get("delimit"):
         if stopped:
             words = words.filter(~F.lower("word").isin(*stopped))
-        return words.withColumn("term", form(F.col("word"))).filter(F.col("term") != "")
-    variants = tx.word_delimit(F.col("word"), split_case=not query_side, split_numbers=not query_side,
-                               catenate=not query_side, possessive=bool(spec.get("possessive")))
+        return words.withColumn("term", finish(plain(F.col("word")))).filter(F.col("term") != "")
+    variants = F.transform(tx.word_delimit(
+        F.col("word"), split_case=not query_side, split_numbers=not query_side, catenate=not query_side,
+        possessive=bool(spec.get("possessive"))), plain)
     if stopped:
-        bare = tx.strip_punct if spec.get("punct") else (lambda v: v)
-        variants = F.filter(variants, lambda v: ~F.lower(bare(v)).isin(*stopped))
+        variants = F.filter(variants, lambda v: ~v.isin(*stopped))
     if spec.get("distinct"):
         # a word that yields the same term twice counts once
-        variants = F.array_distinct(F.transform(variants, form))
-        terms = words.withColumn("term", F.explode(variants))
+        terms = words.withColumn("term", F.explode(F.array_distinct(F.transform(variants, finish))))
     else:
-        terms = words.withColumn("_variant", F.explode(variants)).withColumn("term", form(F.col("_variant")))
+        terms = words.withColumn("_variant", F.explode(variants)).withColumn("term", finish(F.col("_variant")))
         terms = terms.drop("_variant")
     return terms.filter(F.col("term") != "")
 

@@ -153,17 +153,23 @@ def search_word_terms(text: Column) -> Column:
 
 
 def search_word_query(text: Column) -> Column:
-    """The clauses as one query string; null for a blank text, escaped whole when it has no letter or digit."""
-
-    def clause(c: Column) -> Column:
-        escaped = escape_query(c["term"])
-        return (F.when(c["mode"] == "exact", F.concat(escaped, F.lit("^4")))
-                .when(c["mode"] == "prefix", F.concat(escaped, F.lit("*^2")))
-                .otherwise(F.concat(F.lit("*"), escaped, F.lit("*"))))
+    """The clauses as one query string; null for a blank text, escaped whole when it has no letter or digit.
 
+    The clauses are those of ``search_word_terms``, made for all tokens of the text at once.  Every token gets one space
+    before it and no other white space is left, so a tab parts the clauses of a token that is done.
+    """
+    # as for $, one separator of lines may follow the last letter or digit
+    plain, last, end = r"[\p{L}\p{Nd}]", r"[\x85\u2028\u2029]?+", r"(?![^ ])"
+    word = rf" (?!\p{{Nd}}++{last}{end})"  # begins a token that is not a number
+    out = F.regexp_replace(F.concat(F.lit(" "), text), r"(?: ?[\t\n\x0B\f\r]| {2})\s*+", " ")
+    out = F.regexp_replace(out, rf" [^ \p{{L}}\p{{Nd}}]++{end}", "")
+    out = F.regexp_replace(out, f"({QUERY_CHARS.replace(r'\s', '')})", r"\\$1")
+    out = F.regexp_replace(out, rf"{word}({plain}++{last}){end}", " $1^4\t$1*^2\t*$1*")
+    out = F.regexp_replace(out, rf"{word}([^ \t]*{plain}{last}){end}", " $1^4\t$1*^2")
+    out = F.regexp_replace(out, rf" ([^ \t]++){end}", " $1^4")
     return (F.when(is_blank(text), F.lit(None).cast("string"))
             .when(~has_letter_or_digit(text), escape_query(text))
-            .otherwise(F.array_join(F.transform(search_word_terms(text), clause), " ")))
+            .otherwise(F.trim(F.replace(out, F.lit("\t"), F.lit(" ")))))
 
 
 def to_slug(text: Column) -> Column:

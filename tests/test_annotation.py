@@ -1,5 +1,8 @@
 """Golden cases of extraction and search with hand-written spans."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from parley.functions import stemming as st
@@ -290,3 +293,34 @@ def test_code_blocks(spark):
     got = [r.t for r in spark.createDataFrame(rows, "t string").select(
         tx.strip_code_blocks(F.col("t")).alias("t")).collect()]
     assert got == ["before.\n\nafter", "after", "open.", "a.\n\n\n\nb", "none"]
+
+
+def test_search_word_query_like_its_clauses(spark):
+    """All tokens of a text at once give what the clauses give one by one; nothing is done token by token."""
+    rng = random.Random(5)
+    signs = "abZ1 9\u0663é你\U0001d4b3\t\n\r\x0b\x0c  +-!():^[]\"{}~*?|&;/\\$_.,'’#\x00\x85\u2028\u3000%4"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    frame = spark.createDataFrame([(t,) for t in [*texts, "12", "a 12\x85 b\u2028", "a" * 50_000 + "! 1"]], "t string")
+    clauses = F.transform(tx.search_word_terms(F.col("t")), lambda c: F.when(
+        c["mode"] == "exact", F.concat(tx.escape_query(c["term"]), F.lit("^4"))).when(
+        c["mode"] == "prefix", F.concat(tx.escape_query(c["term"]), F.lit("*^2"))).otherwise(
+        F.concat(F.lit("*"), c["term"], F.lit("*"))))
+    usual = ~tx.is_blank(F.col("t")) & tx.has_letter_or_digit(F.col("t"))
+    found = frame.filter(usual).select(tx.search_word_query(F.col("t")).alias("q"), F.array_join(clauses, " ").alias("w"))
+    assert found.filter("q <> w").count() == 0 and found.count() > 2000
+    plan = frame.select(tx.search_word_query(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "lambda" not in plan
+
+
+def test_stems_are_remembered_between_batches():
+    st._porter_en.cache_clear()
+    for _ in range(3):
+        assert list(st.porter_en.func(pd.Series(["motoring", None, "motoring", "ties"]))) == ["motor", None, "motor", "ti"]
+    assert st._porter_en.cache_info().misses == 2
+
+
+def test_marks_are_stripped_once_for_each_variant(spark):
+    texts = spark.createDataFrame([("(Die) Häuser, und;die;Bäume!",)], "t string")
+    terms = st.analyze_text(texts, "t", "text_de", ["die", "und"])
+    assert terms._jdf.queryExecution().analyzed().toString().count(tx.EDGE_PUNCTUATION) == 1
+    assert "unddiebaum" in {r.term for r in terms.collect()}
