@@ -52,4 +52,5 @@ def frequency_join(fact: DataFrame, stats: DataFrame, on: Sequence[str], weight:
     flagged = fact.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
     repeated = stats.withColumn("_salt", F.explode(
         F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return flagged.join(repeated, [*on, "_salt"], how).drop("_salt")
+    # the statistics are far fewer rows than the facts, which then need no sort
+    return flagged.join(repeated.hint("shuffle_hash"), [*on, "_salt"], how).drop("_salt")

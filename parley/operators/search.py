@@ -54,12 +54,12 @@ def _counted(docs: DataFrame, text: str) -> DataFrame:
     def counts(found: Column) -> Column:
         ws, at = found["ws"], found["at"]
         return F.transform(at, lambda i, n: F.struct(
-            F.get(ws, i).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(ws)) - i).cast("long").alias("tf")))
+            F.size(ws).alias("len"), F.get(ws, i).alias("term"),
+            (F.coalesce(F.get(at, n + 1), F.size(ws)) - i).cast("long").alias("tf")))
 
     keep = [c for c in docs.columns if c != text]
-    # the length is taken before the rows are multiplied
-    counted = docs.select(*keep, F.size(words).alias("len"), bind(bind(ordered, starts), counts).alias("_terms"))
-    return counted.select(*keep, "len", F.inline("_terms"))
+    # a column of its own for the array would be found twice, once by the filter that Spark infers from it
+    return docs.select(*keep, F.inline(bind(bind(ordered, starts), counts)))
 
 
 def postings(docs: DataFrame, keys: Sequence[str], text: str = "content", chain: str = "standard",

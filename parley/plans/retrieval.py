@@ -193,7 +193,8 @@ def interesting_terms(spark, sf):
     docs = ad.documents(spark, sf)
     tf = s.postings(docs, ["doc_id"], "text").drop("len")
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    best = s.interesting_terms(tf, s.document_frequencies(docs, "text"), n_docs, ["doc_id"])
+    stats = ad.stored(s.document_frequencies(docs, "text"))
+    best = s.interesting_terms(tf, stats, n_docs, ["doc_id"])
     return best.select("doc_id", "term", "rank", "weight", F.round("boost", 6).alias("boost"))
 
 
