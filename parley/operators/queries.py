@@ -179,7 +179,7 @@ def search_chat_docs(docs: DataFrame, queries: DataFrame, text: str = "text") ->
     """
     live = docs.filter(~F.col("removed")).select("client", "id", F.col(text).alias("text"))
     terms = s.postings(live, ["id", "client"], "text")
-    sized = live.select(F.size(F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("len"))
+    sized = live.select(F.size(F.array_remove(F.split("text", r"[^\p{L}\p{N}]+"), "")).alias("len"))
     hits = s.search(terms, sized, queries, ["id"], ["client"], wildcards=False)
     words = s.query_clauses(queries).groupBy("query_id").agg(F.array_sort(F.collect_set("clause")).alias("_words"))
     return (hits.join(words, "query_id").join(live, ["client", "id"])

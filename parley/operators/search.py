@@ -143,14 +143,17 @@ def search(terms: DataFrame, docs: DataFrame, queries: DataFrame, doc_keys: Sequ
     expanded = exact
     if wildcards:
         expanded = wildcard_match(terms.select("term").distinct(), clauses)
-    # the size of the expansion is only known at run time; adaptive execution picks the join and splits hot terms
-    matched = terms.join(expanded, [*scope, "term"])
-    found = matched.groupBy("query_id", *scope, *doc_keys, "clause", "mode").agg(
-        F.sum("tf").alias("tf"), F.first("len").alias("len"), F.first("boost").alias("boost"))
     # at most one row per exact clause
     few = is_small(exact)
     asked = exact.select("term").distinct()
     holding = terms.join(F.broadcast(asked) if few else asked, "term")
+    if not wildcards:
+        # only these terms matter, and they are found once in the texts
+        terms = holding = cut_lineage(holding)
+    # the size of the expansion is only known at run time; adaptive execution picks the join and splits hot terms
+    matched = terms.join(expanded, [*scope, "term"])
+    found = matched.groupBy("query_id", *scope, *doc_keys, "clause", "mode").agg(
+        F.sum("tf").alias("tf"), F.first("len").alias("len"), F.first("boost").alias("boost"))
     frequencies = holding.groupBy("term").agg(F.count_distinct(*doc_keys).alias("df")).withColumnRenamed(
         "term", "clause")
     corpus = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
