@@ -344,9 +344,9 @@ def keyword_terms_by_source(spark, sf):
     tf, stats = _conversation_terms(spark, sf)
     tf = ad.stored(tf.drop("owner"))
     docs = ad.documents(spark, sf)
-    own = stats.groupBy("term").agg(F.sum("df").alias("df"))
+    own = ad.stored(stats.groupBy("term").agg(F.sum("df").alias("df")))
     n_own = ad.conversations(spark, sf).filter("deleted is null").agg(F.count(F.lit(1)).alias("n")).scalar()
-    other = s.term_stats(s.postings(docs, ["doc_id"], "text"))
+    other = ad.stored(s.term_stats(s.postings(docs, ["doc_id"], "text")))
     n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     found = a.keyword_terms(tf, {"chat": (own, n_own), "docs": (other, n_docs)})
     return found.withColumn("prob", F.round("prob", 6))
