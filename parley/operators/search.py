@@ -8,16 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from parley.functions.lists import DIGITS, best_of_block
 from parley.functions.stemming import analyze_text
 from parley.functions.text import bind, escape_query, search_word_terms
-from parley.lookup import frequency_join, is_small
+from parley.lookup import frequency_join, is_small, lookup_join
 from parley.scan import ordinal
-from parley.session import cut_lineage
+from parley.session import cut_lineage, written
 
 K1, B = 1.2, 0.75
-DIGITS = 6
+# What meets in one task of ``related``.
+BLOCK_DOCS, BLOCK_ENTRIES, BLOCK_QUERIES = 4096, 1_000_000, 8192
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -251,11 +254,12 @@ def fallback_query(user_query: Column, alternative: Column) -> Column:
 
 
 def _one_per_copy(tf: DataFrame, docs: DataFrame, scope: list[str], doc: str, keep: int) -> DataFrame:
-    """Of documents with the very same terms only the ``keep`` best can be among the best of any query."""
-    signature = tf.groupBy(*scope, doc).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(
-        F.struct("term", "tf")))), 256).alias("_copy"))
+    """Documents (scope, doc, votes, ``_terms``: their terms and counts): of those with the very same terms only the
+    ``keep`` best can be among the best of any query."""
+    packed = tf.groupBy(*scope, doc).agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("_terms"))
     order = Window.partitionBy(*scope, "_copy").orderBy(F.desc("votes"), doc)
-    return (signature.join(docs.select(*scope, doc, "votes"), [*scope, doc])
+    return (packed.withColumn("_copy", F.sha2(F.to_json("_terms"), 256))
+            .join(docs.select(*scope, doc, "votes"), [*scope, doc])
             .withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep).drop("_copy", "_n"))
 
 
@@ -266,12 +270,14 @@ def related(queries: DataFrame, tf: DataFrame, docs: DataFrame, stats: DataFrame
     then id.
 
     ``queries``: ``doc`` (the asking conversation), scope, term, boost (a handful of terms each).  ``tf``: doc, scope,
-    term, tf.  ``docs``: doc, scope, votes.  ``stats``: scope, term, df.
-
-    The result is exact without emitting all pairs that share a frequent term.  Equal queries are answered once; of
-    equal documents only the best few take part; documents are found through terms with at most ``light_df`` documents
-    and through the first ``depth`` entries of the lists of more frequent terms, sorted by weight.  A query whose last
-    result beats everything still unread in its lists is done; the others read on, eight times as deep.
+    term, tf.  ``docs``: doc, scope, votes.  ``stats``: term, df, and the scope columns that they depend on.
+
+    The result is exact and no pair of a query and a document is shuffled.  Equal queries are answered once; of equal
+    documents only the best few take part.  The documents of a scope are dealt out to blocks, its queries too, and each
+    block of queries meets each block of documents in a task, which gives the best few of the block for each query.  There
+    documents are found through terms with at most ``light_df`` documents and through the first ``depth`` entries of the
+    lists of more frequent terms, sorted by weight.  A query whose last result beats everything still unread in its lists
+    is done; the others read on, eight times as deep.
     """
     scope = list(scope)
     wanted = start + rows + (1 if exclude_self else 0)
@@ -279,23 +285,15 @@ def related(queries: DataFrame, tf: DataFrame, docs: DataFrame, stats: DataFrame
     asked = queries.groupBy(*scope, doc).agg(signature.alias("_q"))
     distinct = (queries.join(asked, [*scope, doc]).groupBy(*scope, "_q", "term")
                 .agg(F.first("boost").alias("boost")))
-    kept = _one_per_copy(tf, docs, scope, doc, wanted)
-    weighted = frequency_join(tf.join(kept, [*scope, doc]), stats, [*scope, "term"], "df").withColumn(
-        "w", F.col("tf") * idf(n_docs, F.col("df"))).select(*scope, doc, "votes", "term", "w", "df")
-    heavy = stats.filter(F.col("df") > light_df).select(*scope, "term")
+    # the frequencies go to the few terms of the queries, not to all terms of the documents
+    known = frequency_join(distinct, stats, [c for c in (*scope, "term") if c in stats.columns], "df")
+    entry = F.struct("term", F.col("boost").cast("double").alias("boost"), idf(n_docs, F.col("df")).alias("idf"),
+                     (F.col("df") > light_df).alias("heavy"))
+    asking = written(known.groupBy(*scope, "_q").agg(F.collect_list(entry).alias("_terms")), "asking")
+    texts = written(_one_per_copy(tf, docs, scope, doc, wanted), "texts")
     best = Window.partitionBy(*scope, "_q").orderBy(F.desc("score"), F.desc("votes"), doc)
-
-    def top(scored: DataFrame) -> DataFrame:
-        return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= wanted)
-
-    def score(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy(*scope, "_q", doc).agg(
-            F.round(F.sum(F.col("boost") * F.col("w")), DIGITS).alias("score"), F.first("votes").alias("votes"))
-
-    if heavy.isEmpty():
-        answers = top(score(distinct.join(weighted.drop("df"), [*scope, "term"])))
-    else:
-        answers = _read_lists(distinct, weighted, scope, doc, wanted, light_df, depth, score, top)
+    answers = _met_in_blocks(asking, texts, scope, doc, wanted, depth).withColumn(
+        "rank", F.row_number().over(best)).filter(F.col("rank") <= wanted)
     result = asked.withColumnRenamed(doc, "query_id").join(answers, [*scope, "_q"]).drop("_q", "rank")
     if exclude_self:
         result = result.filter(F.col("query_id") != F.col(doc))
@@ -304,37 +302,40 @@ def related(queries: DataFrame, tf: DataFrame, docs: DataFrame, stats: DataFrame
     return ranked.filter(F.col("rank") > start) if start else ranked
 
 
-def _read_lists(distinct, weighted, scope, doc, wanted, light_df, depth, score, top) -> DataFrame:
-    order = Window.partitionBy(*scope, "term").orderBy(F.desc("w"), F.desc("votes"), doc)
-    weighted = cut_lineage(weighted)
-    light = weighted.filter(F.col("df") <= light_df)
-    heavy = weighted.filter(F.col("df") > light_df)
-    pending, answers = cut_lineage(distinct), None
-    while True:
-        listed = heavy.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= depth + 1)
-        entries = light.drop("df").unionByName(listed.filter(F.col("_n") <= depth).drop("_n", "df"))
-        found = pending.join(entries, [*scope, "term"]).select(*scope, "_q", doc).distinct()
-        # score every found document on all terms of the query
-        pairs = (found.join(pending, [*scope, "_q"])
-                 .join(weighted.drop("df"), [*scope, doc, "term"]))
-        ranked = cut_lineage(top(score(pairs)))
-        unread = listed.filter(F.col("_n") == depth + 1).select(
-            *scope, "term", F.col("w").alias("_w"), F.struct((-F.col("votes")).alias("_votes"), F.col(doc).alias("_doc")).alias("_next"))
-        bound = pending.join(unread, [*scope, "term"]).groupBy(*scope, "_q").agg(
-            F.round(F.sum(F.col("boost") * F.col("_w")), DIGITS).alias("_bound"), F.max("_next").alias("_next"))
-        last = ranked.filter(F.col("rank") == wanted).select(
-            *scope, "_q", F.col("score").alias("_last"),
-            F.struct((-F.col("votes")).alias("_votes"), F.col(doc).alias("_doc")).alias("_key"))
-        open_queries = bound.join(last, [*scope, "_q"], "left").filter(
-            F.col("_last").isNull() | (F.col("_last") < F.col("_bound"))
-            | ((F.col("_last") == F.col("_bound")) & (F.col("_key") > F.col("_next")))).select(*scope, "_q")
-        open_queries = cut_lineage(open_queries)
-        settled = ranked.join(open_queries, [*scope, "_q"], "left_anti")
-        answers = settled if answers is None else answers.unionByName(settled)
-        if open_queries.isEmpty():
-            return answers
-        pending = pending.join(open_queries, [*scope, "_q"], "left_semi")
-        depth *= 8
+def _met_in_blocks(asking: DataFrame, texts: DataFrame, scope: list[str], doc: str, wanted: int, depth: int) -> DataFrame:
+    """The ``wanted`` best documents (scope, _q, doc, score, votes) of every block of documents for each query.
+
+    Scopes that fit one block share a task with others.
+    """
+    parts = lambda rows, most: F.ceil(F.col(rows) / most)
+    held = texts.groupBy(*scope).agg(F.count(F.lit(1)).alias("_docs"), F.sum(F.size("_terms")).alias("_entries"))
+    sizes = held.join(asking.groupBy(*scope).agg(F.count(F.lit(1)).alias("_queries")), scope)
+    sizes = written(sizes.withColumns({
+        "_nd": F.greatest(parts("_docs", BLOCK_DOCS), parts("_entries", BLOCK_ENTRIES)),
+        "_nq": parts("_queries", BLOCK_QUERIES)}), "sizes")
+    single = (F.col("_nd") == 1) & (F.col("_nq") == 1)
+    total = sizes.filter(single).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (
+        "_docs", "_entries", "_queries")]).first()
+    bins = 1 + max(total["_docs"] // BLOCK_DOCS, total["_entries"] // BLOCK_ENTRIES, total["_queries"] // BLOCK_QUERIES)
+    own = F.xxhash64(*scope)
+
+    def dealt(rows: DataFrame, key: str, mine: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+        placed = sizes.select(*scope, "_nd", "_nq", F.when(single, F.pmod(own, F.lit(bins))).otherwise(own).alias("_bin"))
+        joined = lookup_join(rows, placed, scope)
+        return (joined.withColumn(mine[0], F.pmod(F.xxhash64(key), F.col(mine[1])))
+                .withColumn(other[0], F.explode(F.sequence(F.lit(0).cast("long"), F.col(other[1]) - 1)))
+                .drop("_nd", "_nq"))
+
+    cell = ["_bin", "_db", "_qb"]
+    left = dealt(asking, "_q", ("_qb", "_nq"), ("_db", "_nd")).groupBy(*cell)
+    right = dealt(texts, doc, ("_db", "_nd"), ("_qb", "_nq")).groupBy(*cell)
+    fields = [*[asking.schema[c] for c in (*scope, "_q")], texts.schema[doc], T.StructField("score", T.DoubleType()),
+              texts.schema["votes"]]
+
+    def best(queries: pa.Table, documents: pa.Table) -> pa.Table:
+        return best_of_block(queries, documents, scope, doc, wanted, depth)
+
+    return left.cogroup(right).applyInArrow(best, T.StructType(fields))
 
 
 def related_answers(questions: DataFrame, docs: DataFrame, limit: int | None = None) -> DataFrame:

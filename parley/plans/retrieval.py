@@ -15,7 +15,7 @@ from parley.operators import windows as w
 from parley.plans.registry import query
 from parley.plans.sequences import _RUNS_SQL, _START_SQL
 from parley.scan import bucket_of, spread_join
-from parley.session import shared_dir
+from parley.session import shared_dir, written
 from parley.sources.index import Index, Shape, write_batch
 
 # Search texts per tenant; the tables they run over are the whole ones.
@@ -280,23 +280,22 @@ related AS (SELECT * FROM (SELECT s.*, votes, row_number() OVER (PARTITION BY qu
 
 
 def _related(spark, sf, **options):
-    docs = ad.stored(_docs(spark, sf))
+    docs = written(_docs(spark, sf), "docs")
     area = F.coalesce(F.get("support_area", F.lit(0)), F.lit("")).alias("area")
     firsts = docs.filter("idx = 0").select("conv_id", "owner", area, "completed", "content", "votes")
     all_tf = s.postings(firsts, ["conv_id", "owner", "area", "completed"]).drop("len")
     sizes = firsts.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = ad.stored(s.term_stats(all_tf, ["owner"]).join(sizes, "owner"))
+    # candidates and questions meet within (owner, area); the frequencies are those of the owner
+    stats = written(s.term_stats(all_tf, ["owner"]).join(sizes, "owner"), "stats")
     tf, firsts = (df.filter("completed").drop("completed") for df in (all_tf, firsts))
     conv = ad.conversations(spark, sf).filter("deleted is null").select("conv_id", "owner", F.coalesce(F.get(
         F.try_element_at("properties", F.lit("support_area")), F.lit(0)), F.lit("")).alias("area"))
-    # candidates and questions meet within (owner, area); the frequencies are those of the owner
-    stats = ad.stored(by_owner.join(conv.select("owner", "area").distinct(), "owner"))
     every = ad.messages(spark, sf)
     msg = f.in_context(every, w.context_start(every)).filter("not private").select("conv_id", "content")
     asked = (s.doc_terms(msg).drop("len").groupBy("conv_id", "term").agg(F.sum("tf").alias("tf"))
              .join(conv, "conv_id"))
-    terms = s.interesting_terms(asked, stats, F.col("n"), ["owner", "area", "conv_id"], ["owner", "area"], 10)
-    queries = ad.stored(terms.select("conv_id", "owner", "area", "term", "boost"))
+    terms = s.interesting_terms(asked, stats, F.col("n"), ["owner", "area", "conv_id"], ["owner"], 10)
+    queries = written(terms.select("conv_id", "owner", "area", "term", "boost"), "queries")
     return docs, s.related(queries, tf, firsts.drop("content"), stats, F.col("n"), ["owner", "area"], "conv_id", **options)
 
 
