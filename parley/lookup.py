@@ -21,7 +21,8 @@ def lookup_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "
     """Join ``fact``, whose key values may be hot, with the lookup table ``dim``.
 
     Up to ``rows`` rows ``dim`` is broadcast.  Beyond that every dim row is repeated once per salt and fact rows are
-    spread over the salts, so that the rows of a hot key are shared by ``salts`` tasks.
+    spread over the salts, so that the rows of a hot key are shared by ``salts`` tasks.  Spark is told to merge there: it
+    takes the repeated table to be no larger than the table itself, and would broadcast it.
     """
     on = list(on)
     if is_small(dim, rows):
@@ -29,10 +30,10 @@ def lookup_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "
     plain = [f.name for f in fact.schema.fields if f.name not in on and isinstance(f.dataType, T.AtomicType)]
     spread = salt_by or [F.col(c) for c in plain]
     if not spread:
-        return fact.join(dim, on, how)
+        return fact.join(dim.hint("merge"), on, how)
     salted_fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_fact.join(salted_dim, [*on, "_salt"], how).drop("_salt")
+    return salted_fact.join(salted_dim.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def frequency_join(fact: DataFrame, stats: DataFrame, on: Sequence[str], weight: str, how: str = "inner",
