@@ -135,8 +135,11 @@ def _streamed_runs(spark, msg, gap_s, held_back="false"):
     stream = sync.changes(spark, path, msg.schema, max_files=2)
     merged = runs.merge_consecutive_stream(stream, gap_s, "9 days")
     _finish(spark, merged, runs.split_late(out, late))
-    return tuple(spark.read.schema(merged.drop("late").schema).parquet(place).select(
-        "conv_id", "idx", "content", F.array_join("message_ids", ",").alias("message_ids"), "votes") for place in (out, late))
+    pieces = (spark.read.schema(merged.drop("late").schema).parquet(place).select(
+        "conv_id", "idx", "part", "parts", "content", F.array_join("message_ids", ",").alias("message_ids"), "votes")
+        for place in (out, late))
+    return tuple(runs.whole_runs(table, {"content": "\n", "message_ids": ","}).select(
+        "conv_id", "idx", "content", "message_ids", "votes") for table in pieces)
 
 
 @query(f"WITH {CONV_SQL} SELECT conv_id, concat(status, '-2') AS label, deleted IS NOT NULL AS tombstone FROM conv")
